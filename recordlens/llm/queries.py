@@ -6,18 +6,60 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recordlens.llm import packing, pii, quality, secrets, sharding, simhash, topk
 from recordlens.llm.common import table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from recordlens.llm.simhash import simhash_components
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
-    return simhash_components(table(spark, sf_dir, "documents"))
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> dict[str, str]:
+    """Where the public vocabulary's two forms are on this machine."""
+    import public_tokenizers
+
+    return {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+
+
+def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **vocabulary())
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.topk(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_quality_rules": op2_quality_rules,
+        "op4_jump_shards": op4_jump_shards,
+        "op6_best_two_fit": op6_best_two_fit,
+        "op8_secrets": op8_secrets,
+        "op9_pii": op9_pii,
+        "op10_exact_topk": op10_exact_topk,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_quality_rules": quality.ORACLE_SQL,
+        "op4_jump_shards": sharding.ORACLE_SQL,
+        "op10_exact_topk": topk.ORACLE_SQL,
+    }
