@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlens.llm import packing, pii, quality, secrets, sharding, simhash, topk
+from recordlens.llm import linededup, mixing, packing, pii, quality, secrets, sharding, simhash, topk, weaklabels
 from recordlens.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabels.score(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> dict[str, str]:
     """Where the public vocabulary's two forms are on this machine."""
     import public_tokenizers
@@ -33,6 +41,11 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **vocabulary())
 
 
+def op7_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.rates(table(spark, sf_dir, "documents"), labelled, mixing.WEIGHTS)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -49,8 +62,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_quality_rules": op2_quality_rules,
+        "op3_template_lines": op3_template_lines,
         "op4_jump_shards": op4_jump_shards,
+        "op5_weak_labels": op5_weak_labels,
         "op6_best_two_fit": op6_best_two_fit,
+        "op7_soft_mix": op7_soft_mix,
         "op8_secrets": op8_secrets,
         "op9_pii": op9_pii,
         "op10_exact_topk": op10_exact_topk,

@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -136,6 +137,8 @@ def _compare(threshold: int):
     def run(batches):
         key = fps = reps = None  # the anchor that the last batch ended in
         for b in batches:
+            if not b.num_rows:
+                continue
             k, f, r = (np.asarray(b.column(i)) for i in range(3))
             if key is not None:
                 k, f, r = np.concatenate([key, k]), np.concatenate([fps, f]), np.concatenate([reps, r])
@@ -193,11 +196,23 @@ def simhash_components(docs: DataFrame, width: int = 3, threshold: int = THRESHO
 def dedup(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
 
-    Of repeated rows with that doc_id one stays (the one with the smallest hash of its text). Rows with a
-    null doc_id cannot be named by a component and stay.
+    Of rows that repeat that doc_id any one stays. Rows with a null doc_id have no name that could be the
+    smallest, so they go if their component has a doc_id, and all stay if it has none.
     """
-    names = docs.columns
-    stay = simhash_components(docs, width, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["__stay"], "left_semi")
-    once = kept.dropDuplicates(["doc_id"]) if len(names) else kept
-    return once.select(*names).unionByName(docs.where(F.col("doc_id").isNull()))
+    found = simhash_components(docs, width, threshold)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
+    kept = docs.join(stay, docs["doc_id"].cast("long") == F.col("__stay"), "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where(F.col("doc_id").isNull())
+    alone = found.where("component_id is null").select(F.col("fingerprint").alias("__fp")).distinct()
+    marked = nameless.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marked = marked.withColumn("__hash", _fingerprint_udf(width)("__text"))
+    left = marked.join(alone, F.col("__hash") == F.col("__fp"), "left_semi").select(*docs.columns)
+    return kept.select(*docs.columns).unionByName(left)
+
+
+def _fingerprint_udf(width: int):
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: format(fingerprint(t.encode(), width), "016x"))
+
+    return run
