@@ -19,9 +19,11 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, allow_nan=False, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
-def canonical_json(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda s: None if s is None else canonical(json.loads(s)))
+def canonical_json(payload: Column | str) -> Column:
+    def run(payload: pd.Series) -> pd.Series:
+        return payload.map(lambda s: None if s is None else canonical(json.loads(s)))
+
+    return F.pandas_udf(run, "string")(payload)
 
 
 def sha256(text: Column) -> Column:
@@ -83,15 +85,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-@F.pandas_udf("array<double>")
-def half_precision(vectors: pd.Series) -> pd.Series:
+def half_precision(vectors: Column | str) -> Column:
     """The values as they come back from 16-bit floats."""
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f2").astype(np.float64))
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f2").astype(np.float64))
+
+    return F.pandas_udf(run, "array<double>")(vectors)
+
 
+def pack_f16(vectors: Column | str) -> Column:
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f2").tobytes())
 
-@F.pandas_udf("binary")
-def pack_f16(vectors: pd.Series) -> pd.Series:
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f2").tobytes())
+    return F.pandas_udf(run, "binary")(vectors)
 
 
 def unpack_f16(data: bytes, dimension: int = DIMENSION) -> np.ndarray:

@@ -31,10 +31,12 @@ def folded(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
-def nfkc_casefold(text: pd.Series) -> pd.Series:
+def nfkc_casefold(text: Column | str) -> Column:
     """Compatibility normal form and full case folding, for text that may not be stable."""
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def joined_words(text: Column) -> Column:
@@ -237,16 +239,20 @@ def _strings(text: str | None, keys: bool) -> list[str]:
     return [x for x in out if x.strip()]
 
 
-@F.pandas_udf("string")
-def payload_text(payload: pd.Series) -> pd.Series:
+def payload_text(payload: Column | str) -> Column:
     """Keys and values of a JSON text, keys sorted, depth first, a line each."""
-    return payload.map(lambda s: "\n".join(_strings(s, True)))
+    def run(payload: pd.Series) -> pd.Series:
+        return payload.map(lambda s: "\n".join(_strings(s, True)))
+
+    return F.pandas_udf(run, "string")(payload)
 
 
-@F.pandas_udf("array<string>")
-def payload_strings(payload: pd.Series) -> pd.Series:
+def payload_strings(payload: Column | str) -> Column:
     """String values, without keys, of a JSON text."""
-    return payload.map(lambda s: _strings(s, False))
+    def run(payload: pd.Series) -> pd.Series:
+        return payload.map(lambda s: _strings(s, False))
+
+    return F.pandas_udf(run, "array<string>")(payload)
 
 
 def search_text(item_id: Column, kind: Column, path: Column, payload: Column) -> Column:

@@ -10,14 +10,26 @@ from pyspark.sql import functions as F
 
 from recordlens.operators.graph import closure_by_seed, written
 
-# The order of sections among items of one priority.
-SECTION_ORDER = ("identity", "context", "terminology", "projects", "publications", "relationships", "chronology", "sources")
+# The order of sections, by kind, among items of one priority.
+SECTION_ORDER = {
+    "wrapper": 0,
+    "identity": 1,
+    "organization": 1,
+    "term": 2,
+    "claim": 3,
+    "project": 4,
+    "publication": 5,
+    "research_topic": 6,
+    "relationship": 7,
+    "event": 8,
+    "source": 9,
+}
 
 
-def section_rank(path: Column) -> Column:
-    """The place of an item's section, 99 for an unknown one."""
-    ranks = F.create_map(*(x for i, s in enumerate(SECTION_ORDER) for x in (F.lit(s), F.lit(i))))
-    return F.coalesce(F.try_element_at(ranks, F.split(path, "/")[0]), F.lit(99))
+def section_rank(kind: Column) -> Column:
+    """The place of a kind's section, 99 for an unknown one."""
+    ranks = F.create_map(*(F.lit(x) for pair in SECTION_ORDER.items() for x in pair))
+    return F.coalesce(F.try_element_at(ranks, kind), F.lit(99))
 
 
 def greedy_pack(items: DataFrame, by: str, order: list[str], cost: str, budget: int) -> DataFrame:
@@ -54,7 +66,7 @@ def greedy_pack(items: DataFrame, by: str, order: list[str], cost: str, budget:
 def select_with_dependencies(items: DataFrame, edges: DataFrame, profiles: dict[str, int], fixed_cost: int = 0, everything: str = "FULL") -> DataFrame:
     """(profile, item_id): items taken with all that they depend on, in the order of priority, section, path and id.
 
-    ``items``: (item_id, priority, source_path, cost); ``edges``: (src, dst). An item whose closure does
+    ``items``: (item_id, kind, priority, source_path, cost); ``edges``: (src, dst). An item whose closure does
     not fit is passed over and may come in later with another. The profile ``everything`` takes all or
     refuses. A dependency that is no item is refused. A registry's records are the group that one task
     folds, as each choice depends on all before it; their closures are found in parallel.
@@ -63,7 +75,7 @@ def select_with_dependencies(items: DataFrame, edges: DataFrame, profiles: dict[
     if not unknown.isEmpty():
         raise ValueError(f"dependency cannot be resolved: {unknown.first()['dst']}")
     closures = closure_by_seed(items.select(F.col("item_id").alias("id")), edges).groupBy("seed").agg(F.collect_list("id").alias("needs"))
-    ordered = items.withColumn("section", section_rank(F.col("source_path"))).join(closures, F.col("item_id") == F.col("seed"))
+    ordered = items.withColumn("section", section_rank(F.col("kind"))).join(closures, F.col("item_id") == F.col("seed"))
     named = items.sparkSession.createDataFrame(list(profiles.items()), "profile string, budget long")
     rows = ordered.join(F.broadcast(named)).select("profile", "budget", "item_id", "priority", "section", "source_path", "cost", "needs")
 

@@ -141,21 +141,31 @@ def gate(checks: dict[str, Column]) -> list[Column]:
     return [*(c.alias(n) for n, c in sound.items()), passed.alias("passed")]
 
 
+def overall_effect(classes: Column) -> Column:
+    """The effect of an array of effects; those that are unavailable don't count."""
+    known = F.filter(classes, lambda c: c != "unavailable")
+    has = lambda c: F.array_contains(known, c)
+    both = has("mixed") | (has("improved") & has("degraded"))
+    return F.when(F.size(known) == 0, "unavailable").when(both, "mixed").when(has("improved"), "improved").when(has("degraded"), "degraded").otherwise("neutral")
+
+
 # Floors and ceilings of the consumer gate and of the strict gate.
 CONSUMER_GATE = {
-    "status_accuracy": (">=", 0.90),
+    "primary_status_accuracy": (">=", 0.90),
     "register_accuracy": (">=", 0.90),
-    "evidence_accuracy": (">=", 0.80),
-    "unsupported_rate": ("<=", 0.0),
-    "minimum_status_recall": (">=", 0.80),
+    "evidence_fidelity": (">=", 0.80),
+    "unsupported_assertion_rate": ("<=", 0.0),
+    "per_status_accuracy": (">=", 0.80),
     "satire_register_accuracy": (">=", 0.80),
+    "evidence_ref_violations": ("<=", 0.0),
 }
 STRICT_GATE = {
-    "adjacency_accuracy": (">=", 0.80),
+    "adjacency_status_accuracy": (">=", 0.80),
     "adjacency_false_support_rate": ("<=", 0.0),
-    "unavailable_accuracy": (">=", 0.80),
-    "spurious_evidence_rate": ("<=", 0.0),
+    "unavailable_status_accuracy": (">=", 0.80),
+    "unavailable_spurious_evidence_rate": ("<=", 0.0),
 }
+UNAVAILABLE = "UNAVAILABLE_UNVERIFIED"
 
 
 def threshold_checks(limits: dict[str, tuple[str, float]], overrides: dict[str, float] | None = None) -> dict[str, Column]:
@@ -174,15 +184,35 @@ def compatibility_mismatches(actual: DataFrame, expected: DataFrame, fields: lis
     return a.join(F.broadcast(b)).select(F.array_compact(names).alias("mismatches"))
 
 
+def _audit(name: str) -> tuple[Column, Column]:
+    return F.col(f"expected.{name}"), F.col(f"actual.{name}")
+
+
 def claim_metrics() -> list[Column]:
     """Five metrics of audited claims (expected, actual); evidence may hold more than is expected."""
-    e, a = (lambda n: F.col(f"expected.{n}")), (lambda n: F.col(f"actual.{n}"))
-    supported = F.size(F.array_except(no_list(e("evidence_refs")), no_list(a("evidence_refs")))) == 0
-    claims = F.lit(True)
+    (e_status, a_status), (e_register, a_register), (e_refs, a_refs) = map(_audit, ("epistemic_status", "register", "evidence_refs"))
+    status, register = a_status.eqNullSafe(e_status), a_register.eqNullSafe(e_register)
+    evidence, claims = F.size(F.array_except(no_list(e_refs), no_list(a_refs))) == 0, F.lit(True)
+    return [
+        rate(status & register & evidence, claims).alias("overall_accuracy"),
+        rate(status, claims).alias("primary_status_accuracy"),
+        rate(register, claims).alias("register_accuracy"),
+        rate(evidence, claims).alias("evidence_fidelity"),
+        rate(~a_status.eqNullSafe(F.lit(UNAVAILABLE)), e_status == UNAVAILABLE).alias("unsupported_assertion_rate"),
+    ]
+
+
+def targeted_metrics(trap: Column) -> list[Column]:
+    """Seven metrics of the claims that ``trap`` marks, of unavailable ones and of satire; evidence as a multiset."""
+    (e_status, a_status), (e_register, a_register), (e_refs, a_refs) = map(_audit, ("epistemic_status", "register", "evidence_refs"))
+    status, unavailable, satire = a_status.eqNullSafe(e_status), e_status == UNAVAILABLE, e_register == "satire"
+    exact = F.array_sort(no_list(a_refs)) == F.array_sort(no_list(e_refs))
     return [
-        rate(a("epistemic_status").eqNullSafe(e("epistemic_status")), claims).alias("status_accuracy"),
-        rate(a("register").eqNullSafe(e("register")), claims).alias("register_accuracy"),
-        rate(supported, F.size(no_list(e("evidence_refs"))) > 0).alias("evidence_accuracy"),
-        rate(a("epistemic_status").eqNullSafe(F.lit("SUPPORTED")), e("epistemic_status") != "SUPPORTED").alias("unsupported_rate"),
-        rate(a("register").eqNullSafe(e("register")), e("register") == "SATIRE").alias("satire_register_accuracy"),
+        rate(status, trap).alias("adjacency_status_accuracy"),
+        rate(a_status.eqNullSafe(F.lit("SUPPORTED")), trap).alias("adjacency_false_support_rate"),
+        rate(exact, trap).alias("adjacency_evidence_fidelity"),
+        rate(a_status.eqNullSafe(F.lit(UNAVAILABLE)), unavailable).alias("unavailable_status_accuracy"),
+        rate(F.size(no_list(a_refs)) > 0, unavailable).alias("unavailable_spurious_evidence_rate"),
+        rate(a_register.eqNullSafe(F.lit("satire")), satire).alias("satire_register_accuracy"),
+        rate(status, satire).alias("satire_status_accuracy"),
     ]

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordlens.operators.graph import written
+
 
 def findings(rows: DataFrame, code: str, path: Column, message: Column) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), path.cast("string").alias("path"), message.cast("string").alias("message"))
@@ -153,7 +155,7 @@ def indexed(rows: DataFrame, order: list[str], name: str = "vector_index", bucke
     Rows are ranged, counted per range, and numbered within.
     """
     n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = written(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlens.functions.hashing import dot, embed
-from recordlens.functions.text import lookup_tokens
+from recordlens.functions.text import LOOKUP_TOKENS, lookup_tokens
 
 #: Token budgets that retrieved contexts are compared with.
 BUDGETS = {"MICRO": 8192, "STANDARD": 24576, "FULL": 131072}
@@ -25,14 +27,26 @@ def text_topk(rows: DataFrame, key: str, text: str, query: str, k: int = 5) -> D
     return scores.orderBy(F.desc(F.round("score", 12)), key).limit(k).select(key, F.round("score", 6).alias("score"))
 
 
+#: Queries that are sent to all tasks at once.
+QUERY_BLOCK = 1024
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) for few queries (query_id, q); a score per query and vector is made.
+    """(query_id, rank, vec_id, score): the ``k`` best of ``vectors`` (vec_id, v) for each of (query_id, q).
 
-    The queries' side is broadcast: callers state how many there are. Each task keeps k rows a query.
+    Queries go to the tasks in blocks of QUERY_BLOCK, so what is broadcast has a bound; each task keeps
+    the k best of a query before the shuffle.
     """
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
-    return ranked(scored, "query_id", "vec_id", k)
+    if k <= 0:
+        raise ValueError("k must be positive")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = []
+    for b in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = vectors.join(F.broadcast(some), F.col("vec_id") != F.col("query_id"))
+        scored = pairs.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
+        parts.append(ranked(scored, "query_id", "vec_id", k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ranked(scored: DataFrame, by: str, key: str, k: int, score: Column | None = None) -> DataFrame:
@@ -42,24 +56,33 @@ def ranked(scored: DataFrame, by: str, key: str, k: int, score: Column | None =
 
 
 def lexical_topk(queries: DataFrame, records: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, record_id, score): twice the shared tokens plus one for the query's phrase.
+    """(query_id, rank, record_id, score): twice the shared tokens, and one if the record holds the query's phrase.
 
-    ``queries``: (query_id, query); ``records``: (record_id, body). Tokens are joined by equality, and
-    tokens in most records are the bulk of that join, counted before they are shuffled by pair. Records
-    without any shared token score zero and only fill what is missing to k, in the order of their ids.
+    ``queries``: (query_id, query); ``records``: (record_id, body). Tokens are joined by equality. A phrase
+    can only be where all its inner tokens are, so bodies are read for such pairs only, or, for a query
+    without inner tokens, for all. Records that score zero fill what is missing to k, by their ids.
     """
-    q = queries.select("query_id", F.explode(lookup_tokens(F.col("query"), 2)).alias("token"))
+    q = queries.select("query_id", "query", lookup_tokens(F.col("query"), 2).alias("tokens"))
+    all_tokens = F.regexp_extract_all(F.lower("query"), F.lit(LOOKUP_TOKENS), F.lit(0))
+    inner = F.when(F.size(all_tokens) > 2, F.slice(all_tokens, 2, F.greatest(F.size(all_tokens) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    q = q.withColumn("inner", F.size(F.array_distinct(F.filter(inner, lambda t: F.length(t) > 2))))
     r = records.select("record_id", F.explode(lookup_tokens(F.col("body"))).alias("token"))
-    shared = r.join(F.broadcast(q), "token").groupBy("query_id", "record_id").agg(F.count(F.lit(1)).alias("shared"))
-    scored = shared.select("query_id", "record_id", (2 * F.col("shared")).alias("score"))
+    shared = r.join(q.select("query_id", F.explode("tokens").alias("token")), "token").groupBy("query_id", "record_id").agg(F.count(F.lit(1)).alias("shared"))
+    held = F.contains(F.lower("body"), F.lower("query"))
+    likely = shared.join(q.where("inner > 0").select("query_id", "query", "inner"), "query_id").where("shared >= inner").join(records, "record_id").where(held)
+    short = q.where("inner = 0").select("query_id", "query")
+    anywhere = records.join(short, held).select("query_id", "record_id")
+    phrases = likely.select("query_id", "record_id").unionByName(anywhere).withColumn("phrase", F.lit(1))
+    both = shared.join(phrases, ["query_id", "record_id"], "full_outer")
+    zero = F.lit(0).cast("long")
+    scored = both.select("query_id", "record_id", (2 * F.coalesce("shared", zero) + F.coalesce("phrase", zero)).alias("score"))
     best = ranked(scored, "query_id", "record_id", k)
-    short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
-    short = short.where(F.coalesce("n", F.lit(0)) < k).select("query_id")
-    # At most k records of the smallest ids besides those already there can be needed.
+    lacking = queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+    lacking = lacking.where(F.coalesce("n", zero) < k).select("query_id")
+    # Of k records of the smallest ids at most k - 1 are among those found; 2 k are enough.
     filler = records.select("record_id").orderBy("record_id").limit(2 * k)
-    zero = short.join(F.broadcast(filler)).join(scored.select("query_id", "record_id"), ["query_id", "record_id"], "left_anti")
-    zero = zero.withColumn("score", F.lit(0).cast("long")).withColumn("rank", F.lit(0))
-    return ranked(best.unionByName(zero).drop("rank"), "query_id", "record_id", k).select("query_id", "rank", "record_id", "score")
+    none = lacking.join(F.broadcast(filler)).join(scored.select("query_id", "record_id"), ["query_id", "record_id"], "left_anti").withColumn("score", zero)
+    return ranked(best.select("query_id", "record_id", "score").unionByName(none), "query_id", "record_id", k).select("query_id", "rank", "record_id", "score")
 
 
 def retrieval_report(results: DataFrame) -> DataFrame:

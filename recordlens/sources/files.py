@@ -76,20 +76,50 @@ def unified_items(records: DataFrame) -> DataFrame:
     kind = F.coalesce(F.nullif("record_type", F.lit("")), F.lit("record"))
     item_id = F.coalesce(F.nullif("id", F.lit("")), F.when(kind == "event", made))
     return records.select(item_id.alias("item_id"), kind.alias("kind"), F.col("path").alias("source_path"), canonical_json("payload").alias("payload")).withColumn(
-        "priority", priority(F.col("kind"), F.col("source_path"), F.col("item_id"))
+        "priority", priority(F.col("kind"), F.col("source_path"))
     )
 
 
-def priority(kind: Column, source_path: Column, item_id: Column) -> Column:
-    """0 for what must be known first, 3 for the rest."""
+def priority(kind: Column, source_path: Column) -> Column:
+    """0 for what must be known first, 3 for the rest; a wrapper goes with what it wraps."""
+    wrapper = kind == "wrapper"
     return (
-        F.when(kind.isin("identity", "organization") | (item_id == "wrapper:ai/manifest.json"), 0)
-        .when(kind.isin("claim", "term") | item_id.startswith("wrapper:"), 1)
-        .when(kind.isin("project", "publication", "source"), 2)
+        F.when(kind.isin("identity", "organization", "term") | (wrapper & source_path.isin("identity/public.json", "terminology/index.json", "context/public.json")), 0)
+        .when(kind.isin("claim", "project", "publication", "research_topic") | (wrapper & source_path.isin("projects/index.json", "publications/index.json")), 1)
+        .when(kind.isin("relationship", "event", "wrapper"), 2)
         .otherwise(3)
     )
 
 
+# The guards of items, by what they are marked with.
+TAG_GUARDS = (
+    (("satire",), "SATIRE != BIOGRAPHY"),
+    (("formalization", "formal-assurance", "lean4", "formal-protocol"), "FORMALIZATION != PHYSICAL_TRUTH"),
+    (("ai-observation", "transcript", "model-evaluation"), "OBSERVED_OR_ARCHIVED_MODEL_OUTPUT != GENERAL_MODEL_IDENTITY"),
+)
+OMISSION_GUARD = "REGISTRY_OMISSION != NEGATIVE_FACT"
+STATUS_GUARD = "UNASSERTED_LEGAL_OR_CORPORATE_STATUS != FALSE"
+
+
+def tag_guards(tags: Column) -> Column:
+    """The guards that an item's tags call for, in their order."""
+    low = F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower)
+    return F.array_compact(F.array(*(F.when(F.arrays_overlap(low, F.array(*map(F.lit, names))), F.lit(guard)) for names, guard in TAG_GUARDS)))
+
+
+def boundary_guards(kind: Column, source_path: Column, tags: Column, completeness: Column, legal_status: Column) -> Column:
+    """The guards of an item: by completeness for registries, by status for organisations, by tags for projects."""
+    registry = (kind == "wrapper") & source_path.isin("projects/index.json", "publications/index.json")
+    partial = F.lower(completeness).contains("not_exhaustive") | F.lower(completeness).contains("selective")
+    none = F.array().cast("array<string>")
+    return (
+        F.when(registry & partial, F.array(F.lit(OMISSION_GUARD)))
+        .when((kind == "organization") & (legal_status == "not_asserted_by_substrate"), F.array(F.lit(STATUS_GUARD)))
+        .when(kind == "project", tag_guards(tags))
+        .otherwise(none)
+    )
+
+
 def read_capsule(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(items: kind, source_path, payload) and (boundaries: item_id, guard) of a tab-delimited capsule."""
     lines = spark.read.text(path).select(F.split("value", "\t", 4).alias("f"))
