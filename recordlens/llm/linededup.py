@@ -149,7 +149,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8,
     met = cut(lines.select("doc", "key", "place", "leaf", "lh").join(of_line, ["leaf", "lh"]).select("doc", "key", "place", "leaf", "template"))
     held = met.groupBy("leaf", "template", "doc", "key").agg(F.lit(1).alias("one"))
     often = held.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("stays"))
-    often = often.where(F.col("n_docs") >= min_docs)
+    # Written, so that both sides of the join below come straight from a shuffle and a template with a
+    # large part of all lines can be split between tasks.
+    often = cut(often.where(F.col("n_docs") >= min_docs))
     return (
         met.join(often, ["leaf", "template"])
         .where(~F.col("doc").eqNullSafe(F.col("stays")))
