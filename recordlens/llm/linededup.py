@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordlens.llm.common import cut
+from recordlens.llm.quality import rewritten
 
 LEADING = 3
 _DIGIT = re.compile(rb"[0-9]")
@@ -181,13 +182,15 @@ def _with_count(parse):
 
 
 def _joined(docs: DataFrame, **options) -> DataFrame:
-    drop = recurring_lines(docs, **options).groupBy("doc_id", "key").agg(F.collect_list("place").alias("__drop"))
-    drop = drop.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "__drop")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    keyed = docs.withColumn("__text", F.xxhash64(text))
-    joined = keyed.join(drop, keyed["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__key")), "left")
-    return joined.withColumn("__lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).withColumn(
-        "__left", F.when(F.col("__drop").isNotNull(), F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__drop"), i))).otherwise(F.col("__lines"))
+    """(doc_id, row, drop: places or null, left: the lines that stay) of each row."""
+    drop = recurring_lines(docs, **options).groupBy("doc_id", "key").agg(F.collect_list("place").alias("drop"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # The row travels as one value, so that no name in it can clash with those used here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(drop, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("key")), "left")
+    lines = F.split(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "\n")
+    return joined.select("id", "row", "drop", lines.alias("lines")).withColumn(
+        "left", F.when(F.col("drop").isNotNull(), F.filter("lines", lambda x, i: ~F.array_contains(F.col("drop"), i))).otherwise(F.col("lines"))
     )
 
 
@@ -203,11 +206,11 @@ def report(docs: DataFrame, **options) -> DataFrame:
     their recurring lines to any row with a doc_id. No rows give no rows. Options: min_docs, similarity,
     leading.
     """
-    lines = F.filter("__lines", lambda x: x.rlike(_HAS_TOKEN))
-    dropped = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long")
-    left = F.array_join("__left", "\n")
-    return _joined(docs, **options).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    lines = F.filter("lines", lambda x: x.rlike(_HAS_TOKEN))
+    dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")
+    left = F.array_join("left", "\n")
+    return _joined(docs.select("doc_id", "text"), **options).select(
+        F.col("id").alias("doc_id"),
         F.size(lines).cast("long").alias("n_lines"),
         dropped.alias("n_dropped"),
         ((dropped == 0) | left.rlike(_HAS_TOKEN)).alias("kept"),
@@ -220,9 +223,6 @@ def clean(docs: DataFrame, **options) -> DataFrame:
 
     All columns of ``docs`` are returned and no others. See ``report`` for nulls, repeats and empty tables.
     """
-    left = F.array_join("__left", "\n")
-    out = _joined(docs, **options).where(F.col("__drop").isNull() | left.rlike(_HAS_TOKEN))
-    out = out.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    left = F.array_join("left", "\n")
+    out = _joined(docs, **options).where(F.col("drop").isNull() | left.rlike(_HAS_TOKEN))
+    return rewritten(out, docs.columns, F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(left), F.col("drop").isNotNull())

@@ -1,7 +1,8 @@
 """Mixing to target weights by soft membership (operator 7), in DataFrame functions only.
 
-A naive Bayes classifier over hashed words is trained on the labelled table and gives each document a
-posterior over the domains. Rates r >= 0 for all documents are then fitted by projected gradient steps on
+A naive Bayes classifier over hashed words and word shapes is trained on the labelled table and gives
+each document a posterior over the domains. Only features that a domain has significantly more or less
+often than the labelled documents as a whole take part, so rare words add no noise. Rates r >= 0 for all documents are then fitted by projected gradient steps on
 the squared distance of the expected token totals of the domains, sum of r * tokens * posterior, from
 the targets. The steps are scaled by the tokens and by the inverse of the domains' moment matrix, so a
 rate moves by its posterior times one number per domain: only these few numbers pass between the tasks
@@ -10,27 +11,37 @@ and the driver, and a document's rate is their fold over its posterior.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlens.llm.common import cut
 from recordlens.llm.quality import words_of
 
-#: Hashed words of the classifier: a table of that many rows at most is broadcast.
-BUCKETS = 1 << 14
+#: Hashed features of the classifier: at most as many rows are broadcast, a few thousand in practice.
+BUCKETS = 1 << 18
 #: Labelled documents that the classifier is trained on at most, about: a share by hash of the doc_id.
 MAX_LABELLED = 20_000
-#: Words that a document's evidence counts as, whatever its length.
-EVIDENCE = 24.0
+#: Documents' worth of the overall frequency that each domain's is smoothed with, and the deviations
+#: from chance that a feature needs.
+SMOOTHING, DEVIATIONS = 20.0, 3.5
 STEPS, CLOSE = 20, 1e-7
+#: A feature of every row: it counts how often a row is repeated.
+ROW = -1
 
 
 def _buckets(text: Column) -> Column:
-    return F.array_distinct(F.transform(words_of(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    """The distinct features of a text: words in lower case, and shapes with letters folded."""
+    shapes = F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"\p{Ll}+", "a")
+    bucket = lambda seed: lambda w: F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(BUCKETS)).cast("int")
+    return F.array_distinct(
+        F.concat(F.array(F.lit(ROW)), F.transform(words_of(F.lower(text)), bucket("word")), F.transform(words_of(shapes), bucket("shape")))
+    )
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[float]]:
-    """(bucket, w: log probabilities by domain) and the domains' log priors from (doc_id, domain) rows."""
+    """(bucket, w: log ratios by domain) and the domains' log priors from (doc_id, domain) rows."""
     k = len(domains)
     total = labelled.count()
     share = min(1.0, max_labelled / max(total, 1))
@@ -41,14 +52,18 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labelled
     words = texts.join(F.broadcast(some), "doc_id").select("domain", F.explode(_buckets(F.col("text"))).alias("bucket"))
     counts = words.groupBy("bucket").agg(*(F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)))
     counts = cut(counts)
-    sums = counts.agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(k))).first()
-    sizes = {r[0]: r[1] for r in some.groupBy("domain").agg(F.count(F.lit(1))).collect()}
-    logs = [F.log((F.col(f"n{i}") + 0.5) / (sums[i] + 0.5 * BUCKETS)) for i in range(k)]
-    all_n = sum(sizes.values()) + k
-    priors = [(sizes.get(d, 0) + 1) / all_n for d in domains]
-    import math
-
-    return counts.select("bucket", F.array(*logs).alias("w")), [math.log(p) for p in priors]
+    row = counts.where(F.col("bucket") == ROW).first()
+    sizes = [row[f"n{i}"] if row else 0 for i in range(k)]
+    overall = (sum((F.col(f"n{i}") for i in range(k)), F.lit(0)) + 0.5) / (sum(sizes) + 1)
+    counts = counts.where(F.col("bucket") != ROW).withColumn("overall", overall)
+    far = [F.abs(F.col(f"n{i}") - n * F.col("overall")) / F.sqrt(n * F.col("overall") + 1) > DEVIATIONS for i, n in enumerate(sizes)]
+    telling = far[0]
+    for f in far[1:]:
+        telling = telling | f
+    logs = [F.log((F.col(f"n{i}") + SMOOTHING * F.col("overall")) / ((n + SMOOTHING) * F.col("overall"))) for i, n in enumerate(sizes)]
+    model = counts.where(telling).select("bucket", F.array(*logs).alias("w"))
+    own = docs.sparkSession.createDataFrame([(ROW, [0.0] * k)], "bucket int, w array<double>")
+    return model.unionByName(own), [math.log((n + 1) / (sum(sizes) + k)) for n in sizes]
 
 
 def posteriors(docs: DataFrame, model: DataFrame, priors: list[float]) -> DataFrame:
@@ -61,11 +76,11 @@ def posteriors(docs: DataFrame, model: DataFrame, priors: list[float]) -> DataFr
     )
     k = len(priors)
     words = rows.select("doc_id", "th", F.explode("b").alias("bucket")).join(F.broadcast(model), "bucket")
-    # Means do not change when the same row is there twice.
-    means = words.groupBy("doc_id", "th").agg(*(F.avg(F.col("w")[i]).alias(f"m{i}") for i in range(k)))
-    means = means.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), *(f"m{i}" for i in range(k)))
-    joined = rows.drop("b").join(means, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")), "left")
-    logits = [F.lit(priors[i]) + EVIDENCE * F.coalesce(f"m{i}", F.lit(0.0)) for i in range(k)]
+    sums = words.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(
+        F.count_if(F.col("bucket") == ROW).alias("times"), *(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k))
+    )
+    joined = rows.drop("b").join(sums, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")))
+    logits = [F.lit(priors[i]) + F.col(f"s{i}") / F.col("times") for i in range(k)]
     scored = joined.select("doc_id", "th", "tokens", F.array(*logits).alias("z"))
     exps = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
     scored = scored.withColumn("e", exps)
@@ -100,8 +115,9 @@ def _rate(moves: list[list[float]]) -> Column:
 def fit(rows: DataFrame, weights: list[float], total: float | None = None) -> tuple[Column, dict]:
     """The rates for ``rows`` (tokens, p) as a column, and figures of the fit.
 
-    ``total``: expected tokens of the mixture; by default the largest that needs no domain more often
-    than once on average. Targets that cannot be met are met as nearly as rates of 0 or more can.
+    ``total``: expected tokens of the mixture; by default the domain of the largest weight is used once,
+    and the others as often as their weights ask for beside it. Targets that cannot be met are met as
+    nearly as rates of 0 or more can.
     """
     k = len(weights)
     share = [w / sum(weights) for w in weights]
@@ -114,7 +130,8 @@ def fit(rows: DataFrame, weights: list[float], total: float | None = None) -> tu
     matrix = [[float(moments[i * k + j] or 0.0) for j in range(k)] for i in range(k)]
     now = have = sums(F.lit(1.0))
     if total is None:
-        total = min((h / s for h, s in zip(have, share, strict=True) if s > 0), default=0.0)
+        largest = max(range(k), key=lambda i: share[i])
+        total = have[largest] / share[largest]
     targets = [s * total for s in share]
     moves: list[list[float]] = []
     for _ in range(STEPS):
@@ -157,13 +174,15 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     some = _rates(docs, labelled, weights, total, max_labelled)
     some = some.groupBy("doc_id", "th").agg(F.first("copies").alias("__copies")).where("__copies > 0")
     some = some.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "__copies")
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(some, keyed["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__th")))
-    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # The row travels as one value, so that no name in it can clash with those used here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(some, F.col("id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__th")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")
 
 
 #: The registered mixture: domains by the labelled table, and their shares of the tokens.
-WEIGHTS = {"good": 0.9, "plain": 0.09, "toxic": 0.01}
+WEIGHTS = {"good": 0.97, "plain": 0.03, "toxic": 0.0}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -149,16 +149,24 @@ def clean(docs: DataFrame, line_limit: int = 10, same_length: float = 0.6, least
     verdict = _judged(marked, line_limit, same_length, least_left).where("kept").select(
         F.col("host").alias("__host"), F.col("th").alias("__th"), F.col("removed").alias("__removed")
     ).dropDuplicates(["__host", "__th"])
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    host = F.coalesce(docs["source"].cast("string"), F.lit(""))
-    joined = docs.withColumns({"__dh": host, "__dt": F.unhex(F.md5(text))}).join(
-        verdict, (F.col("__dh") == F.col("__host")) & (F.col("__dt") == F.col("__th"))
+    # The row travels as one value, so that no name in it can clash with those used here.
+    rows = docs.select(
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__host"),
+        F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("__th"),
+        F.struct(*docs.columns).alias("row"),
     )
-    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("__removed"), _line_hash(x)))
-    out = joined.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    joined = rows.join(verdict, ["__host", "__th"])
+    left = F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains(F.col("__removed"), _line_hash(x)))
+    text = F.when(F.col("__removed").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    return rewritten(joined, docs.columns, text, F.col("__removed").isNotNull())
+
+
+def rewritten(rows: DataFrame, columns: list[str], text: Column, changed: Column) -> DataFrame:
+    """The columns of ``row`` with another text; n_chars, if there, follows where the text has changed."""
+    out = rows.withColumn("__text", text).withColumn("__changed", changed)
+    n_chars = F.when(F.col("__changed"), F.char_length("__text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None
+    given = {"text": F.col("__text"), "n_chars": n_chars}
+    return out.select(*(given[c].alias(c) if given.get(c) is not None else F.col("row").getField(c).alias(c) for c in columns))
 
 
 ORACLE_SQL = r"""

@@ -200,14 +200,14 @@ def dedup(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFr
     smallest, so they go if their component has a doc_id, and all stay if it has none.
     """
     found = simhash_components(docs, width, threshold)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long") == F.col("__stay"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull())
-    alone = found.where("component_id is null").select(F.col("fingerprint").alias("__fp")).distinct()
-    marked = nameless.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = marked.withColumn("__hash", _fingerprint_udf(width)("__text"))
-    left = marked.join(alone, F.col("__hash") == F.col("__fp"), "left_semi").select(*docs.columns)
-    return kept.select(*docs.columns).unionByName(left)
+    # The row travels as one value, so that no name in it can clash with those used here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), F.struct(*docs.columns).alias("row"))
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    kept = rows.join(stay, "id", "left_semi").dropDuplicates(["id"])
+    alone = found.where("component_id is null").select("fingerprint").distinct()
+    nameless = rows.where("id is null").withColumn("fingerprint", _fingerprint_udf(width)(F.coalesce("t", F.lit(""))))
+    left = nameless.join(alone, "fingerprint", "left_semi")
+    return kept.select("row.*").unionByName(left.select("row.*"))
 
 
 def _fingerprint_udf(width: int):

@@ -103,6 +103,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     v = digits(patterns)
     prior, accuracy = 0.7, np.tile([0.5, 0.95], (len(LABELLERS), 1))
     posterior = np.full(len(patterns), prior)
+    if not len(patterns):
+        return posterior, accuracy, prior
     for _ in range(rounds):
         good = np.where(v == GOOD, np.log(accuracy[:, 1]), np.where(v == BAD, np.log(1 - accuracy[:, 1]), 0.0)).sum(axis=1)
         bad = np.where(v == BAD, np.log(accuracy[:, 0]), np.where(v == GOOD, np.log(1 - accuracy[:, 0]), 0.0)).sum(axis=1)
