@@ -58,8 +58,11 @@ def violations(schema: dict, value: Column, kind: T.DataType, path: str = "$") -
             add("uniqueItems", F.size(F.array_distinct(value)) < F.size(value))
         for keyword in ("items", "contains"):
             if keyword in schema:
-                inner = lambda x, s=schema[keyword]: _any(violations(s, x, kind.elementType, path))
-                add(keyword, F.exists(value, inner) if keyword == "items" else ~F.exists(value, lambda x: ~inner(x)))
+                bad_item = _item_violation(schema[keyword], kind.elementType, path)
+                if keyword == "items":
+                    add(keyword, F.exists(value, bad_item))
+                else:
+                    add(keyword, F.forall(value, bad_item))
     if isinstance(kind, T.MapType) and "minProperties" in schema:
         add("minProperties", F.size(value) < schema["minProperties"])
     if isinstance(kind, T.StructType):
@@ -86,6 +89,13 @@ def violations(schema: dict, value: Column, kind: T.DataType, path: str = "$") -
     return found
 
 
+def _item_violation(schema: dict, kind: T.DataType, path: str):
+    def bad(x: Column) -> Column:
+        return _any(violations(schema, x, kind, path))
+
+    return bad
+
+
 def _any(parts: list) -> Column:
     out = F.lit(False)
     for p in parts:
