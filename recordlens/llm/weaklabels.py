@@ -24,7 +24,7 @@ from recordlens.llm.common import cut
 #: Hashed features, a power of two; the weights are a vector of that length.
 FEATURES = 1 << 15
 #: Documents that the scorer is trained on at most, about: a share of all by hash of the doc_id.
-TRAIN_DOCS = 12_000
+TRAIN_DOCS = 6_000
 #: Words that a worker remembers the features of.
 CACHE_WORDS = 300_000
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -153,29 +153,30 @@ class _Seen(dict):
 
 
 def _vectors(batches):
-    """Of each document the share of its features, sparse."""
+    """Of each document the share of its features, sparse, as packed numbers."""
     known = _Seen(features)
     for b in batches:
         at, share = [], []
         for t in b.column(2):
             f, n = sparse((t.as_py() or "").split(), known)
-            at.append(f)
-            share.append(n)
+            at.append(f.tobytes())
+            share.append(n.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))],
+            [b.column(0), b.column(1), pa.array(at, pa.binary()), pa.array(share, pa.binary())],
             ["doc_id", "pattern", "at", "share"],
         )
 
 
-def fit(rows: list[tuple[list[int], list[float], float]], rounds: int = 200) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear scorer from (features, shares, soft label): logistic loss, Adam."""
     weights, bias = np.zeros(FEATURES), 0.0
     if not rows:
         return weights, bias
     size = np.array([len(r[0]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    at, share, label = np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows]), np.array([r[2] for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    at, share, label = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.array([r[2] for r in rows])
     used, at = np.unique(at, return_inverse=True)
+    at = at.astype(np.int32)
     w, m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     scale = 20.0
     for t in range(1, rounds + 1):
@@ -220,9 +221,9 @@ def score(docs: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = 0.5)
             patterns = [votes(t.as_py() or "") for t in b.column(1)]
             yield from _vectors([pa.RecordBatch.from_arrays([b.column(0), pa.array(patterns, pa.int32()), b.column(1)], ["doc_id", "pattern", "text"])])
 
-    sample = narrow.where(chosen).mapInArrow(vote_again, "doc_id long, pattern int, at array<int>, share array<float>").collect()
+    sample = narrow.where(chosen).mapInArrow(vote_again, "doc_id long, pattern int, at binary, share binary").collect()
     sample.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], len(r[2])))
-    weights, bias = fit([(r[2], r[3], label[r[1]]) for r in sample])
+    weights, bias = fit([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32), label[r[1]]) for r in sample])
     shared = spark.sparkContext.broadcast((weights, bias, label))
 
     def run(batches):
