@@ -19,8 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.llm.common import cut
-
 #: Hashed features, a power of two; the weights are a vector of that length.
 FEATURES = 1 << 15
 #: Documents that the scorer is trained on at most, about: a share of all by hash of the doc_id.
@@ -204,11 +202,10 @@ def score(docs: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = 0.5)
     def cast_votes(batches):
         for b in batches:
             patterns = [votes(t.as_py() or "") for t in b.column(1)]
-            keys = [zlib.crc32((t.as_py() or "")[:4096].encode()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(patterns, pa.int32()), pa.array(keys, pa.int64())], ["doc_id", "pattern", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int32())], ["pattern"])
 
-    voted = cut(narrow.mapInArrow(cast_votes, "doc_id long, pattern int, key long"))
-    table = sorted((r[0], r[1]) for r in voted.groupBy("pattern").agg(F.count(F.lit(1))).collect())
+    voted = narrow.mapInArrow(cast_votes, "pattern int").groupBy("pattern").agg(F.count(F.lit(1)))
+    table = sorted((r[0], r[1]) for r in voted.collect())
     patterns = np.array([r[0] for r in table], np.int64).reshape(-1)
     counts = np.array([r[1] for r in table], np.float64).reshape(-1)
     posterior, _, _ = estimate(patterns, counts)
