@@ -137,7 +137,7 @@ def _parse(similarity: float):
     return run
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8, leading: int = LEADING) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8, leading: int = LEADING) -> DataFrame:
     """The lines to drop: doc_id, key (hash of the text) and place (from 0) of each."""
     lines = cut(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(_read_lines(leading), _LINES_SCHEMA))
     distinct = lines.groupBy("leaf", "lh").agg(F.count_if("new").alias("n"), F.first("tokens").alias("tokens"))
