@@ -70,6 +70,45 @@ _TRIGGER = {"email": "@", "phone": "+"}
 _DIGIT = re.compile("[0-9]")
 
 
+#: Lengths of IBANs by country.
+IBAN_LENGTH = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 "
+        "GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 "
+        "MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 "
+        "VA22 VG24 XK20"
+    ).split()
+}
+
+
+def iban_end(text: str, start: int, end: int) -> int:
+    """Where the IBAN with a right checksum ends that starts at ``start``; 0 if there is none.
+
+    The pattern takes what follows in upper case or digits along, so the end at the country's length is tried
+    first. Other shorter ends are not: one in 97 would pass by chance.
+    """
+    whole, n = end, len(text[start:end].replace(" ", ""))
+    while n > IBAN_LENGTH.get(text[start : start + 2], 99):
+        end = max(start, text.rfind(" ", start, end))
+        n = len(text[start:end].replace(" ", ""))
+    if n == IBAN_LENGTH.get(text[start : start + 2]) and mod97(text[start:end]):
+        return end
+    return whole if 15 <= len(text[start:whole].replace(" ", "")) <= 34 and mod97(text[start:whole]) else 0
+
+
+def proposals(kind: str, pattern: re.Pattern, text: str):
+    """(start, end) of the spans of an added kind, before they are scored, leftmost and non-overlapping."""
+    at = 0
+    while m := pattern.search(text, at):
+        start, end = m.span()
+        if kind == "iban":
+            end = iban_end(text, start, end)
+        if end:
+            yield start, end
+        at = end or start + 1  # what follows a span that is none, or a shorter one, is looked at again
+
+
 def score(kind: str, text: str, start: int, end: int) -> float:
     """How likely a proposed span of an added kind is personal data."""
     found = text[start:end]
@@ -100,9 +139,9 @@ def spans(text: str, base, more) -> list[tuple[int, int, int]]:
     if has_digit:
         own = list(found)
         for k, (kind, pattern) in enumerate(more, len(base)):
-            for m in pattern.finditer(text):
-                if score(kind, text, *m.span()) >= THRESHOLD - 1e-9 and not any(s < m.end() and m.start() < e for s, _, e in own):
-                    found.append((m.start(), k, m.end()))
+            for start, end in proposals(kind, pattern, text):
+                if score(kind, text, start, end) >= THRESHOLD - 1e-9 and not any(s < end and start < e for s, _, e in own):
+                    found.append((start, k, end))
     return sorted(found)
 
 
