@@ -8,8 +8,8 @@ anchor. Each distinct fingerprint is replicated to all anchors within that dista
 on average), and fingerprints are compared per anchor on all 64 bits. No link can be missed, and an
 anchor gets about one fingerprint in two million, apart from real neighbourhoods.
 
-Within an anchor only a spanning forest of the links is returned, one edge fewer than members at most,
-never all pairs. Equal fingerprints are reduced to one row before anything is compared.
+Within an anchor only a spanning forest of the links is returned, never all pairs; a crowded anchor is
+compared by blocks of bits. Equal fingerprints are reduced to one row before anything is compared.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -75,15 +74,17 @@ def fingerprint(data: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed long. A null text has no words."""
+    """(doc_id, th, fp): the fingerprint of each row's whole text as a signed long. A null text has no words."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
+            texts = b.column(2).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py() or b"", width) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 #: Parity checks of the Hamming code: bit j of the syndrome covers the positions (from 1) with bit j set.
@@ -108,111 +109,135 @@ def _replicate(batches):
     low31 = np.uint64((1 << 31) - 1)
     for b in batches:
         for at in range(0, b.num_rows, 8192):
-            rep, fp = (np.asarray(b.column(i)[at : at + 8192]) for i in (0, 1))
+            fp = np.asarray(b.column(0)[at : at + 8192])
             word = fp.view(np.uint64)
             for k in (0, 1):
                 rows, found = anchors((word >> np.uint64(32 * k)) & low31)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((found | np.uint64(k << 40)).view(np.int64)), pa.array(fp[rows]), pa.array(rep[rows])],
-                    ["anchor", "fp", "rep"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array((found | np.uint64(k << 40)).view(np.int64)), pa.array(fp[rows])], ["anchor", "fp"])
 
 
-def forest(fps: np.ndarray, reps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Edges that connect what links of at most ``threshold`` bits connect; fewer than members."""
-    edges: list[tuple[int, int]] = []
+#: Members of an anchor from which on they are compared by blocks of their bits.
+CROWD = 512
+
+
+def forest(fps: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """Edges (u, v) that connect what links of at most ``threshold`` bits connect.
+
+    Up to CROWD distinct fingerprints are compared with each other. More are sorted into threshold + 1
+    blocks of their bits, of which two linked ones share one, and each crowd of equal blocks is compared by itself.
+    Within a comparison there are fewer edges than members.
+    """
+    if len(fps) > CROWD:
+        edges, width = [], 64 // (threshold + 1)
+        for i in range(threshold + 1):
+            last = 64 - width * i if i == threshold else width
+            block = (fps >> np.uint64(width * i)) & np.uint64((1 << last) - 1)
+            order = np.argsort(block, kind="stable")
+            bounds = np.flatnonzero(np.diff(block[order])) + 1
+            edges += [_close(part, threshold) for part in np.split(fps[order], bounds) if len(part) > 1]
+        return np.concatenate(edges) if edges else np.zeros((0, 2), np.uint64)
+    return _close(fps, threshold)
+
+
+def _close(fps: np.ndarray, threshold: int) -> np.ndarray:
+    edges = [np.zeros((0, 2), np.uint64)]
     while len(fps) > 1:
-        queue, fps, reps = [(fps[0], reps[0])], fps[1:], reps[1:]
+        queue, fps = [fps[0]], fps[1:]
         while queue and len(fps):
-            fp, rep = queue.pop()
+            fp = queue.pop()
             near = np.bitwise_count(fps ^ fp) <= threshold
             if near.any():
-                queue += zip(fps[near], reps[near], strict=True)
-                edges += ((int(rep), int(r)) for r in reps[near])
-                fps, reps = fps[~near], reps[~near]
-    return edges
+                queue += fps[near].tolist()
+                edges.append(np.stack([np.full(int(near.sum()), fp, np.uint64), fps[near]], axis=1))
+                fps = fps[~near]
+    return np.concatenate(edges)
 
 
 def _compare(threshold: int):
     def run(batches):
-        key = fps = reps = None  # the anchor that the last batch ended in
+        key, held = None, []  # the anchor that the last batch ended in, and its members so far
         for b in batches:
             if not b.num_rows:
                 continue
-            k, f, r = (np.asarray(b.column(i)) for i in range(3))
-            if key is not None:
-                k, f, r = np.concatenate([key, k]), np.concatenate([fps, f]), np.concatenate([reps, r])
-            last = int(np.searchsorted(k, k[-1]))
-            key, fps, reps = k[last:], f[last:], r[last:]
-            yield from _edges(k[:last], f[:last], r[:last], threshold)
-        if key is not None:
-            yield from _edges(key, fps, reps, threshold)
+            k, f = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64)
+            first, last = int(np.searchsorted(k, k[0], side="right")), int(np.searchsorted(k, k[-1]))
+            if key == k[0]:
+                held.append(f[:first])
+                if first == len(k):
+                    continue
+                yield from _edges(np.zeros(sum(map(len, held)), np.int64), np.concatenate(held), threshold)
+                yield from _edges(k[first:last], f[first:last], threshold)
+            else:
+                if held:
+                    yield from _edges(np.zeros(sum(map(len, held)), np.int64), np.concatenate(held), threshold)
+                yield from _edges(k[:last], f[:last], threshold)
+            key, held = k[-1], [f[last:]]
+        if held:
+            yield from _edges(np.zeros(sum(map(len, held)), np.int64), np.concatenate(held), threshold)
 
     return run
 
 
-def _edges(k, f, r, threshold):
+def _edges(k, f, threshold):
     if len(k) < 2:
         return
-    f = f.view(np.uint64)
     start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     size = np.diff(np.concatenate([start, [len(k)]]))
     two = start[size == 2]
     two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= threshold]
-    found = [np.stack([r[two], r[two + 1]], axis=1)]
-    for s, n in zip(start[size > 2], size[size > 2], strict=True):
-        if edges := forest(f[s : s + n], r[s : s + n], threshold):
-            found.append(np.array(edges, np.int64))
-    uv = np.concatenate(found)
+    found = [np.stack([f[two], f[two + 1]], axis=1)]
+    found += [forest(f[s : s + n], threshold) for s, n in zip(start[size > 2], size[size > 2], strict=True)]
+    uv = np.concatenate(found).view(np.int64)
     if len(uv):
         yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], ["u", "v"])
 
 
+def _grouped(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id, text hash and fingerprint; and of each fingerprint its component.
+
+    Fingerprints are the nodes, so one that only rows without a doc_id have links like any other.
+    """
+    if not 0 <= threshold <= THRESHOLD:
+        raise ValueError("threshold must be from 0 to 3")
+    marked = cut(fingerprints(docs, width))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("fp_rows")))
+    spread = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long")
+    met = spread.repartition("anchor").sortWithinPartitions("anchor")
+    stars = components(met.mapInArrow(_compare(threshold), "u long, v long"))
+    rooted = distinct.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "least", "fp_rows"
+    )
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked, rooted.select("fp", "root", "fp_rows").join(names, "root")
+
+
 def simhash_components(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text; other columns are ignored).
 
     Returns one row per input row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
     that links reach, itself included) and fp_rows (rows with the same fingerprint, a hint at copies).
     Null, empty and blank texts have the fingerprint zero and link like any other. Rows with a null
-    doc_id get a component like others, but a null is never a component_id unless the component has
+    doc_id link and bridge like others, but a null is never a component_id unless the component has
     nothing else. Repeated rows are returned as often as they come. No rows give no rows.
     ``threshold``: differing bits of a link, 3 at most (the anchors' radius is made for that).
     """
-    if not 0 <= threshold <= THRESHOLD:
-        raise ValueError("threshold must be from 0 to 3")
-    marked = cut(fingerprints(docs, width))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("fp_rows")))
-    spread = distinct.where("rep is not null").select("rep", "fp").mapInArrow(_replicate, "anchor long, fp long, rep long")
-    met = spread.repartition("anchor").sortWithinPartitions("anchor")
-    stars = components(met.mapInArrow(_compare(threshold), "u long, v long"))
-    named = distinct.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id"), "fp_rows"
-    )
+    marked, named = _grouped(docs, width, threshold)
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp_rows"
     )
 
 
 def dedup(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
+    """The rows of ``docs`` that stay: of each component one with the smallest doc_id.
 
-    Of rows that repeat that doc_id any one stays. Rows with a null doc_id have no name that could be the
-    smallest, so they go if their component has a doc_id, and all stay if it has none.
+    Rows are told apart by doc_id and text, so a repeated doc_id with a text of another component stays too.
+    A row with a null doc_id stays only if its component has no other; then one stays.
     """
-    found = simhash_components(docs, width, threshold)
+    marked, named = _grouped(docs, width, threshold)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("one")
+    stay = marked.join(named, "fp").groupBy("root").agg(one).select(F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th"))
     # The row travels as one value, so that no name in it can clash with those used here.
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), F.struct(*docs.columns).alias("row"))
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    kept = rows.join(stay, "id", "left_semi").dropDuplicates(["id"])
-    alone = found.where("component_id is null").select("fingerprint").distinct()
-    nameless = rows.where("id is null").withColumn("fingerprint", _fingerprint_udf(width)(F.coalesce("t", F.lit(""))))
-    left = nameless.join(alone, "fingerprint", "left_semi")
-    return kept.select("row.*").unionByName(left.select("row.*"))
-
-
-def _fingerprint_udf(width: int):
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: format(fingerprint(t.encode(), width), "016x"))
-
-    return run
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left_semi")
+    return kept.dropDuplicates(["id", "th"]).select("row.*")

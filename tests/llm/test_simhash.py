@@ -90,8 +90,60 @@ def test_every_close_pair_shares_an_anchor():
 
 def test_forest_connects_what_links_connect():
     fps = np.array([0, 7, 63, 0xFFFF << 40, (0xFFFF << 40) | 1], np.uint64)
-    edges = simhash.forest(fps, np.arange(5))
-    assert len(edges) == 3 and {frozenset(e) for e in edges} >= {frozenset((0, 1)), frozenset((1, 2)), frozenset((3, 4))}
+    edges = simhash.forest(fps).tolist()
+    assert len(edges) == 3 and {frozenset(e) for e in edges} >= {frozenset((0, 7)), frozenset((7, 63)), frozenset((0xFFFF << 40, (0xFFFF << 40) | 1))}
+
+
+def connected(fps, edges):
+    root = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        root[find(int(u))] = find(int(v))
+    groups = {}
+    for f in root:
+        groups.setdefault(find(f), set()).add(f)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_a_crowded_anchor_links_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    near = [int(b) ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 5), replace=False)) for b in np.repeat(base, 4)]
+    fps = np.unique(np.concatenate([base, np.array(near, np.uint64)]))
+    want = connected(fps, simhash.forest(fps)) if len(fps) <= simhash.CROWD else None
+    brute = connected(fps, [(a, b) for i, a in enumerate(fps) for b in fps[:i] if int(a ^ b).bit_count() <= 3])
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    assert connected(fps, simhash.forest(fps)) == brute and want in (None, brute)
+
+
+def test_anchors_that_span_batches():
+    rows = [(5, 1), (5, 3), (7, 8), (7, 9), (7, 0xFF << 50), (9, 11), (9, 11 << 30), (12, 4)]
+    import pyarrow as pa
+
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in (0, 1)], ["anchor", "fp"])
+    for size in (1, 2, 3, 8):
+        out = simhash._compare(3)(batch(rows[i : i + size]) for i in range(0, len(rows), size))
+        assert sorted(e for b in out for e in zip(*(c.to_pylist() for c in b.columns), strict=True)) == [(1, 3), (8, 9)]
+
+
+def test_a_row_without_doc_id_bridges_two_others(spark):
+    fps = {"a": 0x5F9D3A9D2C58CACD, "b": 0x5F9D3A9DAC58CACD, "c": 0x4D9D3A9DAC48CACD}
+    old, simhash.fingerprints = simhash.fingerprints, lambda docs, width=3: docs.sparkSession.createDataFrame([(1, 1, fps["a"]), (None, 2, fps["b"]), (2, 3, fps["c"])], "doc_id long, th long, fp long")
+    try:
+        assert [r["component_id"] for r in simhash.simhash_components(spark.range(1)).collect()] == [1, 1, 1]
+    finally:
+        simhash.fingerprints = old
+
+
+def test_dedup_keeps_other_texts_of_a_repeated_doc_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    got = simhash.dedup(spark.createDataFrame([(1, a), (1, b), (1, a), (2, b)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"][0]) for r in got) == [(1, "a"), (1, "b")]
 
 
 def test_components_of_a_path_and_a_star(spark):
