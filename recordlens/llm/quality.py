@@ -3,9 +3,14 @@
 Lines are normalised (white space collapsed, digits to 0, lower case) and hashed. For each host (the
 ``source`` of a document) the distinct documents that hold a line are counted; equal texts of a host
 count once. A line in more than ``line_limit`` of them is removed, and a document that keeps too little
-of its characters is rejected as depleted. Copies and near copies of one document share all their lines
-without any of them being boilerplate: they show by their lengths. So a line is left alone when more
-than ``same_length`` of the documents that hold it have the length of one class (an eighth of a factor e).
+of its characters is rejected as depleted.
+
+Near copies of one document share their lines without any of them being boilerplate, so they too count
+once. They are told by content: a text's key is the least hash of its 8-word windows (of those that begin
+with a long word, to hash fewer), which two texts share with a chance equal to the similarity of their
+windows. A key that several holders of a line have stands for one document, and, since near copies miss
+their common key at times, for the share 1 - ``key_share`` of its near copies with other keys. Unrelated pages
+around the same boilerplate have keys of their own as far as their text is their own.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ from pyspark.sql import functions as F
 from recordlens.llm.common import WS_CLASS, cut, let
 
 WINDOW = 8
+#: Characters of a word that a window for the content key begins with, at least.
+LONG = 7
 
 
 def words_of(text: Column) -> Column:
@@ -67,8 +74,14 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) >= WINDOW, let(F.transform(words, lambda w: F.xxhash64(w)), by_hash)).otherwise(F.lit(0).cast("long"))
 
 
+def _content_key(words: Column) -> Column:
+    """The least hash of the windows that begin with a long word; null if there is none."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.char_length(F.element_at(words, i)) >= LONG)
+    return F.when(F.size(words) >= WINDOW, F.array_min(F.transform(starts, lambda i: F.md5(F.array_join(F.slice(words, i, WINDOW), " ")))))
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, host, text hash, base columns, and its lines' hashes and lengths."""
+    """A row per document: doc_id, host, text hash, content key, base columns, and its lines' hashes and lengths."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text.alias("text"))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(f"[^{WS_CLASS}]"))
@@ -83,6 +96,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 F.size(w).cast("long").alias("n_words"),
                 F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
                 _repeated(w).alias("n_repeat_words"),
+                _content_key(w).alias("content"),
             ),
         ).alias("w"),
         let(
@@ -93,21 +107,25 @@ def measured(docs: DataFrame) -> DataFrame:
             ),
         ).alias("a"),
     )
-    return split.select("doc_id", "host", "th", "n_symbols", "w.*", "a.*").withColumn(
-        "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return (
+        split.select("doc_id", "host", "th", "n_symbols", "w.*", "a.*")
+        .withColumn("key", F.xxhash64(F.coalesce(F.unhex("content"), F.col("th"))))
+        .drop("content")
+        .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     )
 
 
-def _removed(marked: DataFrame, line_limit: int, same_length: float) -> DataFrame:
+def _removed(marked: DataFrame, line_limit: int, key_share: float) -> DataFrame:
     """(host, th, removed: set of line hashes, n_removed_lines, n_removed_chars) of texts that lose lines."""
-    texts = marked.groupBy("host", "th").agg(F.first("lines").alias("lines"), F.first("n_words").alias("n_words"))
-    lines = texts.select("host", "th", F.floor(F.log(F.greatest("n_words", F.lit(1))) * 8).alias("size"), F.explode("lines").alias("l")).select(
-        "host", "th", "size", "l.h", "l.c"
+    texts = marked.groupBy("host", "th").agg(F.first("lines").alias("lines"), F.first("key").alias("key"))
+    held = texts.select("host", "key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    by_key = held.groupBy("host", "h", "key").agg(F.count(F.lit(1)).alias("n"))
+    shared = F.col("n") > 1
+    often = by_key.groupBy("host", "h").agg(
+        F.sum("n").alias("n"), F.sum(F.when(shared, F.col("n")).otherwise(0)).alias("copies"), F.count_if(shared).alias("keys")
     )
-    held = lines.groupBy("host", "h", "size", "th").agg(F.lit(1).alias("one"))
-    by_size = held.groupBy("host", "h", "size").agg(F.count(F.lit(1)).alias("n"))
-    often = by_size.groupBy("host", "h").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    often = often.where((F.col("n") > line_limit) & (F.col("most") <= same_length * F.col("n"))).select("host", "h")
+    often = often.where(F.col("n") - F.col("copies") / key_share + F.col("keys") > line_limit).select("host", "h")
+    lines = texts.select("host", "th", F.explode("lines").alias("l")).select("host", "th", "l.h", "l.c")
     return (
         lines.join(often, ["host", "h"])
         .groupBy("host", "th")
@@ -115,9 +133,9 @@ def _removed(marked: DataFrame, line_limit: int, same_length: float) -> DataFram
     )
 
 
-def _judged(marked: DataFrame, line_limit: int, same_length: float, least_left: float) -> DataFrame:
+def _judged(marked: DataFrame, line_limit: int, key_share: float, least_left: float) -> DataFrame:
     all_chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["c"])
-    joined = marked.withColumn("n_line_chars", all_chars).join(_removed(marked, line_limit, same_length), ["host", "th"], "left")
+    joined = marked.withColumn("n_line_chars", all_chars).join(_removed(marked, line_limit, key_share), ["host", "th"], "left")
     lost = F.coalesce("n_removed_chars", F.lit(0).cast("long"))
     depleted = (F.col("n_line_chars") - lost) < least_left * F.col("n_line_chars")
     return (
@@ -127,7 +145,7 @@ def _judged(marked: DataFrame, line_limit: int, same_length: float, least_left:
     )
 
 
-def judge(docs: DataFrame, line_limit: int = 10, same_length: float = 0.6, least_left: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, line_limit: int = 10, key_share: float = 0.7, least_left: float = 0.2) -> DataFrame:
     """The rules' figures and verdict for every row of ``docs`` (doc_id, text, source; others are ignored).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
@@ -135,18 +153,18 @@ def judge(docs: DataFrame, line_limit: int = 10, same_length: float = 0.6, least
     source is the host "". Rows come back as often as they come in, null doc_ids too. No rows give no rows.
     """
     marked = cut(measured(docs))
-    return _judged(marked, line_limit, same_length, least_left).select(
+    return _judged(marked, line_limit, key_share, least_left).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "n_removed_chars"
     )
 
 
-def clean(docs: DataFrame, line_limit: int = 10, same_length: float = 0.6, least_left: float = 0.2) -> DataFrame:
+def clean(docs: DataFrame, line_limit: int = 10, key_share: float = 0.7, least_left: float = 0.2) -> DataFrame:
     """The rows of ``docs`` that are kept, without their removed lines; n_chars, if there, follows.
 
     All columns of ``docs`` are returned and no others. See ``judge`` for nulls, repeats and empty tables.
     """
     marked = cut(measured(docs))
-    verdict = _judged(marked, line_limit, same_length, least_left).where("kept").select(
+    verdict = _judged(marked, line_limit, key_share, least_left).where("kept").select(
         F.col("host").alias("__host"), F.col("th").alias("__th"), F.col("removed").alias("__removed")
     ).dropDuplicates(["__host", "__th"])
     # The row travels as one value, so that no name in it can clash with those used here.
@@ -178,7 +196,9 @@ WITH d AS (
 ), g AS (
   SELECT r, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8
 ), h AS (
-  SELECT r, i, array_to_string(words[i : i + 7], ' ') AS win FROM g
+  SELECT r, i, length(words[i]) >= 7 AS long, array_to_string(words[i : i + 7], ' ') AS win FROM g
+), content AS (
+  SELECT r, min(md5(win)) AS key FROM h WHERE long GROUP BY r
 ), twice AS (
   SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM h) WHERE n > 1
 ), rep AS (
@@ -189,13 +209,13 @@ WITH d AS (
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, ls
   FROM w LEFT JOIN rep ON w.r = rep.r
 ), l AS (
-  SELECT r, host, s, floor(ln(greatest(n_words, 1)) * 8) AS size, unnest(ls) AS line FROM b
+  SELECT b.r, host, s, coalesce(key, md5(s)) AS key, unnest(ls) AS line FROM b LEFT JOIN content ON b.r = content.r
 ), n AS (
-  SELECT r, host, s, size, length(line) AS c,
+  SELECT r, host, s, key, length(line) AS c,
     lower(trim(regexp_replace(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'))) AS norm FROM l
 ), often AS (
-  SELECT host, norm FROM (SELECT host, norm, size, count(DISTINCT s) AS n FROM n GROUP BY ALL)
-  GROUP BY host, norm HAVING sum(n) > 10 AND max(n) <= 0.6 * sum(n)
+  SELECT host, norm FROM (SELECT host, norm, key, count(DISTINCT s) AS n FROM n GROUP BY ALL)
+  GROUP BY host, norm HAVING sum(n) - coalesce(sum(n) FILTER (n > 1), 0)::DOUBLE / 0.7 + count(*) FILTER (n > 1) > 10
 ), lost AS (
   SELECT r, count(*) AS n_lines, sum(c) AS n_chars FROM n JOIN often USING (host, norm) GROUP BY r
 ), total AS (

@@ -56,12 +56,14 @@ def test_quality_counts_repeats_by_windows(spark):
     assert (r["n_words"], r["n_repeat_words"], r["base_failed"], r["kept"]) == (18, 16, True, False)
 
 
-def test_quality_spares_copies_and_removes_boilerplate(spark):
+@pytest.mark.parametrize("longer", [0, 7])
+def test_quality_spares_copies_and_removes_boilerplate(spark, longer):
+    """Whether the pages of a host have one length or many makes no difference."""
     rng = random.Random(5)
-    body = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
-    own = [(i, f"{body(20 + 7 * i)}\nShared footer of the host", "h", 0) for i in range(30)]
-    text = body(60) + "\n" + body(40)
-    copies = [(100 + i, text.replace(" w", f" x{i} w", 1), "h", 0) for i in range(30)]
+    body = lambda n: " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(n))
+    own = [(i, f"{body(40 + longer * i)}\nShared footer of the host", "h", 0) for i in range(30)]
+    text = [body(20) for _ in range(8)]
+    copies = [(100 + i, "\n".join(f"{x} changed{i}" if j == i % 8 else x for j, x in enumerate(text)), "h", 0) for i in range(30)]
     only = [(500 + i, "\n".join(["Shared footer of the host"] * 6), "h", 0) for i in range(2)]
     cleaned = quality.clean(spark.createDataFrame(own + copies + only, SCHEMA)).collect()
     by = {r["doc_id"]: r for r in cleaned}
@@ -70,6 +72,22 @@ def test_quality_spares_copies_and_removes_boilerplate(spark):
     assert all(by[r[0]]["text"] == r[1] for r in copies)
 
 
+def test_quality_counts_pages_of_one_length(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(60)) + "\nThe same footer", "h", 0) for i in range(200)]
+    got = quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["n_removed_lines"] == 1 and r["kept"] for r in got)
+    compare(quality.judge(spark.createDataFrame(rows, SCHEMA)), quality.ORACLE_SQL, rows)
+
+
+def test_quality_of_a_long_text_and_clashing_names(spark):
+    words = " ".join(f"wordnumber{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, words, "s", 7, "x", "y")], "doc_id long, text string, source string, n_chars int, host string, key string")
+    r = quality.judge(df).first()
+    assert (r["n_words"], r["n_repeat_words"], r["kept"]) == (60_000, 0, True)
+    assert tuple(quality.clean(df).first()) == (1, words, "s", 7, "x", "y")
+
+
 def test_quality_of_nothing_and_of_clashing_names(spark):
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, FILLER, "h", "keep", 5)], "doc_id long, text string, source string, th string, kept int")
