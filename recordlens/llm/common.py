@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (a local test), a new one."""
+    """The folder in ``spark.checkpoint.dir``; a new one where it is unset and all executors are this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="recordlens-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -50,6 +52,17 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_bound(share: float) -> int | None:
+    """The signed 64-bit hashes under this number are about ``share`` of all; None: every one."""
+    return None if share >= 1 else int(share * 2.0**64) - (1 << 63)
+
+
+def chosen(share: float, *columns: str):
+    """Whether a row is of the ``share`` picked by the 64-bit hash of ``columns``; right for any number of rows."""
+    bound = hash_bound(share)
+    return F.lit(True) if bound is None else F.xxhash64(*columns) < F.lit(bound).cast("long")
+
+
 def let(value, body):
     """Bind ``value`` once for the expression ``body(value)``.
 

@@ -2,11 +2,14 @@
 
 A naive Bayes classifier over hashed words and word shapes is trained on the labelled table and gives
 each document a posterior over the domains. Only features that a domain has significantly more or less
-often than the labelled documents as a whole take part, so rare words add no noise. Rates r >= 0 for all documents are then fitted by projected gradient steps on
+often than the labelled documents as a whole take part, so rare words add no noise. Posteriors are given
+in steps of 1 / GRID. Rates r >= 0 for all documents are then fitted by projected gradient steps on
 the squared distance of the expected token totals of the domains, sum of r * tokens * posterior, from
 the targets. The steps are scaled by the tokens and by the inverse of the domains' moment matrix (of rows above 0), so a
 rate moves by its posterior times one number per domain: only these few numbers pass between the tasks
-and the driver, and a document's rate is their fold over its posterior.
+and the driver, and a document's rate is their fold over its posterior. Documents of one posterior move alike,
+so the steps run over the tokens of each posterior that occurs. Every step is searched for its best length;
+the fit ends when the targets are met, or when it hardly comes nearer: then they are out of reach, which is told.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.llm.common import cut
+from recordlens.llm.common import chosen, cut
 from recordlens.llm.quality import words_of
 
 #: Hashed features of the classifier: at most as many rows are broadcast, a few thousand in practice.
@@ -27,7 +30,11 @@ MAX_LABELLED = 20_000
 #: Documents' worth of the overall frequency that each domain's is smoothed with, and the deviations
 #: from chance that a feature needs.
 SMOOTHING, DEVIATIONS = 20.0, 3.5
-STEPS, CLOSE = 20, 1e-7
+#: Posteriors are multiples of 1 / GRID; sums of them are exact.
+GRID = 1024
+#: Targets are met within this part of the total. They count as out of reach when so many steps together
+#: take less than a tenth off the distance to them. Lengths of a step that are tried: 1 down to 2**-HALVINGS.
+CLOSE, PATIENCE, HALVINGS = 1e-7, 10, 10
 #: A feature of every row: it counts how often a row is repeated.
 ROW = -1
 
@@ -44,11 +51,9 @@ def _buckets(text: Column) -> Column:
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, list[float]]:
     """(bucket, w: log ratios by domain) and the domains' log priors from (doc_id, domain) rows."""
     k = len(domains)
-    total = labelled.count()
-    share = min(1.0, max_labelled / max(total, 1))
     some = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
-    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    some = some.groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    some = some.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"))
+    some = some.where(chosen(max_labelled / max(some.count(), 1), "doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     words = texts.join(F.broadcast(some), "doc_id").select("domain", F.explode(_buckets(F.col("text"))).alias("bucket"))
     counts = words.groupBy("bucket").agg(*(F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)))
@@ -84,8 +89,10 @@ def posteriors(docs: DataFrame, model: DataFrame, priors: list[float]) -> DataFr
     logits = [F.lit(priors[i]) + F.col(f"s{i}") / F.col("times") for i in range(k)]
     scored = joined.select("doc_id", "th", "tokens", F.array(*logits).alias("z"))
     exps = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
-    scored = scored.withColumn("e", exps)
-    return scored.select("doc_id", "th", "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+    scored = scored.withColumn("e", exps).withColumn("all", F.aggregate("e", F.lit(0.0), lambda a, y: a + y))
+    # Rounding the running sums keeps the posteriors at 0 or more and their sum at 1.
+    up_to = [F.lit(0.0), *(F.round(sum((F.col("e")[j] for j in range(i + 1)), F.lit(0.0)) / F.col("all") * GRID) / GRID for i in range(k - 1)), F.lit(1.0)]
+    return scored.select("doc_id", "th", "tokens", F.array(*(b - a for a, b in zip(up_to, up_to[1:], strict=False))).alias("p"))
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -105,67 +112,73 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] if a[i][i] else 0.0 for i in range(n)]
 
 
-def _rate(moves: list[list[float]]) -> Column:
-    """The rate that starts at 1 and takes the steps so far, each projected to 0 or more."""
-    rate = F.lit(1.0)
-    for move in moves:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col("p")[i] * m for i, m in enumerate(move)), F.lit(0.0)))
-    return rate
+def _moved(rate: Column, move: list[float] | Column, k: int) -> Column:
+    """A rate after one step, projected to 0 or more."""
+    return F.greatest(F.lit(0.0), rate - sum((F.col("p")[i] * move[i] for i in range(k)), F.lit(0.0)))
+
+
+def _rate(moves: list[list[float]], k: int) -> Column:
+    """The rate that starts at 1 and takes the steps so far."""
+    if not moves:
+        return F.lit(1.0)
+    return F.aggregate(F.array(*(F.array(*map(F.lit, m)) for m in moves)), F.lit(1.0), lambda r, m: _moved(r, m, k))
 
 
 def fit(rows: DataFrame, weights: list[float], total: float | None = None) -> tuple[Column, dict]:
     """The rates for ``rows`` (tokens, p) as a column, and figures of the fit.
 
     ``total``: expected tokens of the mixture; by default the domain of the largest weight is used once,
-    and the others as often as their weights ask for beside it. Targets that cannot be met are met as
-    nearly as rates of 0 or more can.
+    and the others as often as their weights ask for beside it. Targets that rates of 0 or more cannot meet
+    are approached until PATIENCE steps bring hardly anything; ``met`` tells.
     """
     k = len(weights)
     share = [w / sum(weights) for w in weights]
-
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    cells = cut(rows.groupBy("p").agg(F.sum("tokens").alias("tokens")))
 
-    def state(rate: Column) -> tuple[list[float], list[list[float]]]:
-        """The domains' tokens at these rates, and the moments of the rows whose rate is over 0."""
-        with_rate = rows.withColumn("r", rate)
-        mass = [F.sum(F.col("tokens") * F.col("r") * F.col("p")[i]) for i in range(k)]
-        free = F.when(F.col("r") > 0, F.col("tokens"))
-        got = [float(x or 0.0) for x in with_rate.agg(*mass, *(F.sum(free * F.col("p")[i] * F.col("p")[j]) for i, j in pairs)).first()]
-        matrix = [[0.0] * k for _ in range(k)]
-        for (i, j), x in zip(pairs, got[k:], strict=True):
-            matrix[i][j] = matrix[j][i] = x
-        return got[:k], matrix
+    def masses(rate: Column) -> list[Column]:
+        return [F.sum(F.col("tokens") * rate * F.col("p")[i]) for i in range(k)]
 
-    now, matrix = state(F.lit(1.0))
-    have, whole = now, matrix
+    def numbers(found) -> list[float]:
+        return [float(x or 0.0) for x in found.first()]
+
+    now = have = numbers(cells.agg(*masses(F.lit(1.0))))
     if total is None:
         largest = max(range(k), key=lambda i: share[i])
         total = have[largest] / share[largest]
     targets = [s * total for s in share]
+    distance = lambda at: math.dist(at, targets)
     moves: list[list[float]] = []
-    miss = lambda masses: sum((n - t) ** 2 for n, t in zip(masses, targets, strict=True))
-    for _ in range(STEPS):
-        gap = [n - t for n, t in zip(now, targets, strict=True)]
-        if max(map(abs, gap)) <= CLOSE * max(total, 1.0):
+    history = [distance(now)]
+    while history[-1] > CLOSE * max(total, 1.0):
+        if len(history) > PATIENCE and history[-1] > 0.9 * history[-1 - PATIENCE]:
+            break
+        at = cells.withColumn("r", _rate(moves, k))
+        # Rows at 0 do not answer a step, so it is scaled by the others.
+        free = F.when(F.col("r") > 0, F.col("tokens"))
+        moments = numbers(at.agg(*(F.sum(free * F.col("p")[i] * F.col("p")[j]) for i, j in pairs)))
+        matrix = [[0.0] * k for _ in range(k)]
+        for (i, j), x in zip(pairs, moments, strict=True):
+            matrix[i][j] = matrix[j][i] = x
+        step = _solve(matrix, [n - t for n, t in zip(now, targets, strict=True)])
+        tried = [[x * 2.0**-h for x in step] for h in range(HALVINGS + 1)]
+        met = numbers(at.agg(*(m for move in tried for m in masses(_moved(F.col("r"), move, k)))))
+        best = min(range(len(tried)), key=lambda h: distance(met[h * k : h * k + k]))
+        then = met[best * k : best * k + k]
+        if distance(then) >= history[-1]:
             break
-        # Rows at 0 do not answer a step, so it is scaled by the others; should that lead away from the
-        # targets, the cautious step by the moments of all rows is taken.
-        step = _solve(matrix, gap)
-        then, met = state(_rate([*moves, step]))
-        if miss(then) > miss(now):
-            step = _solve(whole, gap)
-            then, met = state(_rate([*moves, step]))
-        moves.append(step)
-        now, matrix = then, met
-    return _rate(moves), {"have": have, "targets": targets, "reached": now, "steps": len(moves)}
+        moves.append(tried[best])
+        now = then
+        history.append(distance(now))
+    figures = {"have": have, "targets": targets, "reached": now, "steps": len(moves), "met": history[-1] <= CLOSE * max(total, 1.0)}
+    return _rate(moves, k), figures
 
 
 def _tell_miss(domains: list[str], figures: dict) -> None:
     """Warn of targets that the fit did not reach, with the tokens that it did."""
-    targets, reached = figures["targets"], figures["reached"]
-    if max(abs(n - t) for n, t in zip(reached, targets, strict=True)) > CLOSE * max(sum(targets), 1.0):
-        told = ", ".join(f"{d} {n:.0f} of {t:.0f}" for d, n, t in zip(domains, reached, targets, strict=True))
-        warnings.warn(f"targets missed after {figures['steps']} steps; expected tokens: {told}", stacklevel=4)
+    if not figures["met"]:
+        told = ", ".join(f"{d} {n:.0f} of {t:.0f}" for d, n, t in zip(domains, figures["reached"], figures["targets"], strict=True))
+        warnings.warn(f"targets out of reach, {figures['steps']} steps taken; expected tokens: {told}", stacklevel=4)
 
 
 def rates(
@@ -175,10 +188,11 @@ def rates(
 
     ``labelled``: (doc_id, domain); rows without either, or of other domains, are ignored. ``weights``:
     the wanted share of the expected tokens of each domain. Returns doc_id, tokens (words), p_<domain>,
-    rate and copies: the rate rounded up or down by a hash of the row, so that copies average to it. A null
+    rate, copies (the rate rounded up or down by a hash of the row, so that copies average to it) and, alike in
+    all rows, target_<domain> and reached_<domain> (the expected tokens wanted and got) and targets_met. A null
     or empty text has no tokens and the posterior of the priors. Rows come back as often as they come in,
     null doc_ids too. Without labels all domains are equally likely. No rows give no rows. Targets that are
-    missed are told as a warning with the tokens reached.
+    out of reach are also told as a warning.
     """
     return _rates(docs, labelled, weights, total, max_labelled).drop("th")
 
@@ -193,6 +207,8 @@ def _rates(docs, labelled, weights, total, max_labelled):
     return rows.withColumn("rate", rate).select(
         "doc_id", "th", "tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), "rate",
         F.floor(F.col("rate") + chance).cast("int").alias("copies"),
+        *(F.lit(x).alias(f"{name}_{d}") for name, figure in (("target", "targets"), ("reached", "reached")) for d, x in zip(domains, figures[figure], strict=True)),
+        F.lit(figures["met"]).alias("targets_met"),
     )
 
 

@@ -3,6 +3,7 @@ import warnings
 import pytest
 
 from recordlens.llm import mixing
+from recordlens.llm.common import hash_bound
 
 
 @pytest.fixture
@@ -18,7 +19,7 @@ def test_registered_mixture_wants_no_toxic_tokens():
 
 
 def test_missed_target_is_told_with_figures(corpus):
-    with pytest.warns(UserWarning, match=r"targets missed after \d+ steps; expected tokens: good \d+ of \d+, plain \d+ of \d+, toxic \d+ of 0"):
+    with pytest.warns(UserWarning, match=r"targets out of reach, \d+ steps taken; expected tokens: good \d+ of \d+, plain \d+ of \d+, toxic \d+ of 0"):
         mixing.rates(*corpus, mixing.WEIGHTS)
 
 
@@ -26,3 +27,83 @@ def test_met_target_is_not(corpus):
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
         mixing.rates(*corpus, {"good": 0.4, "plain": 0.3, "toxic": 0.3})
+
+
+def test_reached_totals_are_columns(corpus):
+    with pytest.warns(UserWarning):
+        got = mixing.rates(*corpus, mixing.WEIGHTS).collect()
+    totals = {d: sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in got) for d in mixing.WEIGHTS}
+    assert {r["targets_met"] for r in got} == {False}
+    for d in mixing.WEIGHTS:
+        assert got[0][f"reached_{d}"] == pytest.approx(totals[d], rel=1e-9, abs=1e-6)
+    assert got[0]["target_toxic"] == 0.0 and got[0]["reached_toxic"] > 0
+
+
+def test_samples_are_picked_at_any_number_of_rows():
+    for rows in (1e5, 7e9, 1e11, 1e14):
+        bound = hash_bound(20_000 / rows)
+        assert (bound + 2**63) / 2**64 == pytest.approx(20_000 / rows, rel=1e-4)
+    assert hash_bound(1.0) is None and hash_bound(0.0) == -(2**63)
+
+
+def model_posteriors(docs, labelled, domains):
+    """The classifier in plain Python, from the hashed features that Spark gives."""
+    import math
+
+    known = dict(labelled)
+    of = {d: [set(f) for i, _, f in docs if known.get(i) == d] for d in domains}
+    sizes = [len(of[d]) for d in domains]
+    counts = {}
+    for k, d in enumerate(domains):
+        for found in of[d]:
+            for f in found - {mixing.ROW}:
+                counts.setdefault(f, [0] * len(domains))[k] += 1
+    model = {}
+    for f, n in counts.items():
+        overall = (sum(n) + 0.5) / (sum(sizes) + 1)
+        if any(abs(c - s * overall) / math.sqrt(s * overall + 1) > mixing.DEVIATIONS for c, s in zip(n, sizes, strict=True)):
+            model[f] = [math.log((c + mixing.SMOOTHING * overall) / ((s + mixing.SMOOTHING) * overall)) for c, s in zip(n, sizes, strict=True)]
+    out = {}
+    for i, _, found in docs:
+        z = [math.log((s + 1) / (sum(sizes) + len(domains))) + sum(model[f][k] for f in found if f in model) for k, s in enumerate(sizes)]
+        e = [math.exp(x - max(z)) for x in z]
+        out[i] = [x / sum(e) for x in e]
+    return out
+
+
+def test_posteriors_and_rates_match_plain_python(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    vocab = {"good": "alpha beta gamma common shared", "plain": "one two three common shared", "toxic": "bad worse vile common shared"}
+    domains = list(vocab)
+    rows = [(i, d, " ".join(rng.choice(((vocab[d] + " ") * 3 + vocab[rng.choice(domains)]).split()) for _ in range(rng.randrange(3, 12)))) for i, d in enumerate(domains * 200)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labelled = [(i, d) for i, d, _ in rows if i % 5]
+    features = [tuple(r) for r in docs.select("doc_id", "text", mixing._buckets(docs["text"])).collect()]
+    weights = {"good": 0.5, "plain": 0.3, "toxic": 0.2}
+    got = {r["doc_id"]: r for r in mixing.rates(docs, spark.createDataFrame(labelled, "doc_id long, domain string"), weights).collect()}
+    want = model_posteriors(features, labelled, domains)
+    for i, p in want.items():
+        assert all(abs(got[i][f"p_{d}"] - x) <= 1 / mixing.GRID for d, x in zip(domains, p, strict=True))
+    # The same projected steps from the posteriors that were returned.
+    p = np.array([[got[i][f"p_{d}"] for d in domains] for i in sorted(got)])
+    tokens = np.array([got[i]["tokens"] for i in sorted(got)], float)
+    share = np.array(list(weights.values()))
+    target = share * (p.T @ tokens)[0] / share[0]
+    r = np.ones(len(p))
+    while np.linalg.norm(p.T @ (tokens * r) - target) > mixing.CLOSE * target.sum():
+        free = r > 0
+        step = np.linalg.solve((p[free] * tokens[free, None]).T @ p[free], p.T @ (tokens * r) - target)
+        r = min((np.maximum(0, r - (p @ step) * 2.0**-h) for h in range(mixing.HALVINGS + 1)), key=lambda x: np.linalg.norm(p.T @ (tokens * x) - target))
+    assert np.allclose(r, [got[i]["rate"] for i in sorted(got)], atol=1e-6)
+
+
+def test_long_texts_and_clashing_names(corpus, spark):
+    docs, labelled = corpus
+    more = spark.createDataFrame([(9999, "alpha beta " * 100_000)], "doc_id long, text string")
+    docs = docs.unionByName(more).selectExpr("*", "'x' as p", "1 as tokens", "2 as copies", "3 as __copies")
+    out = mixing.mix(docs, labelled, {"good": 0.4, "plain": 0.3, "toxic": 0.3})
+    assert out.columns == docs.columns and out.where("p = 'x' and tokens = 1 and copies = 2").count() == out.count() > 0
