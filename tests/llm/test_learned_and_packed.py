@@ -172,6 +172,18 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.15
 
 
+def test_false_alarms_are_found_out():
+    rng = np.random.default_rng(2)
+    n, k = 20000, len(weaklabels.LABELLERS)
+    good = rng.random(n) < 0.8
+    false = np.array([0.02] * (k - 1) + [0.25])
+    right = rng.random((n, k)) < np.where(good[:, None], 1 - false, 0.8)
+    v = np.where(right == good[:, None], weaklabels.GOOD, weaklabels.BAD)
+    patterns, counts = np.unique((v * 3 ** np.arange(k)).sum(axis=1), return_counts=True)
+    _, accuracy, _ = weaklabels.estimate(patterns, counts.astype(float))
+    assert abs(accuracy[-1, 1] - 0.75) < 0.03 and accuracy[:-1, 1].min() > 0.95
+
+
 def test_classifier_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "the words of a text. And more."), (3, "x " * 100_000)]
     got = weaklabels.score(spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, kept int")).collect()
@@ -179,6 +191,67 @@ def test_classifier_rows(spark):
     assert weaklabels.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def model_features(text):
+    words, found = text.split(), defaultdict(int)
+    for before, w in zip([None, *words], words, strict=False):
+        found[zlib.crc32(w.lower().encode()) % weaklabels.FEATURES] += 1
+        found[zlib.crc32(b"\0" + weaklabels.shape(w).encode()) % weaklabels.FEATURES] += 1
+        if w == before:
+            found[weaklabels.SAME] += 1
+    return found
+
+
+def model_votes(text):
+    import re
+
+    words, n = text.split(), max(len(text.split()), 1)
+    lines = [x.rstrip() for x in text.split("\n") if x.strip()]
+    rate = lambda pattern: len(re.findall(pattern, text)) / n
+    stops = sum(w.lower().strip(".,;:") in weaklabels.STOP_WORDS for w in words) / n
+    distinct, once = len(set(words)) / n, len(set(lines)) / max(len(lines), 1)
+    stutter = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+    figures = [(rate(r"[#*$%&|<>{}\\^~=]"), 0.15, 0.03), (rate(r"[^\W_][#*$%&|<>!?]{2,}(?!\S)|(?<!\S)[|#*]+(?!\S)"), 0.15, 0.02), (rate("[!?]{2,}"), 0.1, 0.02),
+               (sum(w.isupper() and len(w) > 1 for w in words) / n, 0.3, 0.1)]
+    bad = [x > high for x, high, _ in figures] + [len(words) >= 20 and stops < 0.05, len(words) >= 50 and distinct < 0.2, len(words) >= 8 and stutter > 0.2]
+    good = [x < low for x, _, low in figures] + [stops > 0.12, len(words) < 50 or distinct > 0.35, stutter < 0.05]
+    ends = rate(r"[.!?](?!\S)")
+    bad += [len(words) >= 30 and ends < 0.02, once < 0.5]
+    good += [ends > 0.04, once > 0.8]
+    return [1 if b else 2 if g else 0 for b, g in zip(bad, good, strict=True)]
+
+
+def test_scores_match_a_plain_model(spark):
+    """Votes, features, their scores by the trained weights: a document at a time, in plain Python."""
+    rng = random.Random(9)
+    parts = ["the", "of", "Word", "SHOUT", "!!", "a#", "|", "x9", "stop.", "\n", "same same", "été"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(0, 80))) for _ in range(150)] + ["again " * 70_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = weaklabels.read(df)
+    for r in rows.collect():
+        at, n = np.frombuffer(r["at"], "<u2").tolist(), np.frombuffer(r["n"], "<u2").tolist()
+        found = defaultdict(int)
+        for a, c in zip(at, n, strict=True):
+            found[a] += c
+        assert found == model_features(texts[r["doc_id"]]) and r["words"] == len(texts[r["doc_id"]].split())
+        assert weaklabels.digits(np.array([r["pattern"]]))[0].tolist() == model_votes(texts[r["doc_id"]])
+    label, _, total = weaklabels.voted(rows)
+    picked = weaklabels.sample(rows, total)
+    weights, bias = weaklabels.fit([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<u2") / max(r["words"], 1), label[r["pattern"]]) for r in picked])
+    for r in weaklabels.score(df).collect():
+        text = texts[r["doc_id"]]
+        z = sum(weights[f] * c for f, c in model_features(text).items()) / max(len(text.split()), 1) + bias
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-9)
+
+
+def test_the_training_sample_is_bounded(spark):
+    same = spark.range(3000).selectExpr("1L as doc_id", "'the same text' as text")
+    rows = weaklabels.read(same)
+    assert len(weaklabels.sample(rows, 10**12, 10)) == 1
+    many = weaklabels.read(spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text"))
+    assert len(weaklabels.sample(many, 3000, 10)) <= 10 and len(weaklabels.sample(many, 3000, 1000)) == 1000
+    assert 1 <= len(weaklabels.sample(many, 3000, 1000, train_bytes=100)) <= 20
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
 def test_pipeline_stages(spark):
     import corpus_pipeline
