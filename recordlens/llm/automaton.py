@@ -1,9 +1,14 @@
 """Regular expressions compiled to one deterministic automaton over bytes.
 
 A small grammar (literals, escapes, classes, groups, ``|``, ``? * + {m} {m,} {m,n}``) is parsed to a
-non-deterministic automaton; the rules' automata are joined, started anew at every byte, and made
-deterministic by subset construction. Moore's partition refinement merges equal states. The result is a
-flat array of transitions by state and byte class, read in one pass whatever the number of rules.
+non-deterministic automaton for each rule, made deterministic by subset construction, started anew at every
+byte outside a match, and minimised by Moore's partition refinement. The rules' automata run side by side as one:
+its states are the combinations that occur, its transitions a flat array by state and byte class, read in
+one pass whatever the number of rules. It is minimal since the rules' own automata are.
+
+In a state that accepts a rule the text read so far ends in a match of it, and a match goes on as long as
+that rule stays accepted. So a change of the accepted rules is where a match first ends, or where its longest
+end was. Its start is found by the reversed rule, read backwards from the first end.
 """
 
 from __future__ import annotations
@@ -163,7 +168,7 @@ def _byte_classes(edges) -> tuple[np.ndarray, list[int]]:
 
 
 def _minimise(table: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Merge states that accept the same rules and lead to merged states by every class.
+    """Merge states that accept alike and lead to merged states by every class.
 
     Returns the merged table, what its states accept, and the state that the old state 0 became.
     """
@@ -179,71 +184,141 @@ def _minimise(table: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.nd
     return block[table[first]], accepts[first], int(block[0])
 
 
+def _subsets(start, step, classes: int) -> tuple[np.ndarray, list]:
+    """The subset construction: transitions by state number and class, and the states in order; 0 is ``start``."""
+    numbers, order, rows = {start: 0}, [start], []
+    for state in order:
+        row = []
+        for c in range(classes):
+            then = step(state, c)
+            if then not in numbers:
+                numbers[then] = len(order)
+                order.append(then)
+            row.append(numbers[then])
+        rows.append(row)
+    return np.array(rows, np.int64), order
+
+
+class _Compiled:
+    """One rule: ``table`` and ``accepts`` read forwards, ``back`` and ``begins`` backwards from an end.
+
+    The leftmost match must be the first to end, and a match must be accepted from its first end to its longest: both
+    hold for a prefix of fixed order that a run of one class, or nothing, follows. The second is checked here.
+    """
+
+    def __init__(self, edges, start: int, end: int, sample: list[int], pattern: str):
+        moves = [[[to for on, to in out if on is not None and b in on] for b in sample] for out in edges]
+        closed = [_closure(edges, frozenset([s])) for s in range(len(edges))]
+        fresh = closed[start]
+        union = lambda states: frozenset().union(*(closed[s] for s in states))
+
+        def step(state, c):
+            held, accepting = state
+            reached = {to for s in held for to in moves[s][c]}
+            hits = {s for s in reached if end in closed[s]}
+            if hits:  # of the attempts under way only this one goes on: others would overlap it
+                return union(hits), True
+            if accepting:
+                if reached:
+                    raise ValueError(f"a match of {pattern!r} can go on past its end without being one")
+                reached = {to for s in fresh for to in moves[s][c]}
+                if any(end in closed[s] for s in reached):
+                    raise ValueError(f"two matches of {pattern!r} can touch unseen")
+            return union(reached) | fresh, False
+
+        def attempt(held, c):
+            reached = {to for s in held for to in moves[s][c]}
+            if any(end in closed[s] for s in reached) and any(end not in closed[s] for s in reached):
+                raise ValueError(f"a match of {pattern!r} can end while a longer one is open")
+            return union(reached)
+
+        if end in fresh:
+            raise ValueError(f"{pattern!r} matches the empty text")
+        _subsets(fresh, attempt, len(sample))
+        table, order = _subsets((fresh, False), step, len(sample))
+        self.table, self.accepts, self.start = _minimise(table, np.array([a for _, a in order], np.int64))
+        into: list[list] = [[] for _ in edges]
+        for s, out in enumerate(edges):
+            for on, to in out:
+                into[to].append((on, s))
+        moves_back = [[[to for on, to in out if on is not None and b in on] for b in sample] for out in into]
+        closed_back = [_closure(into, frozenset([s])) for s in range(len(edges))]
+        back, order = _subsets(closed_back[end], lambda held, c: frozenset().union(*(closed_back[to] for s in held for to in moves_back[s][c])), len(sample))
+        self.back, self.begins = back.tolist(), [start in held for held in order]
+        self.dead = order.index(frozenset()) if frozenset() in order else -1
+
+    def begin(self, classes: bytes, end: int, least: int) -> int:
+        """The first place, not before ``least``, from which the bytes up to ``end`` are a match."""
+        state, found = 0, end
+        for i in range(end - 1, least - 1, -1):
+            state = self.back[state][classes[i]]
+            if state == self.dead:
+                break
+            if self.begins[state]:
+                found = i
+        return found
+
+
 class Automaton:
-    """All rules in one: ``scan`` tells which rules have a match that ends somewhere in the bytes."""
+    """All rules in one: ``scan`` gives the leftmost, longest, non-overlapping matches of each rule."""
 
     def __init__(self, rules: list[tuple[str, bool]]):
-        edges: list[list] = []
-        starts, ends = [], {}
-        for k, (pattern, fold) in enumerate(rules):
+        parsed = []
+        for pattern, fold in rules:
             parser = _Parser(pattern, fold)
-            a, b = parser.parse()
-            base = len(edges)
-            edges += [[(on, to + base) for on, to in out] for out in parser.edges]
-            starts.append(a + base)
-            ends[b + base] = 1 << k
-        classes, sample = _byte_classes(edges)
-        start = _closure(edges, frozenset(starts))
-        closed: dict[int, frozenset] = {}
-        numbers, order, rows = {start: 0}, [start], []
-        moves = [[[to for on, to in out if on is not None and b in on] for b in sample] for out in edges]
-        useful = {s for s, out in enumerate(edges) if any(on is not None for on, _ in out)} | set(ends)
-        for states in order:
-            row = []
-            for c in range(len(sample)):
-                reached = {to for s in states for to in moves[s][c]}
-                nxt = set(start)
-                for s in reached:
-                    if s not in closed:
-                        closed[s] = frozenset(_closure(edges, frozenset([s])) & useful)
-                    nxt |= closed[s]
-                key = frozenset(nxt)
-                if key not in numbers:
-                    numbers[key] = len(order)
-                    order.append(key)
-                row.append(numbers[key])
-            rows.append(row)
-        accepts = np.array([sum(bit for s, bit in ends.items() if s in states) for states in order], np.int64)
-        table, accepts, start_state = _minimise(np.array(rows, np.int64), accepts)
-        quiet = np.flatnonzero(accepts == 0)
-        loud = np.flatnonzero(accepts != 0)
-        place = np.empty(len(accepts), np.int64)
-        place[np.concatenate([quiet, loud])] = np.arange(len(accepts))
-        width = len(sample)
-        flat = np.empty((len(accepts), width), np.int64)
-        flat[place] = place[table] * width
-        self.states, self.width, self.floor = len(accepts), width, len(quiet) * width
-        self.start = int(place[start_state]) * width
-        interned = {}
-        self.next = [interned.setdefault(x, x) for x in flat.ravel().tolist()]
-        self.mask = [0] * len(accepts)
-        for s, m in enumerate(accepts.tolist()):
-            self.mask[place[s]] = m
+            parsed.append((parser.parse(), parser.edges, pattern))
+        classes, sample = _byte_classes([out for _, edges, _ in parsed for out in edges])
+        self.rules = [_Compiled(edges, a, b, sample, pattern) for (a, b), edges, pattern in parsed]
+        sizes = [len(r.table) for r in self.rules]
+        weight = np.cumprod([1, *sizes[:-1]])
+        seen = np.array([sum(r.start * int(w) for r, w in zip(self.rules, weight, strict=True))], np.int64)
+        codes, rows, new = [seen], [], seen
+        while len(new):
+            then = sum(r.table[new // w % n] * w for r, w, n in zip(self.rules, weight, sizes, strict=True))
+            rows.append(then)
+            new = np.setdiff1d(then, seen)
+            seen = np.union1d(seen, new)
+            codes.append(new)
+        order, rows = np.concatenate(codes[:-1]), np.concatenate(rows)
+        accepts = sum(r.accepts[order // w % n] << k for k, (r, w, n) in enumerate(zip(self.rules, weight, sizes, strict=True)))
+        # States that accept nothing come first, so that one comparison tells them from the others.
+        by_noise = np.argsort(accepts != 0, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[by_noise] = np.arange(len(order))
+        sorter = np.argsort(order)
+        numbers = place[sorter[np.searchsorted(order, rows, sorter=sorter)]]
+        self.states, self.width = len(order), len(sample)
+        self.floor = int((accepts == 0).sum()) * self.width
+        self.start = int(place[0]) * self.width
+        interned: dict[int, int] = {}
+        self.next = [interned.setdefault(x, x) for x in (numbers[by_noise] * self.width).ravel().tolist()]
+        self.mask = accepts[by_noise].tolist()
         self.classes = classes.tobytes()
 
-    def scan(self, data: bytes) -> dict[int, int]:
-        """For each rule that matches: the offset just after its first end of a match."""
-        nxt, s, floor, found, seen = self.next, self.start, self.floor, {}, 0
-        for i, c in enumerate(data.translate(self.classes), 1):
+    def scan(self, data: bytes) -> list[tuple[int, int, int, int]]:
+        """(start, rule, end, first end) of every match, in bytes, ordered by start and then rule."""
+        data = data.translate(self.classes)
+        nxt, s, floor, width, on = self.next, self.start, self.floor, self.width, 0
+        first, last, found = [0] * len(self.rules), [0] * len(self.rules), []
+
+        def ended(rules: int, i: int) -> None:
+            for k, rule in enumerate(self.rules):
+                if rules >> k & 1:
+                    found.append((rule.begin(data, first[k], last[k]), k, i, first[k]))
+                    last[k] = i
+
+        for i, c in enumerate(data):
             s = nxt[s + c]
-            if s >= floor:
-                new = self.mask[s // self.width] & ~seen
-                if new:
-                    seen |= new
-                    for k in range(new.bit_length()):
-                        if new >> k & 1:
-                            found[k] = i
-        return found
+            if s >= floor or on:
+                now = self.mask[s // width]
+                if now != on:
+                    ended(on & ~now, i)
+                    for k in range(len(first)):
+                        if (now & ~on) >> k & 1:
+                            first[k] = i + 1
+                    on = now
+        ended(on, len(data))
+        return sorted(found)
 
 
 @lru_cache(maxsize=8)

@@ -1,77 +1,68 @@
-"""Secret scan with one automaton for all rules (operator 8)."""
+"""Secret scan with one automaton for all rules (operator 8).
+
+The rules' own patterns are compiled, and the automaton's pass gives their spans; lengths are checked
+afterwards, since counters of several rules would multiply the states.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.llm.automaton import compiled
+from recordlens.llm.automaton import Automaton, compiled
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``needle``: what every span holds, for the automaton; ``pattern``: the leftmost rule itself.
+    """A span has ``least`` bytes or more; with ``of_run`` these are counted from where the pattern first holds.
 
-    Needles keep long counters apart: the joint automaton would otherwise hold their product.
-    ``group`` must have ``least`` characters, else the match is dropped.
+    For a pattern that ends in a run of one class that is the run itself. Matches that are too short use up
+    their characters and are dropped.
     """
 
     kind: str
-    needle: str
     pattern: str
-    ignore_case: bool = False
-    group: int = 0
     least: int = 1
+    ignore_case: bool = False
+    of_run: bool = False
 
 
-# The base kinds by contract.
+# The base kinds by contract. Of the 32 digits of hex 4 stand in the pattern, so that not every
+# letter from a to f is a match; shorter runs are dropped either way.
 BASE = (
-    Rule(
-        "assign",
-        r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""",
-        r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        True,
-        2,
-        8,
-    ),
-    Rule("access", r"AKIA[A-Z0-9]{4}", r"AKIA[A-Z0-9]+", least=16),
-    Rule("hex", r"[0-9a-f]{32}", r"[0-9a-f]+", least=32),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 8, True, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 16),
+    Rule("hex", r"[0-9a-f]{4}[0-9a-f]*", 32),
 )
 
 # Published formats of tokens that the method adds.
 MORE = (
-    Rule("github", r"gh[pousr]_", r"gh[pousr]_[A-Za-z0-9]{36,}", least=40),
-    Rule("slack", r"xox[abprs]-", r"xox[abprs]-[A-Za-z0-9-]{10,}", least=15),
-    Rule("google", r"AIza", r"AIza[A-Za-z0-9_-]{35}", least=39),
-    Rule("jwt", r"eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 36),
+    Rule("pem", r"-----BEGIN ([A-Z]+ )?([A-Z]+ )?([A-Z]+ )?PRIVATE KEY-----"),
 )
 
 
-def _patterns(rules):
-    return [re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.ignore_case else 0)) for r in rules]
+def machine(rules: tuple[Rule, ...]) -> Automaton:
+    return compiled(tuple((r.pattern, r.ignore_case) for r in rules))
 
 
-def spans(text: str, rules: tuple[Rule, ...], automaton, patterns) -> list[tuple[int, int, int]]:
-    """(start, number of the rule, end) in code points, ordered; leftmost and non-overlapping per rule.
-
-    The automaton names the rules that have a match and where the first one ends; only those rules are
-    then read for exact bounds, from the start of the text, since a match that is dropped as too short
-    still uses up its characters.
-    """
-    hits = automaton.scan(text.encode("utf-8", "surrogatepass"))
-    found = []
-    for k in hits:
-        rule = rules[k]
-        for m in patterns[k].finditer(text):
-            if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                found.append((m.start(), k, m.end()))
-    return sorted(found)
+def spans(data: bytes, rules: tuple[Rule, ...], automaton: Automaton) -> list[tuple[int, int, int]]:
+    """(start, number of the rule, end) in code points of the UTF-8 text, ordered; leftmost and non-overlapping per rule."""
+    found = [(s, k, e) for s, k, e, first in automaton.scan(data) if e - (first - 1 if rules[k].of_run else s) >= rules[k].least]
+    if not found or data.isascii():
+        return found
+    places, at, points = {}, 0, 0
+    for i in sorted({x for s, _, e in found for x in (s, e)}):
+        points += len(data[at:i].decode())
+        places[i], at = points, i
+    return [(places[s], k, places[e]) for s, k, e in found]
 
 
 def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
@@ -80,19 +71,18 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
     Returns doc_id, a count n_<kind> for each base rule, base_sha256 (over the base spans as
     ``kind:start:end``, comma-joined in order of start and then rule) and spans (the same of all rules).
     A null text counts as empty: no spans, and the digest of the empty string. Rows come back as often
-    as they come in, null doc_ids too; no rows give no rows. The secrets themselves are not returned.
+    as they come in, null doc_ids too; no rows give no rows. Very long texts are read in one pass. The secrets themselves are not returned.
     """
     rules = (*base, *more)
-    automaton = compiled(tuple((r.needle, r.ignore_case) for r in rules))
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    shared = docs.sparkSession.sparkContext.broadcast(machine(rules))
     names = [f"n_{r.kind}" for r in base]
 
     def run(batches):
-        patterns, machine = _patterns(rules), shared.value
+        automaton = shared.value
         for b in batches:
             counts, digests, joined = [[] for _ in base], [], []
-            for t in b.column(1):
-                found = spans(t.as_py() or "", rules, machine, patterns)
+            for t in b.column(1).cast(pa.binary()):
+                found = spans(t.as_py() or b"", rules, automaton)
                 own = [f"{rules[k].kind}:{s}:{e}" for s, k, e in found if k < len(base)]
                 for k, c in enumerate(counts):
                     c.append(sum(x[1] == k for x in found))
