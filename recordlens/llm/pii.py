@@ -1,9 +1,15 @@
-"""Personal data: patterns propose, checksums confirm, context adjusts (operator 9)."""
+"""Personal data: patterns propose, checksums confirm, context adjusts (operator 9).
+
+Every kind is searched in time linear in the text: runs that a pattern could be tried from at each of their
+characters are taken whole and cut as the leftmost, longest matches would be.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,6 +71,41 @@ def _phone(s: str) -> bool:
     return 10 <= len(_digits(s)) <= 15
 
 
+_LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(BASE[3][1])
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """An address holds one @, before which its local part reaches back as far as it can."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        before = text[done:at]
+        start = done + len(before.rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers joined by dots make an address by fours, from the first on."""
+    for m in _NUMBERS.finditer(text):
+        at, parts = m.start(), m.group().split(".")
+        for i in range(0, len(parts) - 3, 4):
+            size = sum(map(len, parts[i : i + 4])) + 3
+            yield at, at + size
+            at += size + 1
+
+
+def _plain(pattern: re.Pattern):
+    return lambda text: (m.span() for m in pattern.finditer(text))
+
+
+_FIND = {"email": _emails, "ip": _ips, "card": _plain(_GROUPED), "phone": _plain(_PHONE)}
 _SOUND = {"email": lambda s: True, "ip": _ip, "card": _card, "phone": _phone}
 _TRIGGER = {"email": "@", "phone": "+"}
 _DIGIT = re.compile("[0-9]")
@@ -125,7 +166,12 @@ def score(kind: str, text: str, start: int, end: int) -> float:
     return value
 
 
-def spans(text: str, base, more) -> list[tuple[int, int, int]]:
+#: The kinds of a span by its number, and the added kinds with their patterns.
+KINDS = [k for k, _ in (*BASE, *MORE)]
+_MORE = [(k, re.compile(p)) for k, p in MORE]
+
+
+def spans(text: str, base=tuple(k for k, _ in BASE), more=tuple(_MORE)) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) in code points, ordered by start and then kind.
 
     Base kinds: leftmost, non-overlapping, kept if their check holds. Added kinds: kept if their score
@@ -133,14 +179,22 @@ def spans(text: str, base, more) -> list[tuple[int, int, int]]:
     """
     has_digit = _DIGIT.search(text) is not None
     found = []
-    for k, (kind, pattern) in enumerate(base):
+    for k, kind in enumerate(base):
         if _TRIGGER.get(kind, "") in text and (has_digit or kind == "email"):
-            found += ((m.start(), k, m.end()) for m in pattern.finditer(text) if _SOUND[kind](m.group()))
+            found += ((s, k, e) for s, e in _FIND[kind](text) if _SOUND[kind](text[s:e]))
     if has_digit:
-        own = list(found)
+        # Where base spans lie, joined where they overlap: the last that begins before an end tells.
+        starts, ends = [], []
+        for s, _, e in sorted(found):
+            if ends and s < ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                starts.append(s)
+                ends.append(e)
         for k, (kind, pattern) in enumerate(more, len(base)):
             for start, end in proposals(kind, pattern, text):
-                if score(kind, text, start, end) >= THRESHOLD - 1e-9 and not any(s < end and start < e for s, _, e in own):
+                before = bisect_left(starts, end)
+                if score(kind, text, start, end) >= THRESHOLD - 1e-9 and not (before and ends[before - 1] > start):
                     found.append((start, k, end))
     return sorted(found)
 
@@ -153,15 +207,13 @@ def scan(docs: DataFrame) -> DataFrame:
     empty: no spans, and the digest of the empty string. Rows come back as often as they come in, null
     doc_ids too; no rows give no rows. The data themselves are not returned.
     """
-    kinds = [k for k, _ in (*BASE, *MORE)]
+    kinds = KINDS
 
     def run(batches):
-        base = [(k, re.compile(p)) for k, p in BASE]
-        more = [(k, re.compile(p)) for k, p in MORE]
         for b in batches:
             counts, digests, joined = [[] for _ in BASE], [], []
             for t in b.column(1):
-                found = spans(t.as_py() or "", base, more)
+                found = spans(t.as_py() or "")
                 for k, c in enumerate(counts):
                     c.append(sum(x[1] == k for x in found))
                 named = [(k, f"{kinds[k]}:{s}:{e}") for s, k, e in found]
@@ -183,12 +235,10 @@ def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
     def one(text):
         if text is None:
             return None
-        base = [(k, re.compile(p)) for k, p in BASE]
-        more = [(k, re.compile(p)) for k, p in MORE]
-        kinds, out, at = [k for k, _ in (*BASE, *MORE)], [], 0
-        for s, k, e in spans(text, base, more):
+        out, at = [], 0
+        for s, k, e in spans(text):
             if s >= at:
-                out += [text[at:s], mark.format(kinds[k])]
+                out += [text[at:s], mark.format(KINDS[k])]
             at = max(at, e)
         return "".join(out) + text[at:]
 

@@ -94,7 +94,14 @@ def luhn_of(prefix):
 
 def model_pii(text):
     out = []
-    for k, (kind, p) in enumerate(pii.BASE):
+    # The kinds by contract, written out again.
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ]
+    for k, (kind, p) in enumerate(kinds):
         for m in re.finditer(p, text):
             digits = [int(c) for c in m.group() if c in "0123456789"]
             if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
@@ -110,18 +117,16 @@ def model_pii(text):
 
 
 def test_base_spans_match_the_rules():
-    base, more = [(k, re.compile(p)) for k, p in pii.BASE], [(k, re.compile(p)) for k, p in pii.MORE]
     rng = random.Random(3)
-    parts = ["a.b", "@", "x-y.org", ".", "10.0.0.1", "999.1.1.1", "1.2.3.4.5.6.7.8", luhn_of("453201511283036"), "4532 0151 1283 0366", " ", "-", "+1 (555) 123-4567", "+", "é", "００", "7", "\n", "iban", "12345678901234"]
-    for _ in range(5000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
-        got = pii.spans(text, base, more)
+    parts = ["a.b", "@", "x-y.org", ".", "10.0.0.1", "999.1.1.1", "1.2.3.4.5.6.7.8", luhn_of("453201511283036"), "4532 0151 1283 0366", " ", "-", "+1 (555) 123-4567", "+", "é", "００", "7", "\n", "iban", "12345678901234", "@", "..", "%", "me", "256.", "0", "(", ")", "+4"]
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        got = pii.spans(text)
         assert [x for x in got if x[1] < 4] == model_pii(text)
 
 
 def test_added_kinds_need_a_checksum_or_context():
-    base, more = [(k, re.compile(p)) for k, p in pii.BASE], [(k, re.compile(p)) for k, p in pii.MORE]
-    kinds = lambda t: [(pii.BASE + pii.MORE)[k][0] for _, k, _ in pii.spans(t, base, more)]
+    kinds = lambda t: [pii.KINDS[k] for _, k, _ in pii.spans(t)]
     assert kinds("pay to GB82 WEST 1234 5698 7654 32 now") == ["iban"]
     assert kinds("pay to GB82 WEST 1234 5698 7654 33 now") == []
     assert kinds("his SSN is 123-45-6789") == ["ssn"] and kinds("order 123-45-6789") == [] and kinds("ssn 000-45-6789") == []
@@ -137,3 +142,12 @@ def test_pii_rows_and_redaction(spark):
     assert got[1]["spans"] == got[2]["spans"] == ""
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[3] == "ñ [email], [ip]"
     assert pii.scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", ["7", "a", "1.", "a.", "@", "a@", "a@b.", "+1", "1 ", "+1 (", "AB12", "12-", "1.2.3.4 ", "555-123-4567 call "])
+def test_a_megabyte_of_one_run_is_quick(run):
+    text = run * (1_000_000 // len(run))
+    began = time.time()
+    for t in (text, text + "@", "@" + text):
+        pii.spans(t)
+    assert time.time() - began < 6
