@@ -7,9 +7,11 @@ fields of the template; else it starts a template. A template in ``min_docs`` or
 its lines are dropped from all of them but the one with the smallest doc_id, so nothing is lost from the
 corpus as a whole.
 
-Equal lines are counted before a leaf is parsed, so however often a line occurs it is one row there, and
-tokens travel as 16-bit hashes. A leaf's distinct lines are read one after another by one task, which
-keeps the leaf's templates only.
+Equal lines are one row in a leaf, however often they occur, and a line alone in its leaf is its own template,
+so its tokens are not moved. The lines of a leaf are read in order, the most frequent first; a leaf of more than
+CHUNK_LINES different lines is parsed in chunks by their hash, each by a task of its own, and the templates of the
+chunks are then parsed as lines of one leaf. A task holds the templates that it has found, not the lines, and
+compares a line only with templates that agree with it in one of so many parts that one must agree.
 """
 
 from __future__ import annotations
@@ -26,31 +28,30 @@ from recordlens.llm.common import cut
 from recordlens.llm.quality import rewritten
 
 LEADING = 3
+#: Different lines of a leaf that one task parses; lines that a task remembers to have sent the tokens of.
+CHUNK_LINES, SENT_LINES = 100_000, 1_000_000
 _DIGIT = re.compile(rb"[0-9]")
 _FIELD = b"<*>"
 _SEED = 42
 
 
-class _Hashes(dict):
-    """16-bit hashes of tokens, from 1 on; 0 is a variable field."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    def __missing__(self, token: bytes) -> int:
-        value = 0 if _DIGIT.search(token) else xxhash.xxh64_intdigest(token, _SEED) % 65535 + 1
-        if len(self) > 200_000:
-            self.clear()
-        self[token] = value
-        return value
 
+def allowed_changes(n: int, similarity: float) -> int:
+    """How many of ``n`` tokens may differ."""
+    return int(n * (1 - similarity) + 1e-9)
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+def _read_lines(leading: int, similarity: float):
+    """A row for each line with a token: document, place, leaf, hash, tokens; new: not seen in the document before.
 
-def _read_lines(leading: int):
-    """A row for each line with a token: document, place, leaf, hash, tokens; new: not seen in the document before."""
+    Tokens come once in a while for equal lines, and never for lines in which none may differ.
+    """
 
     def run(batches):
-        hashes, digest = _Hashes(), xxhash.xxh64_intdigest
+        digest, sent = xxhash.xxh64_intdigest, set()
         for b in batches:
             out = [[] for _ in range(7)]
             for doc, value in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
@@ -62,12 +63,17 @@ def _read_lines(leading: int):
                         continue
                     if _DIGIT.search(line):
                         tokens = [_FIELD if _DIGIT.search(t) else t for t in tokens]
-                    lh = _signed(digest(b" ".join(tokens), _SEED))
+                    joined = b" ".join(tokens)
+                    lh = _signed(digest(joined, _SEED))
                     leaf = _signed(digest(b"%d " % len(tokens) + b" ".join(tokens[:leading]), _SEED))
-                    packed = np.array([hashes[t] if t != _FIELD else 0 for t in tokens], "<u2").tobytes()
+                    known = lh in sent or not allowed_changes(len(tokens), similarity)
+                    if not known:
+                        if len(sent) >= SENT_LINES:
+                            sent.clear()
+                        sent.add(lh)
                     new = lh not in seen
                     seen.add(lh)
-                    for column, x in zip(out, (doc, key, place, leaf, lh, packed, new), strict=True):
+                    for column, x in zip(out, (doc, key, place, leaf, lh, None if known else joined, new), strict=True):
                         column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], _LINES)
@@ -79,74 +85,139 @@ _LINES = ["doc", "key", "place", "leaf", "lh", "tokens", "new"]
 _LINES_SCHEMA = "doc long, key long, place int, leaf long, lh long, tokens binary, new boolean"
 
 
-def parse_leaf(lines: list[np.ndarray], similarity: float) -> list[int]:
-    """For each line of a leaf the number of the first line of its template."""
-    n = len(lines[0])
-    allowed = int(n * (1 - similarity) + 1e-9)
-    if not allowed:
-        return list(range(len(lines)))
-    templates, first, out, size = np.zeros((8, n), np.int32), [], [], 0
-    for i, line in enumerate(lines):
-        if size:
-            differ = (templates[:size] != line).sum(axis=1)
+class Leaf:
+    """The templates of a leaf, as rows of token numbers; 0 is a variable field.
+
+    Of ``allowed`` + 1 parts of a line, apart from the ``leading`` tokens that all lines share, a line that may
+    join a template agrees with it in one. So templates are listed by the contents of their parts.
+    """
+
+    #: Templates from which on the lists are used; fewer are all compared.
+    FEW = 24
+
+    def __init__(self, n: int, allowed: int, leading: int):
+        self.n, self.allowed, self.size = n, allowed, 0
+        self.rows, self.numbers = np.zeros((4, n), np.int32), {_FIELD: 0}
+        free = np.arange(min(leading, n), n)
+        self.parts = [(p[0], p[-1] + 1) for p in np.array_split(free, allowed + 1)] if len(free) > allowed else None
+        self.lists: dict[tuple[int, bytes], list[int]] | None = None
+
+    def _list(self, nth: int, parts) -> None:
+        for i, (a, b) in parts:
+            self.lists.setdefault((i, self.rows[nth, a:b].tobytes()), []).append(nth)
+
+    def join(self, tokens: list[bytes]) -> int:
+        """The number of the template that a line joins or starts."""
+        numbers = self.numbers
+        line = np.array([numbers.setdefault(t, len(numbers)) for t in tokens], np.int32)
+        if self.lists is None:
+            some, rows = None, self.rows[: self.size]
+        else:
+            some = sorted({t for i, (a, b) in enumerate(self.parts) for t in self.lists.get((i, line[a:b].tobytes()), ())})
+            rows = self.rows[some]
+        if len(rows):
+            differ = (rows != line).sum(axis=1)
             best = int(differ.argmin())
-            if differ[best] <= allowed:
-                templates[best][templates[best] != line] = -1  # a variable field that no token equals
-                out.append(first[best])
-                continue
-        if size == len(templates):
-            templates = np.concatenate([templates, np.zeros_like(templates)])
-        templates[size] = line
-        size += 1
-        first.append(i)
-        out.append(i)
-    return out
-
-
-def _parse(similarity: float):
-    def emit(leaf, lh, tokens):
-        """A template number, the hash of its first line, for each line of one leaf."""
-        if len(lh) == 1:
-            return lh
-        first = parse_leaf([np.frombuffer(t, "<u2").astype(np.int32) for t in tokens], similarity)
-        return [lh[i] for i in first]
+            if differ[best] <= self.allowed:
+                nth = best if some is None else some[best]
+                if differ[best]:
+                    off = self.rows[nth] != line
+                    new = off & (self.rows[nth] != 0)
+                    self.rows[nth][off] = 0
+                    if self.lists is not None and new.any():
+                        self._list(nth, [(i, (a, b)) for i, (a, b) in enumerate(self.parts) if new[a:b].any()])
+                return nth
+        if self.size == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.size] = line
+        self.size += 1
+        if self.lists is not None:
+            self._list(self.size - 1, enumerate(self.parts))
+        elif self.size > self.FEW and self.parts:
+            self.lists = {}
+            for nth in range(self.size):
+                self._list(nth, enumerate(self.parts))
+        return self.size - 1
+
+    def templates(self) -> list[bytes]:
+        names = list(self.numbers)
+        return [b" ".join(names[x] for x in row) for row in self.rows[: self.size].tolist()]
+
+
+def _parse(similarity: float, leading: int):
+    """From rows (leaf, chunk, lh, in_chunks, tokens) in order: the template of each line, named after its first line.
+
+    For leaves in chunks the templates follow, with their tokens and without a line.
+    """
 
     def run(batches):
-        at, lh, tokens = None, [], []
-        done: list[list] = [[], [], []]
+        at, leaf, first, chunked = None, None, [], False
         for b in batches:
-            if not b.num_rows:
-                continue
-            leaves, hashes, packed = np.asarray(b.column(0)), b.column(1).to_pylist(), b.column(2)
-            bounds = np.flatnonzero(np.concatenate([[True], leaves[1:] != leaves[:-1], [True]]))
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                if leaves[s] != at and at is not None:
-                    done[0] += [at] * len(lh)
-                    done[1] += lh
-                    done[2] += emit(at, lh, tokens)
-                    lh, tokens = [], []
-                at = int(leaves[s])
-                lh += hashes[s:e]
-                tokens += packed[int(s) : int(e)].to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in done], ["leaf", "lh", "template"])
-            done = [[], [], []]
-        if at is not None:
-            columns = [[at] * len(lh), lh, emit(at, lh, tokens)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leaf", "lh", "template"])
+            out = [[], [], [], []]
+
+            def put(*row, out=out):
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+
+            def close(out=out, put=put):
+                if chunked:
+                    for name, tokens in zip(first, leaf.templates(), strict=True):
+                        put(at[0], None, name, tokens)
+
+            for leaf_id, chunk, lh, in_chunks, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tokens = tokens.split(b" ")
+                if (leaf_id, chunk) != at:
+                    close()
+                    at, first, chunked = (leaf_id, chunk), [], in_chunks
+                    leaf = Leaf(len(tokens), allowed_changes(len(tokens), similarity), leading)
+                nth = leaf.join(tokens)
+                if nth == len(first):
+                    first.append(lh)
+                put(leaf_id, lh, first[nth], None)
+            yield _parsed_batch(out)
+        if at and chunked:
+            names, tokens = first, leaf.templates()
+            yield _parsed_batch([[at[0]] * len(names), [None] * len(names), names, tokens])
 
     return run
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8, leading: int = LEADING) -> DataFrame:
+def _parsed_batch(columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["leaf", "lh", "template", "tokens"])
+
+
+_PARSED_SCHEMA = "leaf long, lh long, template long, tokens binary"
+
+
+def _templates(lines: DataFrame, counts: DataFrame, similarity: float, leading: int, chunk_lines: int) -> DataFrame:
+    """(leaf, lh, template) of the lines that share their leaf with others."""
+    crowds = counts.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = lines.where("tokens is not null").select("leaf", "lh", "tokens").join(counts.join(crowds, "leaf"), ["leaf", "lh"])
+    distinct = met.groupBy("leaf", "lh", "n", "size").agg(F.first("tokens").alias("tokens"))
+    chunk = F.pmod("lh", F.ceil(F.col("size") / chunk_lines))
+    rows = distinct.select("leaf", chunk.alias("chunk"), "lh", (F.col("size") > chunk_lines).alias("in_chunks"), "tokens", "n")
+    ordered = rows.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", F.desc("n"), "lh").drop("n")
+    parsed = cut(ordered.mapInArrow(_parse(similarity, leading), _PARSED_SCHEMA))
+    heads = parsed.where("lh is null").select("leaf", F.lit(0).alias("chunk"), F.col("template").alias("lh"), F.lit(False).alias("in_chunks"), "tokens")
+    parsed = parsed.where("lh is not null").drop("tokens")
+    if heads.isEmpty():
+        return parsed
+    merged = heads.repartition("leaf").sortWithinPartitions("leaf", "lh").mapInArrow(_parse(similarity, leading), _PARSED_SCHEMA)
+    merged = cut(merged.select("leaf", F.col("lh").alias("template"), F.col("template").alias("whole")))
+    return parsed.join(merged, ["leaf", "template"], "left").select("leaf", "lh", F.coalesce("whole", "template").alias("template"))
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8, leading: int = LEADING, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """The lines to drop: doc_id, key (hash of the text) and place (from 0) of each."""
-    lines = cut(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(_read_lines(leading), _LINES_SCHEMA))
-    distinct = lines.groupBy("leaf", "lh").agg(F.count_if("new").alias("n"), F.first("tokens").alias("tokens"))
-    ordered = distinct.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "lh")
-    parsed = cut(
-        ordered.select("leaf", "lh", "tokens", "n").mapInArrow(_with_count(_parse(similarity)), "leaf long, lh long, template long, n long")
-    )
-    hopeful = parsed.groupBy("leaf", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template")
-    of_line = parsed.select("leaf", "lh", "template").join(hopeful, ["leaf", "template"])
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    lines = cut(texts.mapInArrow(_read_lines(leading, similarity), _LINES_SCHEMA))
+    counts = cut(lines.groupBy("leaf", "lh").agg(F.count_if("new").alias("n")))
+    parsed = _templates(lines, counts, similarity, leading, chunk_lines)
+    named = counts.join(parsed, ["leaf", "lh"], "left").select("leaf", "lh", "n", F.coalesce("template", "lh").alias("template"))
+    named = cut(named)
+    hopeful = named.groupBy("leaf", "template").agg(F.sum("n").alias("all")).where(F.col("all") >= min_docs).select("leaf", "template")
+    of_line = named.drop("n").join(hopeful, ["leaf", "template"])
     met = cut(lines.select("doc", "key", "place", "leaf", "lh").join(of_line, ["leaf", "lh"]).select("doc", "key", "place", "leaf", "template"))
     held = met.groupBy("leaf", "template", "doc", "key").agg(F.lit(1).alias("one"))
     often = held.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("stays"))
@@ -160,27 +231,6 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8,
     )
 
 
-def _with_count(parse):
-    """Keep the count of each line beside its template; rows come out of the parser in the order they went in."""
-
-    def run(batches):
-        counts: list[np.ndarray] = []
-
-        def seen():
-            for b in batches:
-                counts.append(np.asarray(b.column(3)))
-                yield b
-
-        waiting = np.zeros(0, np.int64)
-        for out in parse(seen()):
-            waiting = np.concatenate([waiting, *counts])
-            counts.clear()
-            yield out.append_column("n", pa.array(waiting[: out.num_rows]))
-            waiting = waiting[out.num_rows :]
-
-    return run
-
-
 def _joined(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, row, drop: places or null, left: the lines that stay) of each row."""
     drop = recurring_lines(docs, **options).groupBy("doc_id", "key").agg(F.collect_list("place").alias("drop"))

@@ -139,11 +139,73 @@ def test_recurring_templates_go_from_all_but_the_first(spark):
 
 
 def test_leaf_parsing_generalises():
-    a = np.arange(1, 11)
-    b, c = a.copy(), a.copy()
-    b[4], c[4], c[7] = 99, 98, 97
-    assert linededup.parse_leaf([a, b, c, a + 100], 0.8) == [0, 0, 0, 3]
-    assert linededup.parse_leaf([a[:3], b[:3]], 0.8) == [0, 1]
+    a = [f"t{i}".encode() for i in range(10)]
+    b, c = list(a), list(a)
+    b[4], c[4], c[7] = b"x", b"y", b"z"
+    leaf = linededup.Leaf(10, linededup.allowed_changes(10, 0.8), 3)
+    assert [leaf.join(x) for x in (a, b, c, [t + b"!" for t in a])] == [0, 0, 0, 1]
+    assert leaf.templates()[0] == b"t0 t1 t2 t3 <*> t5 t6 <*> t8 t9"
+    assert linededup.allowed_changes(4, 0.8) == 0 and linededup.allowed_changes(5, 0.8) == 1
+
+
+def test_lists_of_templates_change_nothing(monkeypatch):
+    rng = random.Random(11)
+    lines = [[b"a", b"b", b"c"] + [bytes([97 + rng.randrange(3)]) for _ in range(9)] for _ in range(600)]
+    few, many = linededup.Leaf(12, 2, 3), linededup.Leaf(12, 2, 3)
+    few.FEW = 10**9
+    assert [few.join(x) for x in lines] == [many.join(x) for x in lines] and many.lists is not None and many.size > 50
+
+
+def model_lines(rows, similarity=0.8, leading=3):
+    """Each row's lines that stay, by a plain walk of the tree."""
+    import re
+
+    masked = lambda line: tuple("<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line))
+    held = defaultdict(set)
+    for nth, (_, text) in enumerate(rows):
+        for line in (text or "").split("\n"):
+            if masked(line):
+                held[masked(line)].add(nth)
+    digest = lambda line: linededup._signed(linededup.xxhash.xxh64_intdigest(" ".join(line).encode(), 42))
+    leaves, of = defaultdict(list), {}
+    for line in sorted(held, key=lambda x: (-len(held[x]), digest(x))):
+        templates = leaves[len(line), line[:leading]]
+        differ = [sum(a != b for a, b in zip(t, line, strict=True)) for t in templates]
+        best = min(range(len(templates)), key=differ.__getitem__, default=None)
+        if best is None or differ[best] > int(len(line) * (1 - similarity) + 1e-9):
+            templates.append(list(line))
+            best = len(templates) - 1
+        templates[best] = [a if a == b else "<*>" for a, b in zip(templates[best], line, strict=True)]
+        of[line] = (len(line), line[:leading], best)
+    docs = defaultdict(set)
+    for line, some in held.items():
+        docs[of[line]] |= {rows[n] for n in some}
+    stays = {t: min((d for d, _ in some if d is not None), default=None) for t, some in docs.items()}
+    drop = lambda doc, line: bool(masked(line)) and len(docs[of[masked(line)]]) > 1 and stays[of[masked(line)]] != doc
+    return [(d, "\n".join(x for x in (t or "").split("\n") if not drop(d, x))) for d, t in rows]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_dedup_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "x1", "22", "omega"]
+    rows = []
+    for d in range(60):
+        lines = [" ".join(["log", "in", rng.choice(["from", "to"])] + [rng.choice(words[: rng.choice([2, 7])]) for _ in range(rng.choice([1, 3, 7, 12]))]) for _ in range(rng.randrange(6))]
+        rows.append((d, "\n".join(lines + ["", " \t "][: rng.randrange(3)])))
+    rows += [(100, None), (101, ""), (5, rows[5][1]), (5, rows[6][1]), (None, rows[7][1]), (None, "alone here"), (102, "long " * 50_000), (103, "long " * 49_999 + "tail ")]
+    got = linededup.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(model_lines(rows), key=key)
+
+
+def test_a_leaf_in_chunks_keeps_its_templates(spark):
+    rng = random.Random(3)
+    rows = [(i, f"user {''.join(rng.choices('abcdefgh', k=8))} has logged in from the office again today") for i in range(400)]
+    rows += [(1000 + i, f"user name has {''.join(rng.choices('abcdefgh', k=6))} {i} times over and over again") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"] for r in linededup.report(docs, leading=1).where("kept").collect()}
+    assert whole == {0, 1000} == {r["doc_id"] for r in linededup.report(docs, leading=1, chunk_lines=50).where("kept").collect()}
 
 
 def test_expectation_maximisation_finds_the_accuracies():
