@@ -5,7 +5,7 @@ counts, is all that the driver needs to pack: it fills a bin greedily from the l
 then tries to replace the bin's shortest document by two unpacked ones that fill its gap more tightly.
 The same bin is repeated as long as the counts allow, so the plan has a few thousand patterns whatever
 the number of documents. Pieces find their place by their rank among the pieces of their length; ranks
-are counted per block of rows and length, so no length meets in one task.
+are counted per block of rows and length, so only a length's counts by block meet in one task, not its rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from recordlens.llm.common import cut
 CAPACITY = 2048
 END_ID = 0
 #: Rows whose ranks are counted together.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1 << 20
 #: Words that a worker remembers the ids of; all are forgotten when there are more.
 CACHE_WORDS = 400_000
 

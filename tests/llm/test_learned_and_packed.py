@@ -34,6 +34,12 @@ def test_topk_matches_brute_force(spark, seed):
     assert sorted(tuple(r) for r in topk.topk(df).collect()) == model_topk(rows)
 
 
+def test_topk_of_numbers_beyond_a_long(spark):
+    rows = [(0, [1e30, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 3.0])]
+    got = topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id < 3")).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 0), (2, 0)]
+
+
 def test_topk_in_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     rng = random.Random(3)
@@ -82,6 +88,36 @@ def test_plan_packs_everything_once(seed):
         packing.plan({101: 1}, 100)
 
 
+def literal_best_two_fit(lengths, capacity):
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        held, gap = [], capacity
+        while (nxt := next((x for x in left if x <= gap), None)) is not None:
+            held.append(nxt)
+            left.remove(nxt)
+            gap -= nxt
+        if gap and len(held) > 1:
+            room, least = gap + held[-1], held[-1]
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if least < a + b <= room]
+            if pairs:
+                _, a, b = max(pairs)
+                left.append(held.pop())
+                held += [a, b]
+                left.remove(a)
+                left.remove(b)
+                left.sort(reverse=True)
+        bins.append(held)
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_is_best_two_fit_as_it_is_written(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randrange(1, 101) for _ in range(rng.choice([10, 60, 150]))]
+    counts = {x: lengths.count(x) for x in lengths}
+    assert abs(sum(t for _, t in packing.plan(counts, 100)) - len(literal_best_two_fit(lengths, 100))) <= 1
+
+
 def test_two_documents_replace_the_smallest():
     # Greedy puts 60 and 30 together with a gap of 10; 20 and 20 instead of 30 fill it.
     assert packing.plan({60: 1, 30: 1, 20: 2}, 100)[0] == ((60, 20, 20), 1)
