@@ -2,26 +2,28 @@
 
 Every vector is scored against a block of queries, and only counts leave the tasks: per query a
 histogram of the scores, cut below the task's own k-th value, which cannot exceed the overall one. The
-summed histogram says which bin holds the k-th highest score; the next round splits that bin alone,
-until bins are one integer wide and the k-th value is known. The last pass keeps the scores that reach
-it, at most k a query and task, and ties fall to the smaller vec_id.
+histograms are summed and searched for the bin of the k-th highest score by Spark; the next round splits that
+bin alone, until bins are one integer wide and the k-th value is known. The last pass keeps the scores that reach
+it, at most k a query and task, and ties fall to the smaller vec_id. Only the bounds of the queries under way,
+QUERY_BLOCK of them, pass through the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordlens.llm.common import cut
+from recordlens.llm.common import cut, shared_dir
 
 #: Queries that are sent to the tasks at once, and that many vectors are scored against them at once.
-QUERY_BLOCK = 2048
-ROW_BLOCK = 2048
-BINS = 4096
+QUERY_BLOCK = 16384
+ROW_BLOCK = 128
+BINS = 512
 
 
 def quantise(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -32,10 +34,15 @@ def quantise(vectors: DataFrame, scale: int = 256) -> DataFrame:
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
         .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
         .where(sound)
-        .select("vec_id", F.transform(parts, lambda x: F.floor(x * scale).cast("double")).alias("q"))
+        .select("vec_id", F.transform(parts, lambda x: _floor(x * scale)).alias("q"))
     )
 
 
+def _floor(x):
+    """The floor as a double; numbers too large for a fraction are their own."""
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+
+
 def _matrices(batch):
     """(ids, matrix) for each length of vector in a batch, in blocks of rows."""
     ids, lists = np.asarray(batch.column(0)), batch.column(1)
@@ -111,25 +118,23 @@ def _block_topk(vectors: DataFrame, ids: np.ndarray, queries: list, norm: float,
     width = np.maximum(1.0, np.ceil((2 * reach + 1) / BINS))
     least = np.full(n, -np.inf)
     open_ = np.ones(n, bool)
+    spark = vectors.sparkSession
+    from_top = Window.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     while open_.any():
         counted = vectors.mapInArrow(_histogram(block, low, high, width, n, k), "q long, bin long, n long")
-        rows = counted.groupBy("q", "bin").agg(F.sum("n").alias("n")).toPandas()
-        found = np.zeros((n, BINS), np.int64)
-        found[rows["q"], rows["bin"]] = rows["n"]
-        above = found[:, ::-1].cumsum(axis=1)[:, ::-1]  # scores in this bin or a higher one
-        for i in np.flatnonzero(open_):
-            hit = np.flatnonzero(above[i] >= wanted[i])
-            if not len(hit):  # fewer candidates than k: all of them are wanted
-                open_[i] = False
-                continue
-            at = hit[-1]
-            wanted[i] -= above[i, at] - found[i, at]
-            low[i] += at * width[i]
-            least[i], high[i] = low[i], low[i] + width[i]
-            open_[i] = width[i] > 1
-            width[i] = max(1.0, np.ceil(width[i] / BINS))
+        sums = counted.groupBy("q", "bin").agg(F.sum("n").alias("n")).withColumn("above", F.sum("n").over(from_top))
+        state = spark.createDataFrame(pd.DataFrame({"q": np.flatnonzero(open_), "wanted": wanted[open_]}))
+        hit = sums.join(F.broadcast(state), "q").where("above >= wanted and above - n < wanted").select("q", "bin", "n", "above").toPandas()
+        # Queries without such a bin have fewer candidates than k: all of them are wanted.
+        i, at = hit["q"].to_numpy(np.int64), hit["bin"].to_numpy(np.int64)
+        open_[:] = False
+        open_[i] = width[i] > 1
+        wanted[i] -= hit["above"].to_numpy(np.int64) - hit["n"].to_numpy(np.int64)
+        low[i] += at * width[i]
+        least[i], high[i] = low[i], low[i] + width[i]
+        width[i] = np.maximum(1.0, np.ceil(width[i] / BINS))
     kept = vectors.mapInArrow(_reached(block, least, k), "q long, vec_id long, score long")
-    names = vectors.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "q long, query_id long")
+    names = spark.createDataFrame(pd.DataFrame({"q": np.arange(n), "query_id": ids}))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.join(F.broadcast(names), "q").select("query_id", "rank", "vec_id", "score")
@@ -143,22 +148,24 @@ def topk(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> D
     a null vec_id, a null vector, or null, NaN or infinite components take no part. Ties go to the
     smaller vec_id; rows that repeat a vec_id are candidates as often as they come, and a query that is
     repeated with the same vector is answered once. Fewer than k candidates are all returned; none give
-    no rows. The queries are sent in blocks of QUERY_BLOCK vectors, so what is broadcast does not grow.
+    no rows. Scores are exact up to 2**53. The queries are sent in blocks of QUERY_BLOCK vectors, so what is
+    broadcast does not grow; the answers of a block are added to one written table.
     """
     whole = cut(quantise(vectors, scale))
     asked = cut(whole.where(F.col("vec_id") % every == 0).distinct())
     total = asked.count()
-    out = [vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")]
+    spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score long"
     norm = whole.agg(F.max(F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 0.0
     blocks = -(-total // QUERY_BLOCK)
+    at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(at)
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id", "q").collect()
-        for at in range(0, len(rows), QUERY_BLOCK):
-            some = rows[at : at + QUERY_BLOCK]
-            out.append(_block_topk(whole, np.array([r[0] for r in some], np.int64), [r[1] for r in some], norm, k))
-            if blocks > 1:
-                out[-1] = cut(out[-1])
-    return reduce(DataFrame.unionByName, out[1:] or out)
+        for i in range(0, len(rows), QUERY_BLOCK):
+            some = rows[i : i + QUERY_BLOCK]
+            found = _block_topk(whole, np.array([r[0] for r in some], np.int64), [r[1] for r in some], norm, k)
+            found.write.mode("append").parquet(at)
+    return spark.read.schema(schema).parquet(at)
 
 
 ORACLE_SQL = """
