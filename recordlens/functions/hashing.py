@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.functions.text import bigrams, folded, joined_words
+from recordlens.functions.text import JOINED, normal_text
 
 DIMENSION = 256
 
@@ -46,32 +50,74 @@ def ratio(part: Column, whole: Column, places: int = 6) -> Column:
     return F.when(whole != 0, F.bround(part.cast("double") / whole, places))
 
 
-def features(text: Column) -> Column:
-    """Signed weighted features: a unigram counts one, a bigram a half."""
-    tokens = joined_words(folded(text))
-    return F.concat(
-        F.transform(tokens, lambda t: F.struct(F.concat(F.lit("u\0"), t).alias("f"), F.lit(1.0).alias("w"))),
-        F.transform(bigrams(tokens), lambda b: F.struct(b.alias("f"), F.lit(0.5).alias("w"))),
-    )
+class Buckets(dict):
+    """The signed place of a feature, from 1 on: the digest of a unigram (a token) or a bigram (two tokens)."""
 
+    #: Features that a worker remembers; all are forgotten when there are more.
+    LIMIT = 1_000_000
 
-def feature_sums(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, dim, val): sums of the signed weights by bucket.
+    def __missing__(self, feature) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        text = f"u\0{feature}" if isinstance(feature, str) else f"b\0{feature[0]}\0{feature[1]}"
+        digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+        place = int.from_bytes(digest[:4], "little") % DIMENSION + 1
+        value = self[feature] = place if digest[4] & 1 else -place
+        return value
+
+
+def feature_counts(text: str, known: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of a text's signed weights by bucket (a unigram weighs one, a bigram a half), and which were touched.
 
-    Buckets are summed before the shuffle, so at most DIMENSION rows of a key and task are moved.
+    Equal features are counted before they are hashed.
     """
-    single = rows.select(key, F.explode(features(F.col(text))).alias("x")).select(key, F.sha2("x.f", 256).alias("h"), "x.w")
-    # The first byte is the low byte of the little-endian number, all that counts modulo 256; byte 4 has the sign.
-    dim = F.conv(F.substring("h", 1, 2), 16, 10).cast("int")
-    odd = F.substring("h", 10, 1).isin(*"13579bdf")
-    return single.select(key, dim.alias("dim"), F.when(odd, -F.col("w")).otherwise(F.col("w")).alias("v")).groupBy(key, "dim").agg(F.sum("v").alias("val"))
+    tokens = JOINED.findall(normal_text(text))
+    held = Counter(tokens)
+    held.update(zip(tokens, tokens[1:], strict=False))
+    places = np.fromiter(map(known.__getitem__, held), np.int64, len(held))
+    weights = np.fromiter((n if isinstance(f, str) else n / 2 for f, n in held.items()), np.float64, len(held))
+    at = np.abs(places) - 1
+    return np.bincount(at, np.sign(places) * weights, DIMENSION), np.bincount(at, minlength=DIMENSION) > 0
+
+
+def embedding(text: str, known: Buckets) -> np.ndarray:
+    """The embedding of a text, of length one, or zero for a text without tokens."""
+    sums, _ = feature_counts(text, known)
+    norm = math.sqrt(float(sums @ sums))
+    return sums / norm if norm else sums
+
+
+def _sparse(rows: DataFrame, key: str, text: str, normed: bool) -> DataFrame:
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        known = Buckets()
+        for b in batches:
+            nth, dims, values = [], [], []
+            for i, t in enumerate(b.column(1)):
+                sums, touched = feature_counts(t.as_py() or "", known)
+                norm = math.sqrt(float(sums @ sums))
+                if normed and not norm:
+                    continue
+                at = np.flatnonzero(touched)
+                nth.append(np.full(len(at), i))
+                dims.append(at)
+                values.append(sums[at] / norm if normed else sums[at])
+            if nth:
+                columns = [b.column(0).take(pa.array(np.concatenate(nth))), pa.array(np.concatenate(dims), pa.int32()), pa.array(np.concatenate(values))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "dim", "val"])
+
+    return rows.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, dim int, val double")
+
+
+def feature_sums(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, dim, val): sums of the signed weights by bucket of each row's text. A null text has none."""
+    return _sparse(rows, key, text, False)
 
 
 def embed(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, dim, val): the embedding with length one, as sparse rows."""
-    sums = feature_sums(rows, key, text)
-    norm = F.sqrt(F.sum(F.col("val") * F.col("val")).over(Window.partitionBy(key)))
-    return sums.withColumn("norm", norm).where("norm > 0").select(key, "dim", (F.col("val") / F.col("norm")).alias("val"))
+    """(key, dim, val): each row's embedding with length one, as sparse rows. A text without tokens has none."""
+    return _sparse(rows, key, text, True)
 
 
 def dense(sparse: DataFrame, key: str, dimension: int = DIMENSION) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -18,6 +19,8 @@ JOINED_WORDS = rf"{WORD}+(?:[-.:/]{WORD}+)*|{SYMBOL}"
 PLAIN_WORDS = rf"{WORD}+|{SYMBOL}"
 #: ASCII lookup tokens.
 LOOKUP_TOKENS = r"[A-Za-z0-9_.:/=-]+"
+#: The first two again, for Python.
+JOINED, PLAIN = re.compile(r"\w+(?:[-.:/]\w+)*|[^\w\s]"), re.compile(r"\w+|[^\w\s]")
 DOI = r"^10\.[0-9]{4,9}/\S+$"
 
 
@@ -26,15 +29,14 @@ def collapse(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def folded(text: Column) -> Column:
-    """Case folding of text that is stable under NFKC: lower case, and sharp s as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+def normal_text(text: str) -> str:
+    """Compatibility normal form and full case folding."""
+    return text.casefold() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
 
 
 def nfkc_casefold(text: Column | str) -> Column:
-    """Compatibility normal form and full case folding, for text that may not be stable."""
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+        return text.map(lambda s: None if s is None else normal_text(s))
 
     return F.pandas_udf(run, "string")(text)
 
@@ -53,19 +55,22 @@ def lookup_tokens(text: Column, longer_than: int = 0) -> Column:
     return F.filter(tokens, lambda t: F.length(t) > longer_than) if longer_than else tokens
 
 
-def token_cost(text: Column) -> Column:
-    """Portable token count: a word costs a quarter of its bytes rounded up, a symbol costs one."""
-    return F.aggregate(
-        plain_words(text),
-        F.lit(0).cast("long"),
-        lambda total, t: total + F.when(t.rlike(rf"^{WORD}"), F.ceil(F.octet_length(t) / 4)).otherwise(1).cast("long"),
-    )
+def portable_tokens(text: str) -> int:
+    """Portable tokens of a text in compatibility normal form: a quarter of a word's bytes rounded up, one for a symbol.
+
+    A symbol has four bytes at most, so one formula does for both.
+    """
+    if text.isascii():
+        return sum((len(t) + 3) // 4 for t in PLAIN.findall(text))
+    return sum((len(t.encode("utf-8", "surrogatepass")) + 3) // 4 for t in PLAIN.findall(unicodedata.normalize("NFKC", text)))
 
 
-def bigrams(tokens: Column) -> Column:
-    n = F.size(tokens) - 1
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(n, F.lit(0))), F.slice(tokens, 2, F.greatest(n, F.lit(0))), lambda a, b: F.concat(F.lit("b\0"), a, F.lit("\0"), b))
-    return F.when(n > 0, pairs).otherwise(F.array().cast("array<string>"))
+def token_cost(text: Column | str) -> Column:
+    """``portable_tokens`` of a column; null stays null."""
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda s: None if s is None else portable_tokens(s)).astype("Int64")
+
+    return F.pandas_udf(run, "long")(text)
 
 
 def normal_doi(doi: Column) -> Column:

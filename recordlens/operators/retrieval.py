@@ -2,51 +2,143 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordlens.functions.hashing import dot, embed
-from recordlens.functions.text import LOOKUP_TOKENS, lookup_tokens
+from recordlens.functions.hashing import DIMENSION, Buckets, embedding
+from recordlens.functions.text import LOOKUP_TOKENS
+
+_LOOKUP = re.compile(LOOKUP_TOKENS)
 
 #: Token budgets that retrieved contexts are compared with.
 BUDGETS = {"MICRO": 8192, "STANDARD": 24576, "FULL": 131072}
 
 
 def text_topk(rows: DataFrame, key: str, text: str, query: str, k: int = 5) -> DataFrame:
-    """The ``k`` rows most like a query text by the cosine of their embeddings; ties to the smaller key.
+    """The ``k`` rows most like a query text by the inner product of their embeddings; ties to the smaller key.
 
-    The rank is by the unrounded score. Only the buckets of the query are joined, so a row's embedding is
-    never made dense.
+    Every row is scored, those that share nothing with the query or have no tokens too. Rows are embedded and
+    stored as 16-bit floats, the query is not; the rank is by the unrounded score. A query without tokens is refused.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    asked = embed(rows.sparkSession.createDataFrame([(query,)], "text string").withColumn("q", F.lit(0)), "q", "text").select("dim", F.col("val").alias("q_val"))
-    scores = embed(rows, key, text).join(F.broadcast(asked), "dim").groupBy(key).agg(F.sum(F.col("val") * F.col("q_val")).alias("score"))
-    return scores.orderBy(F.desc(F.round("score", 12)), key).limit(k).select(key, F.round("score", 6).alias("score"))
+    asked = embedding(query, Buckets())
+    if not asked.any():
+        raise ValueError("the query has no tokens")
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        known = Buckets()
+        for b in batches:
+            vectors = np.array([embedding(t.as_py() or "", known) for t in b.column(1)]).reshape(-1, DIMENSION)
+            scores = (vectors.astype("<f2").astype(np.float64) * asked).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], [key, "score"])
+
+    scored = rows.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, score double")
+    return scored.orderBy(F.desc("score"), key).limit(k).select(key, F.round("score", 6).alias("score"))
+
+
+#: Queries that are sent to all tasks at once, and bytes of them.
+QUERY_BLOCK, QUERY_BYTES = 1024, 32 << 20
+
+
+def _blocks(queries: DataFrame, size) -> Iterator[list]:
+    """The rows of ``queries`` in lists of at most QUERY_BLOCK rows and about QUERY_BYTES, read one after another."""
+    held, spent = [], 0
+    for row in queries.toLocalIterator():
+        if held and (len(held) >= QUERY_BLOCK or spent + size(row) > QUERY_BYTES):
+            yield held
+            held, spent = [], 0
+        held.append(row)
+        spent += size(row)
+    if held:
+        yield held
+
+
+class _Best:
+    """The k best (score, then key) of each query among what a task has seen."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.rows = pd.DataFrame({"q": [], "key": [], "score": []})
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        """``scores``: a row for each key, a column for each query; minus infinity is never taken."""
+        nth, q = np.nonzero((scores >= self.least) & (scores > -np.inf))
+        new = pd.DataFrame({"q": q, "key": keys[nth], "score": scores[nth, q]})
+        rows = pd.concat([self.rows, new]) if len(self.rows) else new
+        rows = rows.sort_values(["q", "score", "key"], ascending=[True, False, True], kind="stable")
+        self.rows = rows.groupby("q", sort=False).head(self.k)
+        full = self.rows.groupby("q")["score"].agg(["size", "min"])
+        full = full[full["size"] >= self.k]
+        self.least[full.index.to_numpy(np.int64)] = full["min"]
+
+
+def _ranked_blocks(blocks, rows: DataFrame, key: str, ids: str, score, k: int) -> DataFrame:
+    """(query_id, rank, key, score) of all blocks of queries; ``score``: makes a function of batches from a block."""
+    kind = rows.schema[key].dataType.simpleString()
+    spark, parts = rows.sparkSession, []
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            asked = shared.value
+            best, scorer = _Best(len(asked), k), score(asked)
+            for b in batches:
+                best.add(b.column(0).to_pandas().to_numpy(), scorer(b))
+            at = best.rows["q"].to_numpy(np.int64)
+            names = [asked[i][0] for i in at]
+            columns = [pa.array(names), pa.array(best.rows["key"].tolist()), pa.array(best.rows["score"].to_numpy(np.float64))]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, (_arrow(ids), _arrow(kind), pa.float64()), strict=True)], ["query_id", key, "score"])
+
+        found = rows.mapInArrow(run, f"query_id {ids}, {key} {kind}, score double")
+        parts.append(ranked(found, "query_id", key, k))
+    if not parts:
+        return spark.createDataFrame([], f"query_id {ids}, {key} {kind}, score double, rank int")
+    return reduce(DataFrame.unionByName, parts)
 
 
-#: Queries that are sent to all tasks at once.
-QUERY_BLOCK = 1024
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best of ``vectors`` (vec_id, v) for each of (query_id, q).
 
-    Queries go to the tasks in blocks of QUERY_BLOCK, so what is broadcast has a bound; each task keeps
-    the k best of a query before the shuffle.
+    A query's own row, and rows of another length or with nulls, take no part. Queries go to the tasks in blocks
+    bounded in rows and bytes; each task keeps the k best of a query before the shuffle.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = []
-    for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = vectors.join(F.broadcast(some), F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
-        parts.append(ranked(scored, "query_id", "vec_id", k))
-    return reduce(DataFrame.unionByName, parts)
+
+    def score(asked):
+        lengths = {len(q) for _, q in asked if q is not None}
+
+        def run(batch):
+            keys, out = batch.column(0).to_pandas().to_numpy(), np.full((batch.num_rows, len(asked)), -np.inf)
+            held = batch.column(1).to_pylist()
+            for n in lengths:
+                rows = [i for i, v in enumerate(held) if v is not None and len(v) == n and None not in v]
+                some = [j for j, (_, q) in enumerate(asked) if q is not None and len(q) == n and None not in q]
+                if rows and some:
+                    a, b = np.array([held[i] for i in rows]), np.array([asked[j][1] for j in some])
+                    out[np.ix_(rows, some)] = np.einsum("nd,qd->nq", a, b)
+            out[keys[:, None] == np.array([i for i, _ in asked], dtype=keys.dtype)[None, :]] = -np.inf
+            return out
+
+        return run
+
+    ids = queries.schema["query_id"].dataType.simpleString()
+    blocks = _blocks(queries.select("query_id", "q"), lambda r: 8 * len(r["q"] or ()))
+    found = _ranked_blocks(([(r[0], r[1]) for r in b] for b in blocks), vectors.select("vec_id", "v"), "vec_id", ids, score, k)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def ranked(scored: DataFrame, by: str, key: str, k: int, score: Column | None = None) -> DataFrame:
@@ -58,31 +150,44 @@ def ranked(scored: DataFrame, by: str, key: str, k: int, score: Column | None =
 def lexical_topk(queries: DataFrame, records: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, record_id, score): twice the shared tokens, and one if the record holds the query's phrase.
 
-    ``queries``: (query_id, query); ``records``: (record_id, body). Tokens are joined by equality. A phrase
-    can only be where all its inner tokens are, so bodies are read for such pairs only, or, for a query
-    without inner tokens, for all. Records that score zero fill what is missing to k, by their ids.
+    ``queries``: (query_id, query); ``records``: (record_id, body). Every record is scored, with zero where nothing
+    is shared; ties go to the smaller record_id. Queries go to the tasks in bounded blocks, with a list of the queries
+    of each token, so a token that is everywhere moves nothing. A phrase can only be where all its inner
+    tokens are, so bodies are searched for such queries only, or for those without inner tokens.
     """
-    q = queries.select("query_id", "query", lookup_tokens(F.col("query"), 2).alias("tokens"))
-    all_tokens = F.regexp_extract_all(F.lower("query"), F.lit(LOOKUP_TOKENS), F.lit(0))
-    inner = F.when(F.size(all_tokens) > 2, F.slice(all_tokens, 2, F.greatest(F.size(all_tokens) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    q = q.withColumn("inner", F.size(F.array_distinct(F.filter(inner, lambda t: F.length(t) > 2))))
-    r = records.select("record_id", F.explode(lookup_tokens(F.col("body"))).alias("token"))
-    shared = r.join(q.select("query_id", F.explode("tokens").alias("token")), "token").groupBy("query_id", "record_id").agg(F.count(F.lit(1)).alias("shared"))
-    held = F.contains(F.lower("body"), F.lower("query"))
-    likely = shared.join(q.where("inner > 0").select("query_id", "query", "inner"), "query_id").where("shared >= inner").join(records, "record_id").where(held)
-    short = q.where("inner = 0").select("query_id", "query")
-    anywhere = records.join(short, held).select("query_id", "record_id")
-    phrases = likely.select("query_id", "record_id").unionByName(anywhere).withColumn("phrase", F.lit(1))
-    both = shared.join(phrases, ["query_id", "record_id"], "full_outer")
-    zero = F.lit(0).cast("long")
-    scored = both.select("query_id", "record_id", (2 * F.coalesce("shared", zero) + F.coalesce("phrase", zero)).alias("score"))
-    best = ranked(scored, "query_id", "record_id", k)
-    lacking = queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
-    lacking = lacking.where(F.coalesce("n", zero) < k).select("query_id")
-    # Of k records of the smallest ids at most k - 1 are among those found; 2 k are enough.
-    filler = records.select("record_id").orderBy("record_id").limit(2 * k)
-    none = lacking.join(F.broadcast(filler)).join(scored.select("query_id", "record_id"), ["query_id", "record_id"], "left_anti").withColumn("score", zero)
-    return ranked(best.select("query_id", "record_id", "score").unionByName(none), "query_id", "record_id", k).select("query_id", "rank", "record_id", "score")
+    if k <= 0:
+        raise ValueError("k must be positive")
+
+    def score(asked):
+        phrases, inner, of = [], [], {}
+        for j, (_, query) in enumerate(asked):
+            low = (query or "").lower()
+            phrases.append(low)
+            tokens = _LOOKUP.findall(low)
+            inner.append(len({t for t in tokens[1:-1] if len(t) > 2}))
+            for t in {t for t in tokens if len(t) > 2}:
+                of.setdefault(t, []).append(j)
+        of = {t: np.array(j) for t, j in of.items()}
+        known, inner = of.keys(), np.array(inner)
+
+        def run(batch):
+            out = np.zeros((batch.num_rows, len(asked)))
+            for i, body in enumerate(batch.column(1)):
+                low = (body.as_py() or "").lower()
+                shared = out[i]
+                for t in known & set(_LOOKUP.findall(low)):
+                    shared[of[t]] += 1
+                held = [j for j in np.flatnonzero(shared >= inner) if phrases[j] in low]
+                shared *= 2
+                shared[held] += 1
+            return out
+
+        return run
+
+    ids = queries.schema["query_id"].dataType.simpleString()
+    blocks = _blocks(queries.select("query_id", "query"), lambda r: len(r["query"] or ""))
+    found = _ranked_blocks(([(r[0], r[1]) for r in b] for b in blocks), records.select("record_id", "body"), "record_id", ids, score, k)
+    return found.select("query_id", "rank", "record_id", F.col("score").cast("long").alias("score"))
 
 
 def retrieval_report(results: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ PLAIN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x85]"
 def _sums(source: str) -> str:
     """SQL for bucket sums of the features of (id, text) rows."""
     return f"""
-    SELECT id, ('0x' || h[1:2])::INT AS dim, sum(CASE WHEN h[10] IN ('1','3','5','7','9','b','d','f') THEN -w ELSE w END) AS val
+    SELECT id, ('0x' || h[1:2])::INT AS dim, sum(CASE WHEN h[10] IN ('1','3','5','7','9','b','d','f') THEN w ELSE -w END) AS val
     FROM (
       SELECT id, sha256(f) AS h, w FROM (
         SELECT id, 'u' || chr(0) || unnest(t) AS f, 1.0::DOUBLE AS w FROM ({source})
@@ -29,6 +29,12 @@ def _sums(source: str) -> str:
     ) GROUP BY id, dim"""
 
 
+def _half(x: str) -> str:
+    """SQL for a number as it comes back from a 16-bit float: eleven bits of it, halves to even."""
+    unit = f"pow(2, greatest(floor(log2(abs({x}))), -14) - 10)"
+    return f"CASE WHEN {x} = 0 THEN 0.0 ELSE round_even({x} / {unit}, 0) * {unit} END"
+
+
 _DOC_TOKENS = f"SELECT doc_id AS id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{JOINED}') AS t FROM documents"
 _ASKED_TOKENS = f"SELECT 0 AS id, regexp_extract_all(replace(lower('{ASKED}'), 'ß', 'ss'), '{JOINED}') AS t"
 
@@ -37,10 +43,11 @@ _ASKED_TOKENS = f"SELECT 0 AS id, regexp_extract_all(replace(lower('{ASKED}'), '
     "embed_topk",
     f"""
 WITH d AS ({_sums(_DOC_TOKENS)}), q AS ({_sums(_ASKED_TOKENS)}),
-dn AS (SELECT id, sqrt(sum(val * val)) AS n FROM d GROUP BY id), qn AS (SELECT sqrt(sum(val * val)) AS n FROM q)
-SELECT d.id AS doc_id, round(sum(d.val / dn.n * q.val / qn.n), 6) AS score
-FROM d JOIN q USING (dim) JOIN dn ON d.id = dn.id, qn WHERE dn.n > 0
-GROUP BY d.id ORDER BY round(sum(d.val / dn.n * q.val / qn.n), 12) DESC, d.id LIMIT 5
+dn AS (SELECT id, sqrt(sum(val * val)) AS n FROM d GROUP BY id), qn AS (SELECT sqrt(sum(val * val)) AS n FROM q),
+h AS (SELECT d.id, dim, {_half('d.val / dn.n')} AS val FROM d JOIN dn ON d.id = dn.id WHERE dn.n > 0),
+s AS (SELECT h.id, sum(h.val * q.val / qn.n) AS score FROM h JOIN q USING (dim), qn GROUP BY h.id)
+SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN s ON doc_id = id
+ORDER BY round(coalesce(score, 0), 12) DESC, doc_id LIMIT 5
 """,
 )
 def embed_topk(t):
@@ -78,6 +85,8 @@ def vector_topk_per_query(t):
 
 @QUERIES.add(
     "half_precision_norms",
+    f"""WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), h AS (SELECT vec_id, {_half('x')} AS x FROM c)
+SELECT vec_id, round(sum(x * x), 6) AS norm2 FROM h GROUP BY vec_id""",
 )
 def half_precision_norms(t):
     rounded = hashing.half_precision(F.col("embedding").cast("array<double>"))

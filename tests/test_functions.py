@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions import hashing, text
 
-SAMPLES = ["The cat-sat on a/b:c.d!", "Straße und ÄÖÜ", "", "a\u2028b  c", "x_1 y.z 9,5 €", "one"]
+SAMPLES = ["ﬁligree ２０２６ ｆｕｌｌ e\u0301t\u00e9 ﬀ.ﬃ ½", "The cat-sat on a/b:c.d!", "Straße und ÄÖÜ", "", "a\u2028b  c", "x_1 y.z 9,5 €", "one"]
 
 
 def column(spark, values, make, kind="string"):
@@ -28,7 +28,7 @@ def test_tokenisers_agree_with_unicode_regular_expressions(spark):
 
 
 def test_token_cost_counts_quarters_of_bytes(spark):
-    cost = lambda s: sum(max(1, math.ceil(len(t.encode()) / 4)) if re.match(r"\w", t) else 1 for t in re.findall(r"\w+|[^\w\s]", s))
+    cost = lambda s: sum(max(1, math.ceil(len(t.encode()) / 4)) if re.match(r"\w", t) else 1 for t in re.findall(r"\w+|[^\w\s]", unicodedata.normalize("NFKC", s)))
     assert column(spark, SAMPLES, text.token_cost) == [cost(s) for s in SAMPLES]
 
 
@@ -99,7 +99,7 @@ def model_embedding(s):
     v = np.zeros(256)
     for f, w in [*((f"u\0{t}", 1.0) for t in tokens), *((f"b\0{a}\0{b}", 0.5) for a, b in zip(tokens, tokens[1:], strict=False))]:
         d = hashlib.sha256(f.encode()).digest()
-        v[struct.unpack("<I", d[:4])[0] % 256] += w * (-1 if d[4] & 1 else 1)
+        v[struct.unpack("<I", d[:4])[0] % 256] += w * (1 if d[4] & 1 else -1)
     return v / np.linalg.norm(v) if np.linalg.norm(v) else v
 
 
