@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlens.functions.hashing import ratio
+from recordlens.functions.text import safe_path
+from recordlens.operators.relations import all_findings, dangling, findings
+
 # The order of maturity, the classifier's statuses and reasons, and its numeric limits.
 MATURITY = ["UNKNOWN", "SPECULATIVE", "PROPOSED", "THEORETICAL", "PRELIMINARY", "CONTESTED", "SUPPORTED", "CONSENSUS", "ESTABLISHED"]
 VARIANTS = ("rule_only", "sparse_24d")
@@ -15,6 +21,19 @@ def maturity_rank(level: Column, levels: list[str] | None = None) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, levels or MATURITY)), level), F.lit(0))
 
 
+def maturity_exceeds(requested: Column, entitlement: Column, levels: list[str] | None = None) -> Column:
+    """Whether more is asked for than the evidence entitles to; raises for a level that is null or unknown."""
+    a, b = maturity_rank(requested, levels), maturity_rank(entitlement, levels)
+    return F.when(a.isNull() | b.isNull(), F.raise_error(F.lit("a maturity is not of the declared order")).cast("boolean")).otherwise(a > b)
+
+
+def maturity_problems(rows: DataFrame, key: str, levels: list[str] | None = None) -> DataFrame:
+    """(key, field) of the maturities that are null or not in the order."""
+    fields = ("requested_maturity", "evidence_entitlement")
+    bad = F.array_compact(F.array(*(F.when(maturity_rank(F.col(f), levels).isNull(), F.lit(f)) for f in fields)))
+    return rows.select(key, F.explode(bad).alias("field"))
+
+
 def _flag(name: str) -> Column:
     return F.coalesce(F.col(name).cast("boolean"), F.lit(False))
 
@@ -28,7 +47,8 @@ def classify(rows: DataFrame, sparse: Column | None = None, levels: list[str] |
 
     Unresolved terms, freshness and conflicts end the decision at once, in that order; so does a binding
     legal claim without a jurisdiction, whatever was found before it. Else every breach gives a reason.
-    ``sparse``: whether the numeric rules apply to a row.
+    ``sparse``: whether the numeric rules apply to a row. A maturity that is null or not in the order is refused
+    when the plan runs, by whatever reads the status; ``maturity_problems`` tells such rows beforehand.
     """
     sparse = F.lit(True) if sparse is None else sparse
     text = lambda n: F.coalesce(F.col(n), F.lit(""))
@@ -40,8 +60,7 @@ def classify(rows: DataFrame, sparse: Column | None = None, levels: list[str] |
     legal = (F.col("primary_mode") == "LEGAL") & (text("claim_scope") == "legal_rule") & _flag("binding_claim")
     medical = (F.col("primary_mode") == "MEDICAL") & (text("claim_scope") == "clinical_guidance")
     early = F.when(early.isNull() & legal & ~_flag("jurisdiction_resolved"), "JURISDICTION_UNRESOLVED").otherwise(early)
-    exceeds = (maturity_rank(F.col("requested_maturity"), levels) > maturity_rank(F.col("evidence_entitlement"), levels)) & ~_flag("scenario_to_actual_promotion")
-    exceeds = F.coalesce(exceeds, F.lit(False))
+    exceeds = maturity_exceeds(F.col("requested_maturity"), F.col("evidence_entitlement"), levels) & ~_flag("scenario_to_actual_promotion")
     secondary = legal & (text("source_authority_class") != "primary_legal_authority")
     preprint = medical & text("publication_state").isin("preprint", "repository")
     crosses = (_number("cross_domain_dependence") >= 0.5) | (F.size(F.coalesce("secondary_modes", F.array().cast("array<string>"))) > 0)
@@ -130,3 +149,171 @@ def maturity_grid(spark: SparkSession, levels: list[str] | None = None) -> DataF
     a = one.select(F.col("level").alias("requested_maturity"), F.col("n").alias("__a"))
     b = one.select(F.col("level").alias("evidence_entitlement"), F.col("n").alias("__b"))
     return a.join(F.broadcast(b)).select("requested_maturity", "evidence_entitlement", (F.col("__a") > F.col("__b")).alias("violates"))
+
+
+def consumer_score(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How a consumer did: counts and rates over (status, reason_codes, expected_status, expected_reasons, secondary_modes).
+
+    A case is correct if status and reasons are. A false OK says MODE_OK where that was not expected. Rates of
+    nothing are null.
+    """
+    none = F.array().cast("array<string>")
+    status = F.col("status").eqNullSafe(F.col("expected_status"))
+    reasons = F.array_sort(F.coalesce("reason_codes", none)) == F.array_sort(F.coalesce("expected_reasons", none))
+    false_ok = (F.col("status") == "MODE_OK") & ~F.col("expected_status").eqNullSafe(F.lit("MODE_OK"))
+    crosses = F.size(F.coalesce("secondary_modes", none)) > 0
+    n = F.count(F.lit(1))
+    return rows.groupBy(*(by or [])).agg(
+        n.alias("total"),
+        F.count_if(status & reasons).alias("correct"),
+        F.count_if(reasons).alias("reason_codes_correct"),
+        F.count_if(false_ok).alias("false_mode_ok"),
+        F.count_if(crosses).alias("cross_mode_total"),
+        F.count_if(crosses & status & reasons).alias("cross_mode_correct"),
+        ratio(F.count_if(status & reasons), n).alias("accuracy"),
+        ratio(F.count_if(reasons), n).alias("reason_code_accuracy"),
+        ratio(F.count_if(false_ok), n).alias("false_mode_ok_rate"),
+        ratio(F.count_if(crosses & status & reasons), F.count_if(crosses)).alias("cross_mode_accuracy"),
+    )
+
+
+# What must agree before reports are compared, and the rates that are.
+REPORT_IDENTITY = ("mode_bundle_sha256", "mode_policy_sha256", "source_commit", "content_sha256")
+REPORT_RATES = ("accuracy", "reason_code_accuracy", "false_mode_ok_rate", "cross_mode_accuracy")
+EMPIRICAL = "empirical_consumer"
+
+
+def report_deltas(left: DataFrame, right: DataFrame, pair: list[str], rates: tuple[str, ...] = REPORT_RATES) -> DataFrame:
+    """Per pair (columns in both): right less left of each rate; null if either is."""
+    a = left.select(*pair, *(F.col(r).alias(f"__l_{r}") for r in rates))
+    return a.join(right.select(*pair, *rates), pair).select(*pair, *(F.bround(F.col(r) - F.col(f"__l_{r}"), 6).alias(f"{r}_delta") for r in rates))
+
+
+def comparison_problems(left: DataFrame, right: DataFrame) -> list[str]:
+    """Why two one-row reports can't be compared: not from a consumer, other identities or models, the same condition."""
+    a, b = left.first(), right.first()
+    out = [f"{n} report is not of an empirical consumer" for n, r in (("left", a), ("right", b)) if r["execution_kind"] != EMPIRICAL]
+    out += [f"reports differ in {f}" for f in (*REPORT_IDENTITY, "model") if a[f] != b[f]]
+    return out + (["reports have one condition"] if a["condition"] == b["condition"] else [])
+
+
+def calibration(reports: DataFrame, conditions: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(one row of counts and whether they suffice, mean rate by category) of empirical reports.
+
+    ``reports``: execution_kind, the identity, provider, model_id, model_revision, condition and category_accuracy (a map).
+    It takes one identity, two model revisions and a report in each of the ``conditions``.
+    """
+    own = reports.where(F.col("execution_kind") == EMPIRICAL)
+    model = F.struct("provider", "model_id", "model_revision")
+    per = [F.count_distinct(F.when(F.col("condition") == c, model)).alias(f"models_{c}") for c in conditions]
+    counts = own.agg(F.count(F.lit(1)).alias("reports"), F.count_distinct(F.struct(*REPORT_IDENTITY)).alias("identities"), F.count_distinct(model).alias("revisions"), *per)
+    enough = (F.col("identities") == 1) & (F.col("revisions") >= 2)
+    for c in conditions:
+        enough = enough & (F.col(f"models_{c}") > 0)
+    means = own.select(F.explode("category_accuracy").alias("category", "rate")).groupBy("category").agg(F.bround(F.avg("rate"), 6).alias("mean_accuracy"))
+    return counts.withColumn("sufficient", enough), means
+
+
+# Signals of a case in which nothing is amiss, for the witness.
+CALM = {
+    "binding_claim": False, "claim_scope": "fact", "cross_domain_dependence": 0.0, "declared_bridge": False, "doi_only": False, "evidence_entitlement": "SUPPORTED", "evidentiary_strength": 0.8,
+    "freshness_required": False, "freshness_verified": True, "jurisdiction_resolved": True, "jurisdiction_specific": 0.9, "provenance_completeness": 0.95, "publication_state": "official",
+    "register_loss": False, "requested_maturity": "SUPPORTED", "safety_criticality": 0.2, "scenario_to_actual_promotion": False, "source_authority": 0.95, "source_authority_class": "official",
+    "source_scope_matches": True, "terminology_required": False, "terminology_resolved": True, "uncertainty": 0.4, "unresolved_primary_conflict": False,
+}
+
+
+def _witness_case(check: str, mode: str, status: str, reasons: list[str], secondary: tuple[str, ...] = (), **signals) -> dict:
+    return {**CALM, **signals, "check": check, "primary_mode": mode, "secondary_modes": list(secondary), "expected_status": status, "expected_reasons": reasons}
+
+
+def witness_cases(levels: list[str] | None = None) -> list[dict]:
+    """Every case of the policy's witness with what must come out, by check.
+
+    All ordered pairs of maturity; at each level a bridge that is and is not declared, which changes no entitlement,
+    and high stakes on weak evidence with low and high uncertainty; unresolved law and medicine; conflicts of both.
+    """
+    levels, out = levels or MATURITY, []
+    for i, requested in enumerate(levels):
+        for j, entitled in enumerate(levels):
+            fine = ["CLAIM_WITHIN_ENTITLEMENT"] if i == j else ["POLICY_SATISFIED"]
+            expected = ("MODE_VIOLATION", ["CLAIM_STRENGTH_EXCEEDS_ENTITLEMENT"]) if i > j else ("MODE_OK", fine)
+            out.append(_witness_case("strength", "SCIENCE", *expected, requested_maturity=requested, evidence_entitlement=entitled))
+    weak = {"source_authority": 0.6, "source_authority_class": "scholarly"}
+    for level in levels:
+        same = {"requested_maturity": level, "evidence_entitlement": level, **weak}
+        for declared, expected in ((False, ("MODE_VIOLATION", ["BRIDGE_REQUIRED"])), (True, ("MODE_CROSSOVER", ["DECLARED_BRIDGE"]))):
+            out.append(_witness_case("bridge", "SCIENCE", *expected, ("FORMAL",), cross_domain_dependence=0.8, declared_bridge=declared, **same))
+        for uncertainty, expected in ((0.1, ("MODE_VIOLATION", ["HIGH_SAFETY_LOW_EVIDENCE_UNCERTAINTY_REQUIRED"])), (0.9, ("MODE_OK", ["UNCERTAINTY_PRESERVED"]))):
+            out.append(_witness_case("geometry", "ENGINEERING", *expected, safety_criticality=0.95, evidentiary_strength=0.2, uncertainty=uncertainty, **same))
+    law, medicine = {"claim_scope": "legal_rule", "source_authority_class": "primary_legal_authority", "binding_claim": True}, {"claim_scope": "clinical_guidance", "source_authority_class": "current_clinical_guideline"}
+    out.append(_witness_case("high_stakes", "LEGAL", "MODE_UNRESOLVED", ["JURISDICTION_UNRESOLVED"], jurisdiction_resolved=False, **law))
+    out.append(_witness_case("high_stakes", "MEDICAL", "MODE_UNRESOLVED", ["FRESHNESS_OR_VERSION_UNRESOLVED"], freshness_required=True, freshness_verified=False, **medicine))
+    out += [_witness_case("conflict", m, "MODE_UNRESOLVED", ["PRIMARY_CONFLICT"], unresolved_primary_conflict=True, **s) for m, s in (("LEGAL", law), ("MEDICAL", medicine))]
+    return out
+
+
+def policy_witness(spark: SparkSession, levels: list[str] | None = None) -> DataFrame:
+    """(check, cases, passed): every witness case through the classifier."""
+    kinds = {bool: "boolean", str: "string", float: "double", list: "array<string>"}
+    cases = witness_cases(levels)
+    schema = ", ".join(f"`{k}` {kinds[type(v)]}" for k, v in cases[0].items())
+    done = classify(spark.createDataFrame(cases, schema), levels=levels)
+    right = F.col("status").eqNullSafe(F.col("expected_status")) & F.col("reason_codes").eqNullSafe(F.col("expected_reasons"))
+    return done.groupBy("check").agg(F.count(F.lit(1)).alias("cases"), F.bool_and(right).alias("passed"))
+
+
+@dataclass(frozen=True)
+class PolicyTables:
+    """The policy registries as relations.
+
+    modes (id), classes (id), jurisdictions (id), resolvers (id, domain, authority_class, jurisdiction),
+    jurisdiction_resolvers (jurisdiction, resolver), specialty_resolvers (specialty, resolver), freshness_classes (id),
+    profiles (mode, field, class), senses (term, mode), guards (mode), resources (name, path), files (path).
+    """
+
+    modes: DataFrame
+    classes: DataFrame
+    jurisdictions: DataFrame
+    resolvers: DataFrame
+    jurisdiction_resolvers: DataFrame
+    specialty_resolvers: DataFrame
+    freshness_classes: DataFrame
+    profiles: DataFrame
+    senses: DataFrame
+    guards: DataFrame
+    resources: DataFrame
+    files: DataFrame
+
+
+def policy_findings(p: PolicyTables) -> DataFrame:
+    """(code, path, message): references between the policy registries that lead nowhere or to the wrong thing."""
+
+    def lost(code: str, child: DataFrame, key: str, parent: DataFrame, parent_key: str, path: str) -> DataFrame:
+        return findings(dangling(child, key, parent, parent_key), code, F.col(path), F.concat(F.lit("unknown: "), F.col(key).cast("string")))
+
+    met = p.jurisdiction_resolvers.join(p.resolvers.select(F.col("id").alias("resolver"), "domain", F.col("jurisdiction").alias("__own")), "resolver")
+    wrong = met.where(~(F.col("domain").eqNullSafe(F.lit("LEGAL")) & F.col("__own").eqNullSafe(F.col("jurisdiction"))))
+    twice = lambda code, rows, key: findings(rows.groupBy(key).count().where("count > 1"), code, F.col(key), F.lit("repeated"))
+    unsafe = p.resources.where(~F.coalesce(safe_path(F.col("path")), F.lit(False)))
+    return all_findings([
+        lost("policy.resolver_mode", p.resolvers, "domain", p.modes, "id", "id"),
+        lost("policy.resolver_class", p.resolvers, "authority_class", p.classes, "id", "id"),
+        lost("policy.resolver_jurisdiction", p.resolvers, "jurisdiction", p.jurisdictions, "id", "id"),
+        lost("policy.jurisdiction_resolver", p.jurisdiction_resolvers, "resolver", p.resolvers, "id", "jurisdiction"),
+        findings(wrong, "policy.jurisdiction_match", F.col("jurisdiction"), F.concat(F.lit("another domain or jurisdiction: "), F.col("resolver"))),
+        lost("policy.specialty_resolver", p.specialty_resolvers, "resolver", p.resolvers, "id", "specialty"),
+        lost("policy.profile_mode", p.profiles, "mode", p.modes, "id", "mode"),
+        lost("policy.profile_class", p.profiles, "class", p.freshness_classes, "id", "mode"),
+        lost("policy.sense_mode", p.senses, "mode", p.modes, "id", "term"),
+        lost("policy.guard_mode", p.guards, "mode", p.modes, "id", "mode"),
+        lost("policy.resource_file", p.resources, "path", p.files, "path", "name"),
+        findings(unsafe, "policy.resource_path", F.col("name"), F.lit("path is not safe")),
+        twice("policy.resolver_repeated", p.resolvers, "id"),
+        twice("policy.jurisdiction_repeated", p.jurisdictions, "id"),
+    ])
+
+
+def embedding_findings(texts: DataFrame, policy: str) -> DataFrame:
+    """Findings on transports (path, content) that do not hold the canonical policy text."""
+    return findings(texts.where(~F.coalesce(F.contains("content", F.lit(policy)), F.lit(False))), "delivery.embedding", F.col("path"), F.lit("the policy is not embedded"))

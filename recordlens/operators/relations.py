@@ -80,17 +80,24 @@ def require_contract(expected: DataFrame, actual: DataFrame, key: str) -> None:
         raise ValueError("; ".join(sorted(f"{r['count']} {r['status']}" for r in bad)))
 
 
-def upsert(base: DataFrame, update: DataFrame, key: str, allow_create: bool = True) -> DataFrame:
+def upsert(base: DataFrame, update: DataFrame, key: str, allow_create: bool = True, ordinal: str | None = None) -> DataFrame:
     """``base`` with the rows of ``update`` in the place of those with their key; new ones are added.
 
-    Refuses an update that repeats a key or, unless allowed, creates one. Keys must not be null.
+    Refuses an update that repeats a key or, unless allowed, creates one. Keys must not be null. With ``ordinal``, a
+    column of ``base`` alone, a row that is replaced keeps its place and new ones follow the last by their keys.
     """
     if not update.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError(f"the update repeats a {key}")
     if not allow_create and not dangling(update, key, base, key).isEmpty():
         raise ValueError(f"the update creates a {key}")
     kept = base.join(update.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti")
-    return kept.unionByName(update.select(*base.columns))
+    if ordinal is None:
+        return kept.unionByName(update.select(*base.columns))
+    last = base.agg(F.coalesce(F.max(ordinal), F.lit(-1))).first()[0]
+    known = update.join(base.select(F.col(key).alias("__key"), ordinal), F.col(key) == F.col("__key")).drop("__key")
+    new = indexed(update.join(base.select(F.col(key).alias("__key")), F.col(key) == F.col("__key"), "left_anti"), [key], ordinal)
+    new = new.withColumn(ordinal, (F.col(ordinal) + last + 1).cast(base.schema[ordinal].dataType))
+    return kept.unionByName(known.select(*base.columns)).unionByName(new.select(*base.columns))
 
 
 def fileset_difference(declared: DataFrame, actual: DataFrame, path: str = "path", digest: str = "sha256") -> DataFrame:

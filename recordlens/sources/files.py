@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordlens.functions.hashing import DIMENSION, canonical_json
+from recordlens.functions.hashing import DIMENSION, canonical_json, pack_f16
 
 
 class SourceInvalid(ValueError):
@@ -157,6 +157,25 @@ def write_jsonl(rows: DataFrame, path: str, order: list[str] | None = None) -> N
         rows.select(value).write.mode("errorifexists").text(path)
 
 
+def write_vectors(rows: DataFrame, path: str, vector: str = "embedding", order: str = "vector_index") -> None:
+    """Packed 16-bit little-endian vectors in their order, one binary file; for a registry's worth of them."""
+    packed = rows.select(order, pack_f16(vector).alias("v"))
+    whole = packed.agg(F.array_sort(F.collect_list(F.struct(order, "v"))).alias("a")).first()["a"]
+    conf = rows.sparkSession._jsc.hadoopConfiguration()
+    at = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(conf).create(at, False)
+    try:
+        out.write(bytearray(b"".join(bytes(r["v"]) for r in whole)))
+    finally:
+        out.close()
+
+
+def markdown_facts(title: str, facts: dict[str, object], note: str = "") -> str:
+    """A report of named figures: a heading, a bullet for each, and a note; what is null shows as n/a."""
+    shown = lambda v: "n/a" if v is None else v
+    return "\n".join([f"# {title}", "", *(f"- {k}: `{shown(v)}`" for k, v in facts.items()), *(["", f"> {note}"] if note else []), ""])
+
+
 def publish(spark: SparkSession, staging: str, target: str) -> None:
     """Put a finished folder in its place by one rename; refuses a target that is there."""
     source, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, target))
@@ -167,10 +186,12 @@ def publish(spark: SparkSession, staging: str, target: str) -> None:
         raise SourceInvalid(f"{staging} cannot be moved to {target}")
 
 
-def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
-    """A small DataFrame as a markdown table; ``limit`` rows at most, as a report is."""
+def markdown_table(rows: DataFrame, most: int = 1000) -> str:
+    """A small DataFrame as a markdown table; refuses one of more than ``most`` rows, which is no report."""
     head = rows.columns
-    body = rows.limit(limit).collect()
+    body = rows.limit(most + 1).collect()
+    if len(body) > most:
+        raise ValueError(f"more than {most} rows")
     cell = lambda v: "n/a" if v is None else str(v)
     return "\n".join(["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(map(cell, r)) + " |" for r in body)]) + "\n"
 
