@@ -30,9 +30,9 @@ class Catalogue:
 
 
 def _all() -> list[Catalogue]:
-    from recordlens.plans import evaluation, records, registry, relations, text
+    from recordlens.plans import evaluation, policies, records, registry, relations, text
 
-    return [text.QUERIES, relations.QUERIES, evaluation.QUERIES, records.QUERIES, registry.QUERIES]
+    return [text.QUERIES, relations.QUERIES, evaluation.QUERIES, records.QUERIES, registry.QUERIES, policies.QUERIES]
 
 
 def queries() -> dict[str, Query]:

@@ -48,39 +48,6 @@ def brier(t):
     return _scored(t).groupBy("lang").agg(metrics.brier(F.col("confidence"), F.col("correct")).alias("brier"))
 
 
-_CARD = {
-    "overall_accuracy": ("correct", "true"),
-    "long_accuracy": ("correct", "predicted"),
-    "toxic_missed": ("NOT predicted", "toxic = 1"),
-    "quality_precision": ("quality = 1", "predicted"),
-    "quality_recall": ("predicted", "quality = 1"),
-    "english_accuracy": ("correct", "lang = 'en'"),
-    "french_accuracy": ("correct", "lang = 'fr'"),
-    "absent_accuracy": ("correct", "lang = 'xx'"),
-}
-
-
-@QUERIES.add(
-    "metric_card",
-    f"WITH {_SCORED} SELECT {', '.join(f'{_rate_sql(*v)} AS {k}' for k, v in _CARD.items())}, round_even(avg(pow(confidence - correct::INT, 2)), 6) AS brier FROM s",
-)
-def metric_card(t):
-    rates = [metrics.rate(F.expr(hit), F.expr(among)).alias(k) for k, (hit, among) in _CARD.items()]
-    return _scored(t).agg(*rates, metrics.brier(F.col("confidence"), F.col("correct")).alias("brier"))
-
-
-@QUERIES.add(
-    "gate",
-    f"""WITH {_SCORED}, m AS (SELECT {_rate_sql('correct')} AS a, {_rate_sql('quality = 1', 'predicted')} AS p, {_rate_sql('correct', "lang = 'xx'")} AS x FROM s)
-SELECT coalesce(a >= 0.5, false) AS accuracy_ok, coalesce(p >= 0.5, false) AS precision_ok, coalesce(x >= 0.5, false) AS absent_ok,
-coalesce(a >= 0.5, false) AND coalesce(p >= 0.5, false) AND coalesce(x >= 0.5, false) AS passed FROM m""",
-)
-def gate(t):
-    card = metric_card(t)
-    checks = {"accuracy_ok": F.col("overall_accuracy") >= 0.5, "precision_ok": F.col("quality_precision") >= 0.5, "absent_ok": F.col("absent_accuracy") >= 0.5}
-    return card.select(*metrics.gate(checks))
-
-
 @QUERIES.add(
     "baseline_uplift",
     """WITH g AS (SELECT user_id % 10 AS bucket, event_type, round_even(sum(value::DECIMAL(18, 2))::DOUBLE / count(*), 4) AS mean_value FROM events GROUP BY 1, 2)
@@ -130,17 +97,6 @@ def effect_class(t):
     return _paired(t).select("o_orderpriority", metrics.effect_class(F.array("mean_price_delta", "dear_share_delta")).alias("effect"))
 
 
-@QUERIES.add(
-    "calibration",
-    """SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT user_id) >= 2 AS enough,
-round_even(sum(value::DECIMAL(18, 2))::DOUBLE / count(*), 4) AS mean_value FROM events GROUP BY 1""",
-)
-def calibration(t):
-    users = F.count_distinct("user_id")
-    mean = F.bround(F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1)), 4)
-    return t("events").groupBy("event_type").agg(users.alias("users"), (users >= 2).alias("enough"), mean.alias("mean_value"))
-
-
 @QUERIES.add(
     "group_sets",
     "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (lang, source), ())",
@@ -150,15 +106,6 @@ def group_sets(t):
     return docs.groupingSets([["lang"], ["lang", "source"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@QUERIES.add(
-    "identity_agreement",
-    "SELECT lang, count(DISTINCT source) AS identities, count(DISTINCT source) = 1 AS agree FROM documents GROUP BY lang",
-)
-def identity_agreement(t):
-    n = F.count_distinct(F.struct("source"))
-    return t("documents").groupBy("lang").agg(n.alias("identities"), (n == 1).alias("agree"))
-
-
 def _signals(t):
     """Signals of a case for every order, made of its columns."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
