@@ -96,7 +96,8 @@ def is_digest(text: Column) -> Column:
 def zoned_timestamp(text: Column) -> Column:
     """The instant of an ISO 8601 text with a zone; null without one, as for any other text."""
     zoned = text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)$")
-    return F.when(zoned, F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00")))
+    whole = F.regexp_replace(F.regexp_replace(text, "Z$", "+00:00"), r"^(\S{10}[T ]\d\d:\d\d)([+-])", "$1:00$2")
+    return F.when(zoned, F.try_to_timestamp(whole))
 
 
 def safe_path(path: Column) -> Column:

@@ -12,11 +12,6 @@ from recordlens.sources.files import tag_guards
 QUERIES = Catalogue()
 
 
-@QUERIES.add("pointer_get", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
-def pointer_get(t):
-    return t("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
-
-
 _SCHEMA = {
     "required": ["event_id", "event_type", "value"],
     "properties": {

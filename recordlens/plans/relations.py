@@ -163,14 +163,6 @@ def release_match(t):
     return relations.progressive_match(t("orders").select("o_orderkey"), lines, "o_orderkey", conditions)
 
 
-@QUERIES.add(
-    "exactly_one_edge", "SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1 HAVING count(s_suppkey) <> 1"
-)
-def exactly_one_edge(t):
-    joined = t("nation").join(t("supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return joined.groupBy("n_nationkey").agg(F.count("s_suppkey").alias("n")).where("n <> 1")
-
-
 @QUERIES.add(
     "status_counts",
     """SELECT v.event_type, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(['click', 'view', 'purchase', 'refund', 'signup', 'error', 'logout']) AS event_type) v
@@ -262,14 +254,3 @@ def bundle_hash(t):
         sha256(F.concat_ws(":", "n_name", F.col("n_nationkey").cast("string"))).alias("sha256"), F.char_length("n_name").alias("bytes"),
     )
     return bundle.bundle_digest(entries, ["grp"])
-
-
-@QUERIES.add(
-    "priority_order",
-    """WITH p AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 0 WHEN lang IN ('de', 'fr') THEN 1 ELSE 2 END AS priority, source FROM documents)
-SELECT doc_id, priority, row_number() OVER (ORDER BY priority, source, doc_id) - 1 AS vector_index FROM p""",
-)
-def priority_order(t):
-    rank = F.when(F.col("lang") == "en", 0).when(F.col("lang").isin("de", "fr"), 1).otherwise(2)
-    rows = t("documents").select("doc_id", rank.alias("priority"), "source")
-    return relations.indexed(rows, ["priority", "source", "doc_id"]).select("doc_id", "priority", "vector_index")
