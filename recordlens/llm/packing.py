@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ END_ID = 0
 #: Rows whose ranks are counted together.
 BLOCK_ROWS = 1 << 20
 #: Words that a worker remembers the ids of; all are forgotten when there are more.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class _Odd(Exception):
@@ -82,6 +83,12 @@ class Tokens:
             return self.slow(text)
 
 
+@lru_cache(maxsize=1)
+def _tokens(path: str, ranks_path: str | None) -> Tokens:
+    """One per worker process: tasks that follow each other in it share the vocabulary and the memory."""
+    return Tokens(path, ranks_path)
+
+
 class _Words(dict):
     def __init__(self, tokens: Tokens, before: str, limit: int):
         self.tokens, self.before, self.limit = tokens, before, limit
@@ -105,7 +112,7 @@ def pieces(docs: DataFrame, path: str, ranks_path: str | None = None, capacity:
     """
 
     def run(batches):
-        tokens = Tokens(path, ranks_path)
+        tokens = _tokens(path, ranks_path)
         end, width = array("I", [END_ID]).tobytes(), 4 * capacity
         pid, row = TaskContext.get().partitionId(), 0
         for b in batches:
