@@ -30,9 +30,9 @@ class Catalogue:
 
 
 def _all() -> list[Catalogue]:
-    from recordlens.plans import bundles, evaluation, policies, records, registry, relations, text
+    from recordlens.plans import bundles, evaluation, policies, records, registry, relations, storage, text
 
-    return [text.QUERIES, relations.QUERIES, evaluation.QUERIES, records.QUERIES, registry.QUERIES, policies.QUERIES, bundles.QUERIES]
+    return [text.QUERIES, relations.QUERIES, evaluation.QUERIES, records.QUERIES, registry.QUERIES, policies.QUERIES, bundles.QUERIES, storage.QUERIES]
 
 
 def queries() -> dict[str, Query]:
