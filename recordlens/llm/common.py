@@ -30,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Folders that ``cut`` wrote and that may still be there, in the order they were made.
+_MADE: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -38,18 +42,34 @@ def cut(df: DataFrame) -> DataFrame:
     """
     at = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _MADE.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def made_so_far() -> int:
+    """How many tables were cut; for ``drop_cuts``."""
+    return len(_MADE)
+
+
+def drop_cuts(spark: SparkSession, since: int, last: int = 1) -> None:
+    """Delete the tables cut ``since`` then, but for the ``last`` ones: what was made on the way to those."""
+    gone = _MADE[since : len(_MADE) - last]
+    for at in gone:
+        _delete(spark, at)
+    del _MADE[since : len(_MADE) - last]
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table that ``cut`` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
+    root = shared_dir(df.sparkSession)
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/cut-" in parent and parent.split(":")[-1].lstrip("/").startswith(root.split(":")[-1].lstrip("/")):
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, parent)
 
 
 def hash_bound(share: float) -> int | None:

@@ -95,3 +95,36 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
 
     schema = "doc_id long, " + "".join(f"{n} long, " for n in names) + "base_sha256 string, spans string"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def _found_sql(nth: int, kind: str, pattern: str, measured: str) -> str:
+    """SQL for a kind's matches with their places: the pieces between the matches and the matches make the text."""
+    return f"""SELECT r, {nth} AS k, '{kind}' AS kind, i, ms[i] AS m, {measured} AS long_enough,
+    (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+    FROM (SELECT r, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, regexp_extract_all(s, '{pattern}') AS ms, string_split_regex(s, '{pattern}') AS ps FROM d))"""
+
+
+_ANY_CASE = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
+#: The same in SQL; the kinds are written out as they are defined.
+ORACLE_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS s FROM documents), f AS ("
+    + " UNION ALL ".join(
+        _found_sql(n, *kind)
+        for n, kind in enumerate([
+            ("assign", _ANY_CASE, f"length(regexp_extract(ms[i], '{_ANY_CASE}', 2)) >= 8"),
+            ("access", "AKIA[A-Z0-9]+", "length(ms[i]) >= 16"),
+            ("hex", "[0-9a-f]+", "length(ms[i]) >= 32"),
+            ("github", "gh[pousr]_[A-Za-z0-9]+", "length(ms[i]) >= 40"),
+            ("slack", "xox[abprs]-[A-Za-z0-9-]+", "length(ms[i]) >= 15"),
+            ("google", "AIza[A-Za-z0-9_-]+", "length(ms[i]) >= 39"),
+            ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "length(ms[i]) >= 36"),
+            ("pem", "-----BEGIN ([A-Z]+ )?([A-Z]+ )?([A-Z]+ )?PRIVATE KEY-----", "true"),
+        ])
+    )
+    + """), o AS (SELECT *, kind || ':' || s || ':' || (s + length(m)) AS span FROM f WHERE long_enough),
+g AS (
+  SELECT r, count_if(k = 0) AS a, count_if(k = 1) AS b, count_if(k = 2) AS c, string_agg(span, ',' ORDER BY s, k) AS spans, string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS base FROM o GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.r = g.r"""
+)

@@ -123,6 +123,13 @@ def test_sharding_matches_its_sql(spark):
     compare(sharding.shard(spark.createDataFrame(rows, SCHEMA)), sharding.ORACLE_SQL, rows)
 
 
+def test_sharding_of_long_texts_and_clashing_names(spark):
+    rows = [(i, "é" * 400_000, 7, "x", -1) for i in range(3)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, shard int, slot string, size long")).collect()
+    assert {r["size"] for r in got} == {800_008} and {r["text_crc32"] for r in got} == {zlib.crc32(("é" * 400_000).encode())}
+    assert {r["shard"] for r in got} == {jump(i, 24) for i in range(3)}
+
+
 def labelled_documents(n=400):
     rng = random.Random(7)
     vocab = {"good": "alpha beta gamma delta".split(), "plain": "one two three four".split(), "toxic": "bad worse worst vile".split()}
