@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.llm.common import cut
+from recordlens.llm.common import cut, drop_cuts, made_so_far
 from recordlens.llm.quality import rewritten
 
 LEADING = 3
@@ -210,6 +210,7 @@ def _templates(lines: DataFrame, counts: DataFrame, similarity: float, leading:
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8, leading: int = LEADING, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """The lines to drop: doc_id, key (hash of the text) and place (from 0) of each."""
+    since = made_so_far()
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     lines = cut(texts.mapInArrow(_read_lines(leading, similarity), _LINES_SCHEMA))
     counts = cut(lines.groupBy("leaf", "lh").agg(F.count_if("new").alias("n")))
@@ -224,6 +225,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8,
     # Written, so that both sides of the join below come straight from a shuffle and a template with a
     # large part of all lines can be split between tasks.
     often = cut(often.where(F.col("n_docs") >= min_docs))
+    drop_cuts(docs.sparkSession, since, last=2)
     return (
         met.join(often, ["leaf", "template"])
         .where(~F.col("doc").eqNullSafe(F.col("stays")))
