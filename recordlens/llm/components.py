@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordlens.llm.common import cut, drop_cut
 
 
-def _mark(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(row)
+def _written(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """``e`` cut, and what tells whether it has changed, gathered while it is written."""
+    seen = Observation()
+    figures = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("a"), F.bit_xor(F.xxhash64("v", "u")).alias("b"))
+    out = cut(e.observe(seen, *figures))
+    got = seen.get
+    return out, (got["n"], got["a"], got["b"])
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -34,13 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
     no longer change; each round's edges are cut to the shared folder and the round before is deleted.
     No edges give an empty table. Rows are joined by node, so a large hub is split by the skew join.
     """
-    now = cut(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
-    mark = _mark(now)
+    now, mark = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while mark[0]:
-        then = cut(_small_star(_large_star(now)))
-        new = _mark(then)
+        then, new = _written(_small_star(_large_star(now)))
         drop_cut(now)
         now = then
         if new == mark:

@@ -33,8 +33,9 @@ SMOOTHING, DEVIATIONS = 20.0, 3.5
 #: Posteriors are multiples of 1 / GRID; sums of them are exact.
 GRID = 1024
 #: Targets are met within this part of the total. They count as out of reach when so many steps together
-#: take less than a tenth off the distance to them. Lengths of a step that are tried: 1 down to 2**-HALVINGS.
-CLOSE, PATIENCE, HALVINGS = 1e-7, 10, 10
+#: take less than a tenth off the distance to them. LENGTHS of a step are tried.
+CLOSE, PATIENCE = 1e-7, 10
+LENGTHS = [2.0**-h for h in (0, 1, 2, 3, 4, 6, 8, 10, 12)]
 #: A feature of every row: it counts how often a row is repeated.
 ROW = -1
 
@@ -112,16 +113,16 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] if a[i][i] else 0.0 for i in range(n)]
 
 
-def _moved(rate: Column, move: list[float] | Column, k: int) -> Column:
-    """A rate after one step, projected to 0 or more."""
-    return F.greatest(F.lit(0.0), rate - sum((F.col("p")[i] * move[i] for i in range(k)), F.lit(0.0)))
+def _numbers(values: list[float]) -> str:
+    return "array(" + ", ".join(f"{x!r}D" for x in values) + ")"
 
 
 def _rate(moves: list[list[float]], k: int) -> Column:
-    """The rate that starts at 1 and takes the steps so far."""
+    """The rate that starts at 1 and takes the steps so far, each projected to 0 or more."""
     if not moves:
         return F.lit(1.0)
-    return F.aggregate(F.array(*(F.array(*map(F.lit, m)) for m in moves)), F.lit(1.0), lambda r, m: _moved(r, m, k))
+    off = " + ".join(f"p[{i}] * m[{i}]" for i in range(k))
+    return F.expr(f"aggregate(array({', '.join(map(_numbers, moves))}), 1D, (r, m) -> greatest(0D, r - ({off})))")
 
 
 def fit(rows: DataFrame, weights: list[float], total: float | None = None) -> tuple[Column, dict]:
@@ -136,40 +137,45 @@ def fit(rows: DataFrame, weights: list[float], total: float | None = None) -> tu
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     cells = cut(rows.groupBy("p").agg(F.sum("tokens").alias("tokens")))
 
-    def masses(rate: Column) -> list[Column]:
-        return [F.sum(F.col("tokens") * rate * F.col("p")[i]) for i in range(k)]
-
-    def numbers(found) -> list[float]:
-        return [float(x or 0.0) for x in found.first()]
-
-    now = have = numbers(cells.agg(*masses(F.lit(1.0))))
+    def state(moves: list[list[float]], step: list[float], lengths: list[float]) -> list[tuple[list[float], list[list[float]]]]:
+        """After each length of a step: the domains' tokens, and the moments of the rows whose rate is over 0.
+
+        The numbers of a step stand in arrays, so the plan's code is the same for every step and compiled once.
+        """
+        along = f"aggregate(zip_with(p, {_numbers(step)}, (x, y) -> x * y), 0D, (a, x) -> a + x)"
+        tried = f"posexplode(transform({_numbers(lengths)}, h -> greatest(0D, r - h * {along}))) AS (h, r)"
+        at = cells.withColumn("r", _rate(moves, k)).selectExpr("tokens", "p", tried)
+        sums = [f"sum(tokens * r * p[{i}]) AS m{i}" for i in range(k)] + [f"sum(CASE WHEN r > 0 THEN tokens * p[{i}] * p[{j}] END) AS q{i}_{j}" for i, j in pairs]
+        got = {row["h"]: row for row in at.groupBy("h").agg(*map(F.expr, sums)).collect()}
+        out = []
+        for h in range(len(lengths)):
+            own = [float((got[h][c] if h in got else None) or 0.0) for c in (*(f"m{i}" for i in range(k)), *(f"q{i}_{j}" for i, j in pairs))]
+            matrix = [[0.0] * k for _ in range(k)]
+            for (i, j), x in zip(pairs, own[k:], strict=True):
+                matrix[i][j] = matrix[j][i] = x
+            out.append((own[:k], matrix))
+        return out
+
+    ((now, matrix),) = state([], [0.0] * k, [0.0])
+    have = now
     if total is None:
         largest = max(range(k), key=lambda i: share[i])
         total = have[largest] / share[largest]
     targets = [s * total for s in share]
-    distance = lambda at: math.dist(at, targets)
     moves: list[list[float]] = []
-    history = [distance(now)]
+    history = [math.dist(now, targets)]
     while history[-1] > CLOSE * max(total, 1.0):
         if len(history) > PATIENCE and history[-1] > 0.9 * history[-1 - PATIENCE]:
             break
-        at = cells.withColumn("r", _rate(moves, k))
         # Rows at 0 do not answer a step, so it is scaled by the others.
-        free = F.when(F.col("r") > 0, F.col("tokens"))
-        moments = numbers(at.agg(*(F.sum(free * F.col("p")[i] * F.col("p")[j]) for i, j in pairs)))
-        matrix = [[0.0] * k for _ in range(k)]
-        for (i, j), x in zip(pairs, moments, strict=True):
-            matrix[i][j] = matrix[j][i] = x
         step = _solve(matrix, [n - t for n, t in zip(now, targets, strict=True)])
-        tried = [[x * 2.0**-h for x in step] for h in range(HALVINGS + 1)]
-        met = numbers(at.agg(*(m for move in tried for m in masses(_moved(F.col("r"), move, k)))))
-        best = min(range(len(tried)), key=lambda h: distance(met[h * k : h * k + k]))
-        then = met[best * k : best * k + k]
-        if distance(then) >= history[-1]:
+        tried = state(moves, step, LENGTHS)
+        best = min(range(len(tried)), key=lambda h: math.dist(tried[h][0], targets))
+        if math.dist(tried[best][0], targets) >= history[-1]:
             break
-        moves.append(tried[best])
-        now = then
-        history.append(distance(now))
+        moves.append([x * LENGTHS[best] for x in step])
+        now, matrix = tried[best]
+        history.append(math.dist(now, targets))
     figures = {"have": have, "targets": targets, "reached": now, "steps": len(moves), "met": history[-1] <= CLOSE * max(total, 1.0)}
     return _rate(moves, k), figures
 

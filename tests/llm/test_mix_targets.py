@@ -97,7 +97,7 @@ def test_posteriors_and_rates_match_plain_python(spark):
     while np.linalg.norm(p.T @ (tokens * r) - target) > mixing.CLOSE * target.sum():
         free = r > 0
         step = np.linalg.solve((p[free] * tokens[free, None]).T @ p[free], p.T @ (tokens * r) - target)
-        r = min((np.maximum(0, r - (p @ step) * 2.0**-h) for h in range(mixing.HALVINGS + 1)), key=lambda x: np.linalg.norm(p.T @ (tokens * x) - target))
+        r = min((np.maximum(0, r - (p @ step) * h) for h in mixing.LENGTHS), key=lambda x: np.linalg.norm(p.T @ (tokens * x) - target))
     assert np.allclose(r, [got[i]["rate"] for i in sorted(got)], atol=1e-6)
 
 
