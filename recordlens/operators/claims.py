@@ -181,3 +181,17 @@ def report_findings(reports: DataFrame, conditions: list[str]) -> DataFrame:
 def first_reports(reports: DataFrame, identity: list[str], condition: str, order: str) -> DataFrame:
     """``reports`` with is_later: a second one of the same identity and condition."""
     return reports.withColumn("is_later", F.row_number().over(Window.partitionBy(*identity, condition).orderBy(order)) > 1)
+
+
+def render_prompts(runs: DataFrame, claims: DataFrame, head: list[str], treatment: list[str], key: str = "run_id") -> DataFrame:
+    """(key, prompt): what a consumer is asked in each run (key, variant, context, report) about the frozen claims (id, text, ordinal).
+
+    The head's lines come first, the treatment's only in the variant ``guarded``; then the context, the report and the claims,
+    each marked. The claims of one evaluation are few and go to every run.
+    """
+    lines = F.array_sort(F.collect_list(F.struct("ordinal", F.concat(F.lit("- "), "id", F.lit(": "), "text").alias("line"))))
+    listed = claims.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("__claims"))
+    rules = F.when(F.col("variant") == "guarded", F.lit("".join(f"{x}\n" for x in treatment))).otherwise("")
+    block = lambda name, c: F.concat(F.lit(f"BEGIN {name}\n"), F.coalesce(c, F.lit("")), F.lit(f"\nEND {name}\n"))
+    text = F.concat(F.lit("".join(f"{x}\n" for x in head)), rules, F.lit("\n"), block("CONTEXT", F.col("context")), F.lit("\n"), block("REPORT", F.col("report")), F.lit("\n"), block("CLAIMS", F.col("__claims")))
+    return runs.join(F.broadcast(listed)).select(key, text.alias("prompt"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,32 +28,40 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(id): the seeds and all that edges (src, dst) lead to from them.
+#: Frontiers that are read one by one before they are written as one table.
+FRONTIERS = 16
+
+
+def _closure(start: DataFrame, edges: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """``start`` (keys, of which ``id`` is the last) and all that edges lead to, apart for the other keys.
 
     A frontier is joined to the edges, what is known is taken off, and the rest is the next frontier.
-    Cycles end by themselves. Each frontier is written, so a lost executor costs no round.
+    Cycles end by themselves. Edges and frontiers are written once, so a lost executor costs no round and
+    nothing that is known is written again, but for one table of every FRONTIERS.
     """
-    known = frontier = written(seeds.select("id").where("id is not null").distinct())
+    links = written(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    known = [written(start.where("id is not null").distinct())]
+    frontier = known[0]
+    others = [k for k in keys if k != "id"]
     for _ in range(rounds):
-        reached = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).where("id is not null").distinct()
-        frontier = written(reached.join(known, "id", "left_anti"))
+        reached = frontier.join(links, F.col("id") == F.col("src")).select(*others, F.col("dst").alias("id")).distinct()
+        frontier = written(reached.join(reduce(DataFrame.unionByName, known), keys, "left_anti"))
         if frontier.isEmpty():
-            return known
-        known = written(known.unionByName(frontier))
+            return reduce(DataFrame.unionByName, known)
+        known.append(frontier)
+        if len(known) > FRONTIERS:
+            known = [written(reduce(DataFrame.unionByName, known))]
     raise RuntimeError(f"no end of the closure after {rounds} rounds")
 
 
+def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(id): the seeds and all that edges (src, dst) lead to from them."""
+    return _closure(seeds.select("id"), edges, ["id"], rounds)
+
+
 def closure_by_seed(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(seed, id): the same for every seed apart."""
-    known = frontier = written(seeds.select(F.col("id").alias("seed"), "id").distinct())
-    for _ in range(rounds):
-        reached = frontier.join(edges, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).where("id is not null").distinct()
-        frontier = written(reached.join(known, ["seed", "id"], "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = written(known.unionByName(frontier))
-    raise RuntimeError(f"no end of the closure after {rounds} rounds")
+    """(seed, id): the same for every seed apart; as large as all closures together."""
+    return _closure(seeds.select(F.col("id").alias("seed"), "id"), edges, ["seed", "id"], rounds)
 
 
 def reference_edges(items: DataFrame) -> DataFrame:

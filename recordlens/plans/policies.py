@@ -229,6 +229,19 @@ def evidence_violations(t):
     return claims.constrained_evidence(rows, *_ends(t))[1]
 
 
+@QUERIES.add(
+    "prompts",
+    """WITH c AS (SELECT string_agg('- r' || r_regionkey || ': ' || r_name, chr(10) ORDER BY r_regionkey) AS list FROM region)
+SELECT n_nationkey AS run_id, 'Classify.' || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'Evidence is local.' || chr(10) ELSE '' END || chr(10) || 'BEGIN CONTEXT' || chr(10) || CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name END || chr(10) || 'END CONTEXT' || chr(10) || chr(10)
+  || 'BEGIN REPORT' || chr(10) || 'about ' || n_name || chr(10) || 'END REPORT' || chr(10) || chr(10) || 'BEGIN CLAIMS' || chr(10) || list || chr(10) || 'END CLAIMS' || chr(10) AS prompt FROM nation, c""",
+)
+def prompts(t):
+    k = F.col("n_nationkey")
+    runs = t("nation").select(k.alias("run_id"), F.when(k % 2 == 0, "guarded").otherwise("ablated").alias("variant"), F.when(k % 5 != 0, F.col("n_name")).alias("context"), _text("about ", F.col("n_name")).alias("report"))
+    frozen = t("region").select(_text("r", F.col("r_regionkey")).alias("id"), F.col("r_name").alias("text"), F.col("r_regionkey").alias("ordinal"))
+    return claims.render_prompts(runs, frozen, ["Classify."], ["Evidence is local."])
+
+
 @QUERIES.add(
     "evaluation_artifacts",
     """WITH p AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'eval:x' WHEN 1 THEN 'file:Reports/' || page_id || '.md' WHEN 2 THEN 'file:dist/run/' || page_id WHEN 3 THEN 'file:a/Mixed-Run-' || page_id || '.json'

@@ -1,0 +1,90 @@
+"""The tree and the generator against a repository and a server that are made here."""
+
+import json
+import subprocess
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
+
+from recordlens.sources import services
+
+
+@pytest.fixture
+def tree(tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x.org", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a").write_text("a")
+    git("add", "-A")
+    git("commit", "-qm", "first")
+    git("tag", "v1.0.0")
+    return tmp_path
+
+
+def test_a_tree_is_read_and_refused(spark, tree):
+    root, commit = str(tree), services.head_commit(str(tree))
+    assert len(commit) == 40 and services.tag_commit(root, "v1.0.0") == commit and services.tag_commit(root, "v2") is None
+    services.require_revision(spark, root, commit, ["docs"], [])
+    services.require_tag(root, "1.0.0", "stable", commit)
+    services.require_tag(root, "3.0.0", "stable", "x")
+    services.require_tag(root, "1.0.0", "beta", "x")
+    with pytest.raises(services.ServiceFailed, match="tag"):
+        services.require_tag(root, "1.0.0", "stable", "b" * 40)
+    with pytest.raises(services.ServiceFailed, match="another commit"):
+        services.require_revision(spark, root, "b" * 40, [], [])
+    (tree / "build").mkdir()
+    (tree / "build" / "x.pyc").write_text("x")
+    (tree / "notes").write_text("x")
+    services.require_revision(spark, root, commit, ["docs"], [])
+    assert [r[0] for r in services.status_lines(spark, root).collect()] == ["?? notes"]
+    with pytest.raises(services.ServiceFailed, match="not tracked"):
+        services.require_revision(spark, root, commit, ["docs"], ["notes"])
+    (tree / "docs" / "a").write_text("b")
+    with pytest.raises(services.ServiceFailed, match="changes"):
+        services.require_revision(spark, root, commit, ["docs"], [])
+    with pytest.raises(services.ServiceFailed):
+        services.head_commit("/nowhere")
+
+
+class Handler(BaseHTTPRequestHandler):
+    def reply(self, value):
+        data = json.dumps(value).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def do_GET(self):  # noqa: N802
+        self.reply({"models": [{"name": "small:latest", "digest": "d1"}, {"name": "big:1", "model": "big:1", "digest": "d2"}, {"name": "bare"}]})
+
+    def do_POST(self):  # noqa: N802
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        prompt = body["prompt"]
+        self.reply({"response": "no json" if "odd" in prompt else json.dumps({"b": prompt, "a": body["options"]["seed"]}), "prompt_eval_count": 3, "eval_count": 4})
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def server():
+    httpd = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{httpd.server_port}"
+    httpd.shutdown()
+
+
+def test_a_generator_answers_prompts(spark, server):
+    generator = services.Generator(server, "Small", {"seed": 7}, timeout=10)
+    assert generator.identity() == ("small:latest", "d1") and services.Generator(server, "BIG:1").identity() == ("big:1", "d2")
+    for name in ("none", "bare", "big"):
+        with pytest.raises(services.ServiceFailed):
+            services.Generator(server, name).identity()
+    got = {r["k"]: r for r in services.generate(spark.createDataFrame([(1, "hello"), (2, "odd")], "k int, p string"), "k", "p", generator).collect()}
+    assert got[1]["payload"] == '{"a":7,"b":"hello"}' and (got[1]["input_tokens"], got[1]["output_tokens"], got[1]["error"]) == (3, 4, None) and len(got[1]["raw_sha256"]) == 64
+    assert got[2]["payload"] is None and got[2]["error"]
+    gone = services.Generator("http://127.0.0.1:9", "x", timeout=2)
+    assert gone.answer("x")["error"]
+    with pytest.raises(services.ServiceFailed):
+        gone.identity()
