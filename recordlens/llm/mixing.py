@@ -2,14 +2,16 @@
 
 A naive Bayes classifier over hashed words and word shapes is trained on the labelled table and gives
 each document a posterior over the domains. Only features that a domain has significantly more or less
-often than the labelled documents as a whole take part, so rare words add no noise. Posteriors are given
-in steps of 1 / GRID. Rates r >= 0 for all documents are then fitted by projected gradient steps on
+often than the labelled documents as a whole take part, if domains differ in it by EFFECT at least, so rare and weak words add no noise; and
+the evidence of n of them, above EVIDENCE, grows as the root of n, since words that come together say the same
+several times. Posteriors are given in steps of 1 / GRID. Rates r >= 0 for all documents are then fitted by projected gradient steps on
 the squared distance of the expected token totals of the domains, sum of r * tokens * posterior, from
 the targets. The steps are scaled by the tokens and by the inverse of the domains' moment matrix (of rows above 0), so a
 rate moves by its posterior times one number per domain: only these few numbers pass between the tasks
 and the driver, and a document's rate is their fold over its posterior. Documents of one posterior move alike,
 so the steps run over the tokens of each posterior that occurs. Every step is searched for its best length;
-the fit ends when the targets are met, or when it hardly comes nearer: then they are out of reach, which is told.
+the fit ends when the targets are met. When it hardly comes nearer they are out of reach, which is told; then only
+steps are taken that are worth the tokens they move, as the last bit of the distance would cost most documents.
 """
 
 from __future__ import annotations
@@ -30,11 +32,17 @@ MAX_LABELLED = 20_000
 #: Documents' worth of the overall frequency that each domain's is smoothed with, and the deviations
 #: from chance that a feature needs.
 SMOOTHING, DEVIATIONS = 20.0, 3.5
+#: What a feature needs besides: in one domain it is so much (a log ratio, six times) more frequent than in another.
+EFFECT = 1.8
+#: Features of a document that count in full; the evidence of more grows with the root of their number.
+EVIDENCE = 5
 #: Posteriors are multiples of 1 / GRID; sums of them are exact.
 GRID = 1024
 #: Targets are met within this part of the total. They count as out of reach when so many steps together
-#: take less than a tenth off the distance to them. LENGTHS of a step are tried.
-CLOSE, PATIENCE = 1e-7, 10
+#: take less than half off the distance to them. LENGTHS of a step are tried.
+CLOSE, PATIENCE = 1e-7, 5
+#: Towards targets out of reach, a step has to take this part of the tokens that it moves off the distance.
+WORTH = 0.2
 LENGTHS = [2.0**-h for h in (0, 1, 2, 3, 4, 6, 8, 10, 12)]
 #: A feature of every row: it counts how often a row is repeated.
 ROW = -1
@@ -68,7 +76,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], max_labelled
     for f in far[1:]:
         telling = telling | f
     logs = [F.log((F.col(f"n{i}") + SMOOTHING * F.col("overall")) / ((n + SMOOTHING) * F.col("overall"))) for i, n in enumerate(sizes)]
-    model = counts.where(telling).select("bucket", F.array(*logs).alias("w"))
+    model = counts.where(telling).select("bucket", F.array(*logs).alias("w")).where(F.array_max("w") - F.array_min("w") >= EFFECT)
     own = docs.sparkSession.createDataFrame([(ROW, [0.0] * k)], "bucket int, w array<double>")
     return model.unionByName(own), [math.log((n + 1) / (sum(sizes) + k)) for n in sizes]
 
@@ -84,10 +92,12 @@ def posteriors(docs: DataFrame, model: DataFrame, priors: list[float]) -> DataFr
     k = len(priors)
     words = rows.select("doc_id", "th", F.explode("b").alias("bucket")).join(F.broadcast(model), "bucket")
     sums = words.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(
-        F.count_if(F.col("bucket") == ROW).alias("times"), *(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k))
+        F.count_if(F.col("bucket") == ROW).alias("times"), F.count(F.lit(1)).alias("hits"), *(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k))
     )
     joined = rows.drop("b").join(sums, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")))
-    logits = [F.lit(priors[i]) + F.col(f"s{i}") / F.col("times") for i in range(k)]
+    telling = F.col("hits") / F.col("times") - 1
+    damped = F.when(telling > EVIDENCE, F.sqrt(EVIDENCE / telling)).otherwise(1.0)
+    logits = [F.lit(priors[i]) + F.col(f"s{i}") / F.col("times") * damped for i in range(k)]
     scored = joined.select("doc_id", "th", "tokens", F.array(*logits).alias("z"))
     exps = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
     scored = scored.withColumn("e", exps).withColumn("all", F.aggregate("e", F.lit(0.0), lambda a, y: a + y))
@@ -130,53 +140,65 @@ def fit(rows: DataFrame, weights: list[float], total: float | None = None) -> tu
 
     ``total``: expected tokens of the mixture; by default the domain of the largest weight is used once,
     and the others as often as their weights ask for beside it. Targets that rates of 0 or more cannot meet
-    are approached until PATIENCE steps bring hardly anything; ``met`` tells.
+    are approached by steps that are worth it; ``met`` tells.
     """
     k = len(weights)
     share = [w / sum(weights) for w in weights]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     cells = cut(rows.groupBy("p").agg(F.sum("tokens").alias("tokens")))
 
-    def state(moves: list[list[float]], step: list[float], lengths: list[float]) -> list[tuple[list[float], list[list[float]]]]:
-        """After each length of a step: the domains' tokens, and the moments of the rows whose rate is over 0.
+    def state(moves: list[list[float]], step: list[float], lengths: list[float]) -> list[tuple[list[float], list[list[float]], float]]:
+        """After each length of a step: the domains' tokens, the moments of the rows whose rate is over 0, and the tokens moved.
 
         The numbers of a step stand in arrays, so the plan's code is the same for every step and compiled once.
         """
         along = f"aggregate(zip_with(p, {_numbers(step)}, (x, y) -> x * y), 0D, (a, x) -> a + x)"
-        tried = f"posexplode(transform({_numbers(lengths)}, h -> greatest(0D, r - h * {along}))) AS (h, r)"
-        at = cells.withColumn("r", _rate(moves, k)).selectExpr("tokens", "p", tried)
-        sums = [f"sum(tokens * r * p[{i}]) AS m{i}" for i in range(k)] + [f"sum(CASE WHEN r > 0 THEN tokens * p[{i}] * p[{j}] END) AS q{i}_{j}" for i, j in pairs]
-        got = {row["h"]: row for row in at.groupBy("h").agg(*map(F.expr, sums)).collect()}
+        tried = f"posexplode(transform({_numbers(lengths)}, h -> greatest(0D, was - h * {along}))) AS (h, r)"
+        at = cells.withColumn("was", _rate(moves, k)).selectExpr("tokens", "p", "was", tried)
+        names = {f"m{i}": f"tokens * r * p[{i}]" for i in range(k)} | {f"q{i}_{j}": f"CASE WHEN r > 0 THEN tokens * p[{i}] * p[{j}] END" for i, j in pairs} | {"moved": "tokens * abs(r - was)"}
+        got = {row["h"]: row for row in at.groupBy("h").agg(*(F.expr(f"sum({x}) AS {n}") for n, x in names.items())).collect()}
         out = []
         for h in range(len(lengths)):
-            own = [float((got[h][c] if h in got else None) or 0.0) for c in (*(f"m{i}" for i in range(k)), *(f"q{i}_{j}" for i, j in pairs))]
+            own = [float((got[h][n] if h in got else None) or 0.0) for n in names]
             matrix = [[0.0] * k for _ in range(k)]
-            for (i, j), x in zip(pairs, own[k:], strict=True):
+            for (i, j), x in zip(pairs, own[k:], strict=False):
                 matrix[i][j] = matrix[j][i] = x
-            out.append((own[:k], matrix))
+            out.append((own[:k], matrix, own[-1]))
         return out
 
-    ((now, matrix),) = state([], [0.0] * k, [0.0])
-    have = now
+    ((have, whole, _),) = state([], [0.0] * k, [0.0])
     if total is None:
         largest = max(range(k), key=lambda i: share[i])
         total = have[largest] / share[largest]
     targets = [s * total for s in share]
-    moves: list[list[float]] = []
-    history = [math.dist(now, targets)]
-    while history[-1] > CLOSE * max(total, 1.0):
-        if len(history) > PATIENCE and history[-1] > 0.9 * history[-1 - PATIENCE]:
-            break
-        # Rows at 0 do not answer a step, so it is scaled by the others.
-        step = _solve(matrix, [n - t for n, t in zip(now, targets, strict=True)])
-        tried = state(moves, step, LENGTHS)
-        best = min(range(len(tried)), key=lambda h: math.dist(tried[h][0], targets))
-        if math.dist(tried[best][0], targets) >= history[-1]:
-            break
-        moves.append([x * LENGTHS[best] for x in step])
-        now, matrix = tried[best]
-        history.append(math.dist(now, targets))
-    figures = {"have": have, "targets": targets, "reached": now, "steps": len(moves), "met": history[-1] <= CLOSE * max(total, 1.0)}
+    close = CLOSE * max(total, 1.0)
+
+    def descend(worth: float) -> tuple[list[list[float]], list[float]]:
+        """The steps taken and the domains' tokens after them; a step takes ``worth`` of the tokens it moves off the distance."""
+        moves: list[list[float]] = []
+        now, matrix = have, whole
+        history = [math.dist(now, targets)]
+        while history[-1] > close:
+            if not worth and len(history) > PATIENCE and history[-1] > 0.5 * history[-1 - PATIENCE]:
+                break
+            # Rows at 0 do not answer a step, so it is scaled by the others.
+            step = _solve(matrix, [n - t for n, t in zip(now, targets, strict=True)])
+            tried = state(moves, step, LENGTHS)
+            gain = [history[-1] - math.dist(t[0], targets) for t in tried]
+            fine = [h for h, t in enumerate(tried) if gain[h] > 0 and gain[h] >= worth * t[2]]
+            if not fine:
+                break
+            best = max(fine, key=gain.__getitem__)
+            moves.append([x * LENGTHS[best] for x in step])
+            now, matrix, _ = tried[best]
+            history.append(math.dist(now, targets))
+        return moves, now
+
+    moves, now = descend(0.0)
+    if math.dist(now, targets) > close:
+        moves, now = descend(WORTH)
+    met = math.dist(now, targets) <= close
+    figures = {"have": have, "targets": targets, "reached": now, "steps": len(moves), "met": met}
     return _rate(moves, k), figures
 
 

@@ -62,10 +62,13 @@ def model_posteriors(docs, labelled, domains):
     for f, n in counts.items():
         overall = (sum(n) + 0.5) / (sum(sizes) + 1)
         if any(abs(c - s * overall) / math.sqrt(s * overall + 1) > mixing.DEVIATIONS for c, s in zip(n, sizes, strict=True)):
-            model[f] = [math.log((c + mixing.SMOOTHING * overall) / ((s + mixing.SMOOTHING) * overall)) for c, s in zip(n, sizes, strict=True)]
+            w = [math.log((c + mixing.SMOOTHING * overall) / ((s + mixing.SMOOTHING) * overall)) for c, s in zip(n, sizes, strict=True)]
+            if max(w) - min(w) >= mixing.EFFECT:
+                model[f] = w
     out = {}
     for i, _, found in docs:
-        z = [math.log((s + 1) / (sum(sizes) + len(domains))) + sum(model[f][k] for f in found if f in model) for k, s in enumerate(sizes)]
+        told = [model[f] for f in found if f in model]
+        z = [math.log((s + 1) / (sum(sizes) + len(domains))) + sum(w[k] for w in told) * math.sqrt(mixing.EVIDENCE / max(mixing.EVIDENCE, len(told))) for k, s in enumerate(sizes)]
         e = [math.exp(x - max(z)) for x in z]
         out[i] = [x / sum(e) for x in e]
     return out
@@ -79,7 +82,7 @@ def test_posteriors_and_rates_match_plain_python(spark):
     rng = random.Random(8)
     vocab = {"good": "alpha beta gamma common shared", "plain": "one two three common shared", "toxic": "bad worse vile common shared"}
     domains = list(vocab)
-    rows = [(i, d, " ".join(rng.choice(((vocab[d] + " ") * 3 + vocab[rng.choice(domains)]).split()) for _ in range(rng.randrange(3, 12)))) for i, d in enumerate(domains * 200)]
+    rows = [(i, d, " ".join(rng.choice(((vocab[d] + " ") * 9 + vocab[rng.choice(domains)]).split()) for _ in range(rng.randrange(3, 12)))) for i, d in enumerate(domains * 200)]
     docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
     labelled = [(i, d) for i, d, _ in rows if i % 5]
     features = [tuple(r) for r in docs.select("doc_id", "text", mixing._buckets(docs["text"])).collect()]
