@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlens.llm import centroids, linededup, mixing, packing, pii, quality, secrets, sharding, simhash, topk, weaklabels
+from recordlens.llm import centroids, concurrency, linededup, mixing, packing, pii, quality, secrets, sharding, simhash, topk, weaklabels
 from recordlens.llm.common import table
 
 
@@ -68,6 +68,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(table(spark, sf_dir, "embeddings"))
 
 
+def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open sales of each nation from each moment that changes them. Sales that are never open take no part."""
+    return concurrency.concurrency(*(table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clients")))
+
+
 def op13_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster of all vectors that take part, without the number of centroids each was compared with."""
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("compared")
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_pii": op9_pii,
         "op10_exact_topk": op10_exact_topk,
+        "op12_peak_concurrency": op12_peak_concurrency,
         "op13_annulus_clusters": op13_annulus_clusters,
     }
 
@@ -95,5 +101,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_jump_shards": sharding.ORACLE_SQL,
         "op8_secrets": secrets.ORACLE_SQL,
         "op10_exact_topk": topk.ORACLE_SQL,
+        "op12_peak_concurrency": concurrency.ORACLE_SQL,
         "op13_annulus_clusters": centroids.ORACLE_SQL,
     }
