@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlens.llm import centroids, concurrency, linededup, mixing, packing, pii, quality, secrets, sharding, simhash, topk, weaklabels
+from recordlens.llm import centroids, concurrency, hmm, linededup, mixing, packing, pii, quality, secrets, sharding, simhash, topk, weaklabels
 from recordlens.llm.common import table
 
 
@@ -68,6 +68,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under unigrams and under the model. A null text is empty and has its end alone."""
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open sales of each nation from each moment that changes them. Sales that are never open take no part."""
     return concurrency.concurrency(*(table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clients")))
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_pii": op9_pii,
         "op10_exact_topk": op10_exact_topk,
+        "op11_hidden_markov": op11_hidden_markov,
         "op12_peak_concurrency": op12_peak_concurrency,
         "op13_annulus_clusters": op13_annulus_clusters,
     }
