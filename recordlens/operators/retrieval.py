@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,9 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlens.functions.hashing import DIMENSION, Buckets, embedding
-from recordlens.functions.text import LOOKUP_TOKENS
-
-_LOOKUP = re.compile(LOOKUP_TOKENS)
 
 #: Token budgets that retrieved contexts are compared with.
 BUDGETS = {"MICRO": 8192, "STANDARD": 24576, "FULL": 131072}
@@ -147,49 +143,6 @@ def ranked(scored: DataFrame, by: str, key: str, k: int, score: Column | None =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def lexical_topk(queries: DataFrame, records: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, record_id, score): twice the shared tokens, and one if the record holds the query's phrase.
-
-    ``queries``: (query_id, query); ``records``: (record_id, body). Every record is scored, with zero where nothing
-    is shared; ties go to the smaller record_id. Queries go to the tasks in bounded blocks, with a list of the queries
-    of each token, so a token that is everywhere moves nothing. A phrase can only be where all its inner
-    tokens are, so bodies are searched for such queries only, or for those without inner tokens.
-    """
-    if k <= 0:
-        raise ValueError("k must be positive")
-
-    def score(asked):
-        phrases, inner, of = [], [], {}
-        for j, (_, query) in enumerate(asked):
-            low = (query or "").lower()
-            phrases.append(low)
-            tokens = _LOOKUP.findall(low)
-            inner.append(len({t for t in tokens[1:-1] if len(t) > 2}))
-            for t in {t for t in tokens if len(t) > 2}:
-                of.setdefault(t, []).append(j)
-        of = {t: np.array(j) for t, j in of.items()}
-        known, inner = of.keys(), np.array(inner)
-
-        def run(batch):
-            out = np.zeros((batch.num_rows, len(asked)))
-            for i, body in enumerate(batch.column(1)):
-                low = (body.as_py() or "").lower()
-                shared = out[i]
-                for t in known & set(_LOOKUP.findall(low)):
-                    shared[of[t]] += 1
-                held = [j for j in np.flatnonzero(shared >= inner) if phrases[j] in low]
-                shared *= 2
-                shared[held] += 1
-            return out
-
-        return run
-
-    ids = queries.schema["query_id"].dataType.simpleString()
-    blocks = _blocks(queries.select("query_id", "query"), lambda r: len(r["query"] or ""))
-    found = _ranked_blocks(([(r[0], r[1]) for r in b] for b in blocks), records.select("record_id", "body"), "record_id", ids, score, k)
-    return found.select("query_id", "rank", "record_id", F.col("score").cast("long").alias("score"))
-
-
 def retrieval_report(results: DataFrame) -> DataFrame:
     """One row from (hit, tokens, closed) per query: hit rate, mean tokens, reduction for each budget."""
     mean = F.avg("tokens")

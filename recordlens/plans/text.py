@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordlens.functions import hashing, text
-from recordlens.operators import budget, export, retrieval
+from recordlens.operators import budget, export, postings, retrieval
 from recordlens.plans.catalogue import Catalogue
 
 QUERIES = Catalogue()
@@ -111,7 +111,7 @@ SELECT query_id, rank::INT AS rank, record_id, score::BIGINT AS score FROM k WHE
 )
 def lexical_topk(t):
     asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.lexical_topk(asked, t("documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("body")), 5)
+    return postings.lexical_topk(asked, t("documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("body")), 5)
 
 
 _COST = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions import pointers
 from recordlens.functions import schema as json_schema
-from recordlens.operators import budget, bundle, constraints, export, graph, metrics, policy, relations, retrieval
+from recordlens.operators import budget, bundle, constraints, export, graph, metrics, policy, relations, postings, retrieval
 
 
 def rows(df):
@@ -109,7 +109,7 @@ def test_selection_with_dependencies(spark):
 def test_lexical_search_fills_with_zero_scores(spark):
     q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "zz"), (3, "missing words")], "query_id int, query string")
     r = spark.createDataFrame([(1, "x Alpha beta gamma y"), (2, "gamma beta alpha"), (3, "a zzz"), (4, "none"), (5, None)], "record_id int, body string")
-    got = [tuple(x) for x in retrieval.lexical_topk(q, r, 3).orderBy("query_id", "rank").collect()]
+    got = [tuple(x) for x in postings.lexical_topk(q, r, 3).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, 1, 7), (1, 2, 2, 6), (1, 3, 3, 0), (2, 1, 3, 1), (2, 2, 1, 0), (2, 3, 2, 0), (3, 1, 1, 0), (3, 2, 2, 0), (3, 3, 3, 0)]
 
 
