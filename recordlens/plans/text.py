@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordlens.functions import hashing, text
-from recordlens.operators import budget, export, postings, retrieval
+from recordlens.operators import budget, export, postings, retrieval, tiles
 from recordlens.plans.catalogue import Catalogue
 
 QUERIES = Catalogue()
@@ -74,13 +74,13 @@ SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) AS score FROM r WHER
 @QUERIES.add("vector_topk", _PAIRS.format(which="a.vec_id = 0"))
 def vector_topk(t):
     asked = _vectors(t).where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return retrieval.vector_topk(asked, _vectors(t), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return tiles.vector_topk(asked, _vectors(t), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @QUERIES.add("vector_topk_per_query", _PAIRS.format(which="a.vec_id % 50 = 0"))
 def vector_topk_per_query(t):
     asked = _vectors(t).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return retrieval.vector_topk(asked, _vectors(t), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return tiles.vector_topk(asked, _vectors(t), 5).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @QUERIES.add(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions import pointers
 from recordlens.functions import schema as json_schema
-from recordlens.operators import budget, bundle, constraints, export, graph, metrics, policy, relations, postings, retrieval
+from recordlens.operators import budget, bundle, constraints, export, graph, metrics, policy, postings, relations, tiles
 
 
 def rows(df):
@@ -116,9 +116,9 @@ def test_lexical_search_fills_with_zero_scores(spark):
 def test_vector_search_ties_go_to_the_smaller_id(spark):
     v = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(6)], "vec_id int, v array<double>")
     q = v.where("vec_id = 1").selectExpr("vec_id as query_id", "v as q")
-    assert [r["vec_id"] for r in retrieval.vector_topk(q, v, 3).orderBy("rank").collect()] == [3, 5, 0]
+    assert [r["vec_id"] for r in tiles.vector_topk(q, v, 3).orderBy("rank").collect()] == [3, 5, 0]
     with pytest.raises(ValueError):
-        retrieval.vector_topk(q, v, 0)
+        tiles.vector_topk(q, v, 0)
 
 
 ANSWER = "epistemic_state string, answer string, canonical_ids array<string>, provenance_refs array<string>, classification string, sarcasm string, hostility string, intent_polarity string, severity string, freshness_limited boolean"
