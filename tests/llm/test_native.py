@@ -80,6 +80,62 @@ def test_quality_counts_pages_of_one_length(spark):
     compare(quality.judge(spark.createDataFrame(rows, SCHEMA)), quality.ORACLE_SQL, rows)
 
 
+def words(rng, n, letters="abcdefghij"):
+    return " ".join("".join(rng.choices(letters, k=8)) for _ in range(n))
+
+
+@pytest.mark.parametrize("own", [15, 25, 40, 80])
+def test_quality_removes_a_long_footer_of_short_pages(spark, own):
+    rng = random.Random(own)
+    footer = words(rng, 80)
+    rows = [(i, f"{words(rng, own)}\n{footer}", "h", 0) for i in range(200)]
+    got = quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["n_removed_lines"] == 1 for r in got)
+    compare(quality.judge(spark.createDataFrame(rows, SCHEMA)), quality.ORACLE_SQL, rows)
+
+
+def test_quality_rejects_pages_that_are_nearly_all_boilerplate(spark):
+    rng = random.Random(8)
+    shared = [words(rng, 12) for _ in range(6)]
+    rows = [(i, "\n".join([words(rng, 6), *shared]), "h", 0) for i in range(100)]
+    got = quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["n_removed_lines"] == 6 and not r["base_failed"] and not r["kept"] for r in got)
+
+
+def near_copies(rng, first, n, lines, share=0.02):
+    """Copies with random words of random lines changed."""
+    out = []
+    for i in range(n):
+        edited = [" ".join(words(rng, 1, "klmnop") if rng.random() < share else w for w in x.split()) for x in lines]
+        out.append((first + i, "\n".join(edited), "h", 0))
+    return out
+
+
+def test_quality_counts_a_group_of_copies_once_and_never_less(spark):
+    """Sixty pages hold a line, and so do 300 near copies of one more page: the line goes from all, nothing else does."""
+    rng = random.Random(9)
+    line = words(rng, 9)
+    pages = [(i, f"{words(rng, 40)}\n{line}", "h", 0) for i in range(60)]
+    body = [words(rng, 20) for _ in range(8)]
+    copies = near_copies(rng, 1000, 300, [*body, line], 0.0) + [(2000 + i, t + f"\n{line}", "h", 0) for i, t, *_ in near_copies(rng, 0, 300, body)]
+    rows = pages + [(d, t, s, n) for d, (_, t, s, n) in enumerate(copies, 1000)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(r["n_removed_lines"] == 1 and r["kept"] for r in got.values())
+    compare(quality.judge(spark.createDataFrame(rows, SCHEMA)), quality.ORACLE_SQL, rows)
+
+
+def test_quality_counts_groups_of_copies_apart(spark):
+    """Near copies of twelve pages around one line are twelve documents; those of eight are not enough."""
+    for pages, removed in ((12, 1), (8, 0)):
+        rng = random.Random(pages)
+        line, rows = words(rng, 9), []
+        for p in range(pages):
+            rows += [(d, t + f"\n{line}", s, n) for d, t, s, n in near_copies(rng, 100 * p, 40, [words(rng, 20) for _ in range(8)])]
+        got = quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert all(r["n_removed_lines"] == removed and r["kept"] for r in got)
+    compare(quality.judge(spark.createDataFrame(rows, SCHEMA)), quality.ORACLE_SQL, rows)
+
+
 def test_quality_of_a_long_text_and_clashing_names(spark):
     words = " ".join(f"wordnumber{i}" for i in range(60_000))
     df = spark.createDataFrame([(1, words, "s", 7, "x", "y")], "doc_id long, text string, source string, n_chars int, host string, key string")
