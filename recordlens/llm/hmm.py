@@ -34,6 +34,8 @@ HEAD = 65_535
 SAMPLE_DOCS, SAMPLE_TOKENS, SAMPLE_ROUNDS = 2_000, 2_048, 15
 #: Tokens of a segment, and tokens whose recursion is held in memory at a time.
 SEGMENT, HELD = 1_024, 1 << 18
+#: Places after which the recursions are scaled again.
+RESCALE = 8
 #: A task hands on its word counts when it holds so many words or has read so many bytes since.
 FLUSH_WORDS, FLUSH_BYTES = 300_000, 1 << 26
 #: Longer words are known by their digest, so that keys and tables are bounded.
@@ -166,16 +168,17 @@ def _transfer(model: Model, segments: list[np.ndarray]) -> tuple[np.ndarray, np.
     """The matrix from a distribution over states before a segment's first emission to that after its last, and its log10 scale."""
     k = len(model.start)
     matrices, logs = np.empty((len(segments), k, k)), np.zeros(len(segments))
-    for group in _held(segments, HELD // k):
+    for group in _held(segments, HELD):
         packed = _Packed([segments[i] for i in group])
         e = model.emits[packed.symbols]
         m, scale = np.eye(k) * e[: packed.width[0], None, :], np.zeros(len(group))
         for t, at, n in packed.steps():
             if t:
                 m[:n] = (m[:n].reshape(-1, k) @ model.moves).reshape(n, k, k) * e[at : at + n, None, :]
-            most = m[:n].max(axis=(1, 2))
-            m[:n] /= most[:, None, None]
-            scale[:n] += np.log10(most)
+            if t % RESCALE == 0:
+                most = m[:n].max(axis=(1, 2))
+                m[:n] /= most[:, None, None]
+                scale[:n] += np.log10(most)
         where = np.array(group)[packed.order]
         matrices[where], logs[where] = m, scale
     return matrices, logs
@@ -185,29 +188,40 @@ def _segments(doc: np.ndarray) -> list[np.ndarray]:
     return [doc[i : i + SEGMENT] for i in range(0, len(doc), SEGMENT)]
 
 
+def _long(model: Model, docs: list[np.ndarray]):
+    """(document's number, its segments' matrices, their scales) of the documents of more than one segment."""
+    which = [i for i, d in enumerate(docs) if len(d) > SEGMENT]
+    parts = [_segments(docs[i]) for i in which]
+    matrices, logs = _transfer(model, [x for p in parts for x in p])
+    ends = np.cumsum([0, *map(len, parts)])
+    return [(i, matrices[a:b], logs[a:b]) for i, a, b in zip(which, ends[:-1], ends[1:], strict=True)]
+
+
 def score(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     """log10 of the probability of each document's symbols."""
-    found, (k,) = np.zeros(len(docs)), model.start.shape
+    found = np.zeros(len(docs))
     short = [i for i, d in enumerate(docs) if len(d) <= SEGMENT]
-    texts, one = [docs[i] for i in short], np.ones(k)
+    texts, one = [docs[i] for i in short], np.ones(len(model.start))
     for group in _held(texts, HELD):
         packed = _Packed([texts[i] for i in group])
         e, sums = model.emits[packed.symbols], np.zeros(len(group))
+        after = [*packed.width[1:].tolist(), 0]
         for t, at, n in packed.steps():
             a = (a[:n] @ model.moves if t else model.start) * e[at : at + n]  # noqa: F821
-            c = a @ one
-            a /= c[:, None]
-            sums[:n] += np.log10(c)
+            if t % RESCALE == 0:
+                c = a @ one
+                a /= c[:, None]
+                sums[:n] += np.log10(c)
+            if after[t] < n:
+                sums[after[t] : n] += np.log10(a[after[t] :] @ one)
         found[np.array(short)[np.array(group)[packed.order]]] = sums
-    for i, d in enumerate(docs):
-        if len(d) > SEGMENT:
-            matrices, logs = _transfer(model, _segments(d))
-            p, total = model.start, logs.sum()
-            for m in matrices:
-                a = p @ m
-                total += np.log10(a.sum())
-                p = a / a.sum() @ model.moves
-            found[i] = total
+    for i, matrices, logs in _long(model, docs):
+        p, total = model.start, logs.sum()
+        for m in matrices:
+            a = p @ m
+            total += np.log10(a.sum())
+            p = a / a.sum() @ model.moves
+        found[i] = total
     return found
 
 
@@ -219,27 +233,27 @@ class Expected:
         self.start, self.moves, self.emits = np.zeros(k), np.zeros((k, k)), np.zeros(model.emits.shape)
 
     def add(self, docs: list[np.ndarray]) -> None:
-        """Every segment with the exact distributions that the rest of its document gives it at both ends."""
+        """Every segment with the exact distributions that the rest of its document gives it at both ends.
+
+        Rows of the recursions may have any scale, as what is added up is made to sum to one at each place.
+        """
         model, (k,) = self.model, self.model.start.shape
         segments, entry, leave, before = [], [], [], []
-        for d in docs:
-            parts = _segments(d)
-            segments += parts
+        known = {i: matrices for i, matrices, _ in _long(model, docs)}
+        for i, d in enumerate(docs):
+            segments += _segments(d)
             entry.append(model.start)
             before.append(np.zeros(k))
-            if len(parts) > 1:
-                matrices, _ = _transfer(model, parts)
-                for m in matrices[:-1]:
+            behind = [np.ones(k)]
+            if i in known:
+                for m in known[i][:-1]:
                     a = entry[-1] @ m
                     before.append(a / a.sum())
                     entry.append(before[-1] @ model.moves)
-                behind = [np.ones(k)]
-                for m in matrices[:0:-1]:
+                for m in known[i][:0:-1]:
                     b = model.moves @ (m @ behind[-1])
                     behind.append(b / b.sum())
-                leave += behind[::-1]
-            else:
-                leave.append(np.ones(k))
+            leave += behind[::-1]
         entry, leave, before = np.array(entry), np.array(leave), np.array(before)
         for group in _held(segments, HELD):
             self._add([segments[i] for i in group], entry[group], leave[group], before[group])
@@ -250,18 +264,21 @@ class Expected:
         e, (k,) = model.emits[packed.symbols], model.start.shape
         alpha, beta, one, back = np.empty_like(e), np.empty_like(e), np.ones(k), np.ascontiguousarray(model.moves.T)
         for t, at, n in packed.steps():
-            a = (a[:n] @ model.moves if t else entry) * e[at : at + n]  # noqa: F821
-            a /= (a @ one)[:, None]
-            alpha[at : at + n] = a
+            a = alpha[at : at + n]
+            np.multiply(last[:n] @ model.moves if t else entry, e[at : at + n], out=a)  # noqa: F821
+            if t % RESCALE == 0:
+                a /= (a @ one)[:, None]
+            last = a
         after, later = e, 0  # from here on, emission times what follows
-        for _, at, n in reversed(list(packed.steps())):
+        for t, at, n in reversed(list(packed.steps())):
             b = beta[at : at + n]
             if later:
                 np.matmul(after[at + n : at + n + later], back, out=b[:later])
             b[later:] = leave[later:n]
             q = after[at : at + n]
             q *= b
-            q /= (q @ one)[:, None]
+            if t % RESCALE == 0:
+                q /= (q @ one)[:, None]
             later = n
         first, w = packed.width[0], packed.width
         alpha_before = alpha[np.arange(first, len(alpha)) - np.repeat(w[:-1], w[1:])]
