@@ -149,7 +149,7 @@ def concurrency(sales: DataFrame, lines: DataFrame, clients: DataFrame, days: in
     nation_id, from_s, to_s, n_open, open_cents, high_open and is_peak.
     """
     moves = cut(deltas(intervals(sales, lines, clients, days)))
-    known = cut(carries(chunk_totals(moves)))
+    known = cut(carries(cut(chunk_totals(moves))))
     by, tasks = ("nation_id", "chunk"), int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "nation_id int, from_s long, to_s long, n_open long, open_cents long, high_open long, is_peak boolean"
     # Chunks cost time rather than bytes, so they are dealt out by number, which adaptive execution leaves as it is.
