@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,39 +62,73 @@ def greedy_pack(items: DataFrame, by: str, order: list[str], cost: str, budget:
             return reduce(DataFrame.unionByName, taken).drop("__at")
 
 
+#: Items of a profile that a round of the selection looks at.
+LOOK = 10_000
+
+
+def _round(needs: DataFrame, taken: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round for every profile of ``state`` (profile, room, last): what is taken now, and the state after it.
+
+    Prices are what a closure adds to what is taken. An item that costs more than the room can't come in later, as
+    what is taken on the way lowers both alike. Of the others the first LOOK are looked at in order. As long as what they
+    add does not overlap, their prices hold whatever is taken before, so all go in up to the first that shares an
+    addition with an earlier one, which the next round looks at again, or that no longer fits, which is passed over.
+    """
+    open_ = needs.join(F.broadcast(state)).where("last is null or at > last").join(taken, ["profile", "id"], "left_anti")
+    priced = open_.groupBy("profile", "at", "room").agg(F.sum("cost").alias("price")).where("price <= room")
+    order = Window.partitionBy("profile").orderBy("at")
+    seen = priced.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= LOOK)
+    seen = written(seen.withColumn("sum", F.sum("price").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    adds = open_.select("profile", "at", "id").join(seen.select("profile", "at", "nth"), ["profile", "at"])
+    first = adds.groupBy("profile", "id").agg(F.min("nth").alias("first"))
+    clash = adds.join(first, ["profile", "id"]).where("nth > first").groupBy("profile").agg(F.min("nth").alias("clash"))
+    full = seen.where("sum > room").groupBy("profile").agg(F.min("nth").alias("full"))
+    never = F.lit(LOOK + 1)
+    ends = seen.groupBy("profile").agg(F.max("nth").alias("most")).join(clash, "profile", "left").join(full, "profile", "left")
+    ends = written(ends.select("profile", "most", F.coalesce("clash", never).alias("clash"), F.coalesce("full", never).alias("full"))).withColumn("stop", F.least("clash", "full"))
+    got = written(adds.join(F.broadcast(ends), "profile").where("nth < stop").select("profile", "id").distinct())
+    # The last item settled: the one that no longer fits, or else the one before the clash.
+    settled = F.when(F.col("full") < F.col("clash"), F.col("full")).otherwise(F.least(F.col("clash") - 1, "most"))
+    known = seen.join(F.broadcast(ends), "profile")
+    rooms = known.groupBy("profile").agg(
+        (F.max("room") - F.coalesce(F.max(F.when(F.col("nth") < F.col("stop"), F.col("sum"))), F.lit(0))).alias("room"),
+        F.max(F.when(F.col("nth") == settled, F.col("at"))).alias("last"),
+        F.first(F.least("clash", "full") <= F.col("most")).alias("more"),
+        F.max("nth").alias("most"),
+    )
+    return got, rooms.where(F.col("more") | (F.col("most") == LOOK)).select("profile", "room", "last")
+
+
 def select_with_dependencies(items: DataFrame, edges: DataFrame, profiles: dict[str, int], fixed_cost: int = 0, everything: str = "FULL") -> DataFrame:
     """(profile, item_id): items taken with all that they depend on, in the order of priority, section, path and id.
 
     ``items``: (item_id, kind, priority, source_path, cost); ``edges``: (src, dst). An item whose closure does
     not fit is passed over and may come in later with another. The profile ``everything`` takes all or
-    refuses. A dependency that is no item is refused. A registry's records are the group that one task
-    folds, as each choice depends on all before it; their closures are found in parallel.
+    refuses. A dependency that is no item is refused; so are null costs and ones below zero. item_id is a key.
+
+    Items are taken in rounds (see ``_round``), each for all profiles at once; the state between them is a row a profile. What is
+    taken is as large as the budgets at most, but for items that cost nothing.
     """
+    if not items.where("cost is null or cost < 0").isEmpty():
+        raise ValueError("costs are whole and not negative")
     unknown = edges.join(items.select(F.col("item_id").alias("dst")), "dst", "left_anti")
     if not unknown.isEmpty():
         raise ValueError(f"dependency cannot be resolved: {unknown.first()['dst']}")
-    closures = closure_by_seed(items.select(F.col("item_id").alias("id")), edges).groupBy("seed").agg(F.collect_list("id").alias("needs"))
-    ordered = items.withColumn("section", section_rank(F.col("kind"))).join(closures, F.col("item_id") == F.col("seed"))
-    named = items.sparkSession.createDataFrame(list(profiles.items()), "profile string, budget long")
-    rows = ordered.join(F.broadcast(named)).select("profile", "budget", "item_id", "priority", "section", "source_path", "cost", "needs")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["priority", "section", "source_path", "item_id"])
-        cost = dict(zip(group.item_id, group.cost, strict=True))
-        profile, room = group.profile.iloc[0], int(group.budget.iloc[0]) - fixed_cost
-        if profile == everything:
-            if sum(cost.values()) > room:
-                raise ValueError(f"{profile} needs {sum(cost.values()) + fixed_cost} tokens, above {room + fixed_cost}")
-            chosen = set(cost)
-        else:
-            chosen: set[str] = set()
-            for item, needs in zip(group.item_id, group.needs, strict=True):
-                if item not in chosen:
-                    added = set(needs) - chosen
-                    price = sum(cost[x] for x in added)
-                    if price <= room:
-                        chosen |= added
-                        room -= price
-        return pd.DataFrame({"profile": profile, "item_id": sorted(chosen)})
-
-    return rows.groupBy("profile").applyInPandas(fold, "profile string, item_id string")
+    spark, out = items.sparkSession, []
+    if everything in profiles:
+        total, room = items.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0], profiles[everything] - fixed_cost
+        if total > room:
+            raise ValueError(f"{everything} needs {total + fixed_cost} tokens, above {room + fixed_cost}")
+        out.append(items.select(F.lit(everything).alias("profile"), "item_id"))
+    rooms = [(name, int(budget) - fixed_cost) for name, budget in profiles.items() if name != everything]
+    at = F.struct("priority", section_rank(F.col("kind")).alias("section"), "source_path", "item_id")
+    placed = items.select(F.col("item_id").alias("seed"), at.alias("at"))
+    costs = items.select(F.col("item_id").alias("id"), F.col("cost").cast("long").alias("cost"))
+    closures = closure_by_seed(items.select(F.col("item_id").alias("id")), edges)
+    needs = written(closures.join(costs, "id").join(placed, "seed").select("at", "id", "cost"))
+    state = spark.createDataFrame(rooms, "profile string, room long").withColumn("last", F.lit(None).cast(needs.schema["at"].dataType))
+    taken = written(placed.select(F.lit("").alias("profile"), F.col("seed").alias("id")).limit(0))
+    while not state.isEmpty():
+        got, state = _round(needs, taken, state)
+        taken, state = written(taken.unionByName(got)), written(state)
+    return reduce(DataFrame.unionByName, [*out, taken.select("profile", F.col("id").alias("item_id"))])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions.hashing import sha256
 from recordlens.functions.text import collapse
-from recordlens.operators import bundle, graph, relations
+from recordlens.operators import budget, bundle, graph, relations
 from recordlens.plans.catalogue import Catalogue
 
 QUERIES = Catalogue()
@@ -254,3 +254,84 @@ def bundle_hash(t):
         sha256(F.concat_ws(":", "n_name", F.col("n_nationkey").cast("string"))).alias("sha256"), F.char_length("n_name").alias("bytes"),
     )
     return bundle.bundle_digest(entries, ["grp"])
+
+
+_ITEM_SQL = """
+  SELECT 'region:' || r_regionkey AS item_id, 'source' AS kind, 3 AS priority, 'sources' AS source_path, 200 + length(r_name) AS cost, NULL AS ref, NULL AS source, NULL AS target FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, 'project', 1, 'projects', 100 + n_nationkey, 'region:' || n_regionkey, NULL, NULL FROM nation
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'publication', 2, 'publications', 30 + s_suppkey % 70, 'nation:' || s_nationkey, NULL, NULL FROM supplier
+  UNION ALL SELECT 'customer:' || c_custkey, 'claim', 2 - c_custkey % 2, 'claims', 20 + c_custkey % 50, 'nation:' || c_nationkey, NULL, NULL FROM customer
+  UNION ALL SELECT 'order:' || o_orderkey, 'relationship', 2 + o_orderkey % 2, 'orders', 15 + o_orderkey % 9, NULL, 'customer:' || o_custkey, 'customer:' || (o_custkey * 7 % 150) FROM orders WHERE o_orderkey % 8 = 0"""
+
+
+def _dependent_items(t):
+    """Items of five kinds with what they refer to; relationships have ends, the others references."""
+    none = F.lit(None).cast("string")
+
+    def rows(table, key, kind, priority, path, cost, ref=none, source=none, target=none):
+        return t(table).select(
+            _id(table if table != "orders" else "order", key).alias("item_id"), F.lit(kind).alias("kind"), priority.cast("int").alias("priority"), F.lit(path).alias("source_path"),
+            cost.cast("int").alias("cost"), F.array_compact(F.array(ref)).alias("source_refs"), source.alias("source"), target.alias("target"),
+        )
+
+    c = F.col
+    orders = rows("orders", "o_orderkey", "relationship", 2 + c("o_orderkey") % 2, "orders", 15 + c("o_orderkey") % 9, none, _id("customer", "o_custkey"), F.concat(F.lit("customer:"), (c("o_custkey") * 7 % 150).cast("string")))
+    return (
+        rows("region", "r_regionkey", "source", F.lit(3), "sources", 200 + F.char_length("r_name"))
+        .unionByName(rows("nation", "n_nationkey", "project", F.lit(1), "projects", 100 + c("n_nationkey"), _id("region", "n_regionkey")))
+        .unionByName(rows("supplier", "s_suppkey", "publication", F.lit(2), "publications", 30 + c("s_suppkey") % 70, _id("nation", "s_nationkey")))
+        .unionByName(rows("customer", "c_custkey", "claim", 2 - c("c_custkey") % 2, "claims", 20 + c("c_custkey") % 50, _id("nation", "c_nationkey")))
+        .unionByName(orders.where(F.split("item_id", ":")[1].cast("long") % 8 == 0))
+    )
+
+
+_DEPENDENCY_SQL = f"""
+  SELECT item_id AS src, ref AS dst FROM ({_ITEM_SQL}) WHERE ref IS NOT NULL
+  UNION SELECT item_id, unnest([source, target]) FROM ({_ITEM_SQL}) WHERE kind = 'relationship'
+  UNION SELECT item_id, 'wrapper:' || source_path FROM ({_ITEM_SQL}) WHERE source_path IN ('projects', 'publications')
+  UNION SELECT 'supplier:' || s_suppkey, 'nation:' || (s_suppkey % 40) FROM supplier WHERE s_suppkey % 40 IN (SELECT n_nationkey FROM nation)"""
+
+
+def _dependency_rows(t):
+    """(items, edges) with wrappers as items, and names of nations in the suppliers' texts."""
+    items = _dependent_items(t)
+    wrappers = items.where(F.col("source_path").isin("projects", "publications")).select("source_path", F.concat(F.lit("wrapper:"), "source_path").alias("wrapper_id")).distinct()
+    named = t("supplier").select(_id("supplier", "s_suppkey").alias("item_id"), F.concat(F.lit("nation:"), (F.col("s_suppkey") % 40).cast("string")).alias("value"))
+    own = named.select("item_id", F.col("item_id").alias("value"))
+    return items, wrappers, graph.dependency_edges(items, wrappers, named.unionByName(own))
+
+
+@QUERIES.add("dependency_edges", f"SELECT src, dst FROM ({_DEPENDENCY_SQL})")
+def dependency_edges(t):
+    return _dependency_rows(t)[2].select("src", "dst")
+
+
+@QUERIES.add(
+    "select_dependencies",
+    f"""
+WITH RECURSIVE items AS (
+  SELECT item_id, kind, priority, source_path, cost FROM ({_ITEM_SQL})
+  UNION ALL SELECT DISTINCT 'wrapper:' || source_path, 'wrapper', 0, source_path, 50 FROM ({_ITEM_SQL}) WHERE source_path IN ('projects', 'publications')
+), e AS ({_DEPENDENCY_SQL}), c AS (SELECT item_id AS seed, item_id AS id FROM items UNION SELECT seed, dst FROM c JOIN e ON c.id = src),
+needs AS (SELECT seed, list({{'id': id, 'cost': cost}}) AS a FROM c JOIN items ON id = item_id GROUP BY seed),
+o AS (
+  SELECT row_number() OVER (ORDER BY priority, CASE kind WHEN 'wrapper' THEN 0 WHEN 'claim' THEN 3 WHEN 'project' THEN 4 WHEN 'publication' THEN 5 WHEN 'relationship' THEN 7 ELSE 9 END, source_path, item_id) AS rn, a
+  FROM items JOIN needs ON seed = item_id
+), f AS (
+  SELECT profile, 0::BIGINT AS rn, room::BIGINT AS room, []::VARCHAR[] AS taken FROM (VALUES ('MICRO', 8192), ('STANDARD', 24576)) AS p(profile, room)
+  UNION ALL
+  SELECT profile, rn, CASE WHEN price <= room THEN room - price ELSE room END, CASE WHEN price <= room THEN list_concat(taken, list_transform(more, lambda x: x.id)) ELSE taken END
+  FROM (
+    SELECT profile, rn, room, taken, more, coalesce(list_sum(list_transform(more, lambda x: x.cost)), 0)::BIGINT AS price
+    FROM (SELECT f.profile, o.rn, f.room, f.taken, list_filter(o.a, lambda x: NOT list_contains(f.taken, x.id)) AS more FROM f JOIN o ON o.rn = f.rn + 1))
+)
+SELECT profile, unnest(taken) AS item_id FROM f WHERE rn = (SELECT max(rn) FROM o)
+UNION ALL SELECT 'FULL', item_id FROM items
+""",
+)
+def select_dependencies(t):
+    items, wrappers, edges = _dependency_rows(t)
+    columns = ["item_id", "kind", "priority", "source_path", "cost"]
+    heads = wrappers.select(F.col("wrapper_id").alias("item_id"), F.lit("wrapper").alias("kind"), F.lit(0).alias("priority"), "source_path", F.lit(50).alias("cost"))
+    every = items.select(*columns).unionByName(heads)
+    return budget.select_with_dependencies(every, edges, {"MICRO": 8192, "STANDARD": 24576, "FULL": 1 << 40})

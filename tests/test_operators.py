@@ -106,6 +106,33 @@ def test_selection_with_dependencies(spark):
         budget.select_with_dependencies(items, edges, {"FULL": 12}).collect()
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_selection_is_that_of_a_loop(spark, monkeypatch, seed):
+    monkeypatch.setattr(budget, "LOOK", [10_000, 3, 1][seed - 1])
+    rng = random.Random(seed)
+    ids = [f"i{n:02d}" for n in range(30)]
+    items = [(i, rng.choice(["claim", "term", "event"]), rng.randrange(3), rng.choice("ab"), rng.choice([0, 1, 2, 3, 9, 30])) for i in ids]
+    edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(25)]
+    cost, profiles, want = {r[0]: r[4] for r in items}, {"A": 12, "B": 45, "C": 2, "FULL": 10_000}, []
+    for name, room in profiles.items():
+        room, chosen = room - 1, set(ids) if name == "FULL" else set()
+        for item in sorted(items, key=lambda r: (r[2], budget.SECTION_ORDER[r[1]], r[3], r[0])):
+            reached, stack = {item[0]}, [item[0]]
+            while stack:
+                at = stack.pop()
+                new = {d for s, d in edges if s == at} - reached
+                reached |= new
+                stack += new
+            price = sum(cost[x] for x in reached - chosen)
+            if price <= room:
+                chosen, room = chosen | reached, room - price
+        want += [(name, x) for x in chosen]
+    got = budget.select_with_dependencies(
+        spark.createDataFrame(items, "item_id string, kind string, priority int, source_path string, cost int"), spark.createDataFrame(edges, "src string, dst string"), profiles, 1
+    )
+    assert rows(got) == sorted(want)
+
+
 def test_lexical_search_fills_with_zero_scores(spark):
     q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "zz"), (3, "missing words")], "query_id int, query string")
     r = spark.createDataFrame([(1, "x Alpha beta gamma y"), (2, "gamma beta alpha"), (3, "a zzz"), (4, "none"), (5, None)], "record_id int, body string")
