@@ -35,10 +35,44 @@ def sha256(text: Column) -> Column:
 
 
 def ordered_hash(rows: DataFrame, order: list[str], line: Column, by: list[str] | None = None, name: str = "digest") -> DataFrame:
-    """The digest of all rows' ``line`` texts joined in the order of ``order``; for manifests, not for data."""
-    packed = F.array_sort(F.collect_list(F.struct(*order, line.alias("__line"))))
-    joined = F.array_join(F.transform(packed, lambda r: r["__line"]), "")
-    return rows.groupBy(*(by or [])).agg(F.sha2(joined, 256).alias(name))
+    """The digest of all rows' ``line`` texts joined in the order of ``order``, of each group of ``by`` if given.
+
+    A digest has one order, so a group is one stream through one task, which holds no more than the digest's state; Spark
+    sorts the rows before it and spills what memory can't hold. Equal places are ordered by their lines. A null line
+    is empty; without groups, no rows have the digest of an empty text.
+    """
+    by = by or []
+    named = [F.col(c).alias(f"by{i}") for i, c in enumerate(by)] + [F.col(c).alias(f"at{i}") for i, c in enumerate(order)] + [line.alias("line")]
+    groups, places = [f"by{i}" for i in range(len(by))], [f"at{i}" for i in range(len(order))]
+    whole = rows.select(*named)
+    dealt = (whole.repartition(*groups) if by else whole.repartition(1)).sortWithinPartitions(*groups, *places, "line").select(*groups, F.coalesce("line", F.lit("")).alias("line"))
+    kinds = ", ".join([*(f"{g} {dealt.schema[g].dataType.simpleString()}" for g in groups), "digest string"])
+
+    def run(batches):
+        state, group, schema = None, None, None
+        for b in batches:
+            schema = b.schema
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(len(groups))), strict=True)) if groups else [()] * b.num_rows
+            out = []
+            for key, text in zip(keys, b.column(len(groups)).to_pylist(), strict=True):
+                if state is None or key != group:
+                    if state is not None:
+                        out.append((group, state.hexdigest()))
+                    state, group = hashlib.sha256(), key
+                state.update(text.encode())
+            if out:
+                yield rows_of(out, schema)
+        if state is not None:
+            yield rows_of([(group, state.hexdigest())], schema)
+
+    def rows_of(out, schema):
+        columns = [pa.array([k[i] for k, _ in out], schema.field(i).type) for i in range(len(groups))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([d for _, d in out], pa.string())], [*groups, "digest"])
+
+    digests = dealt.mapInArrow(run, kinds)
+    if not by:
+        return digests.agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256().hexdigest())).alias(name))
+    return digests.select(*(F.col(g).alias(c) for g, c in zip(groups, by, strict=True)), F.col("digest").alias(name))
 
 
 def manifest_line(path: Column, digest: Column, size: Column) -> Column:

@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,14 +34,20 @@ def read_document(spark: SparkSession, path: str):
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value, is_object): lines by number, blank ones left out; is_object is false for anything but an object.
+    """(line, value, is_object): lines of each file by number, blank ones left out; is_object is false for anything but an object.
 
-    A file that needs line numbers is read whole; use ``spark.read.json`` for data at large.
+    Files are read in splits. A line's number is its place in the split and how many lines the splits before it have,
+    so only a count a split is brought together.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "value"))
+    placed = F.monotonically_increasing_id().alias("place")
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), placed)
+    splits = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
     value = F.trim("value")
     parsed = F.try_parse_json(value)
-    return lines.where(value != "").select((F.col("i") + 1).alias("line"), value.alias("value"), (parsed.isNotNull() & value.startswith("{")).alias("is_object"))
+    lines = rows.where(value != "").join(splits, ["file", "start"])
+    return lines.select((F.col("place") + F.col("shift")).alias("line"), value.alias("value"), (parsed.isNotNull() & value.startswith("{")).alias("is_object"))
 
 
 def jsonl_objects(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
@@ -128,19 +134,31 @@ def read_capsule(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return items, guards
 
 
-def read_vectors(spark: SparkSession, path: str, dimension: int = DIMENSION) -> DataFrame:
-    """(vector_index, embedding) of a packed file of 16-bit little-endian floats."""
+def read_vectors(spark: SparkSession, path: str, dimension: int = DIMENSION, split_bytes: int = 64 << 20) -> DataFrame:
+    """(vector_index, embedding) of a packed file of 16-bit little-endian floats.
+
+    Splits of about ``split_bytes`` begin at whole vectors, and a vector's index is its place in the file, so a file of any size
+    is read by many tasks.
+    """
     width = 2 * dimension
+    for r in spark.read.format("binaryFile").load(path).select("length").collect():
+        if r["length"] % width:
+            raise SourceInvalid(f"{r['length']} bytes are not whole vectors of {dimension}")
+    records = spark.sparkContext.newAPIHadoopFile(
+        path,
+        "org.apache.spark.input.FixedLengthBinaryInputFormat",
+        "org.apache.hadoop.io.LongWritable",
+        "org.apache.hadoop.io.BytesWritable",
+        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(width), "mapreduce.input.fileinputformat.split.maxsize": str(split_bytes)},
+    )
 
     def unpack(batches):
         for frame in batches:
-            for content in frame["content"]:
-                if len(content) % width:
-                    raise SourceInvalid(f"{len(content)} bytes are not whole vectors of {dimension}")
-                matrix = np.frombuffer(content, "<f2").reshape(-1, dimension).astype(np.float64)
-                yield pd.DataFrame({"vector_index": range(len(matrix)), "embedding": list(matrix)})
+            matrix = np.frombuffer(b"".join(frame["v"]), "<f2").reshape(-1, dimension).astype(np.float64)
+            yield pd.DataFrame({"vector_index": frame["i"], "embedding": list(matrix)})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "vector_index int, embedding array<double>")
+    rows = spark.createDataFrame(records.map(lambda r: (r[0], bytearray(r[1]))), "i long, v binary")
+    return rows.mapInPandas(unpack, "vector_index int, embedding array<double>")
 
 
 def write_text(rows: DataFrame, path: str, order: list[str], line: Column) -> None:
@@ -157,15 +175,35 @@ def write_jsonl(rows: DataFrame, path: str, order: list[str] | None = None) -> N
         rows.select(value).write.mode("errorifexists").text(path)
 
 
+#: Bytes of a packed file that are written at a time.
+CHUNK = 4 << 20
+
+
 def write_vectors(rows: DataFrame, path: str, vector: str = "embedding", order: str = "vector_index") -> None:
-    """Packed 16-bit little-endian vectors in their order, one binary file; for a registry's worth of them."""
-    packed = rows.select(order, pack_f16(vector).alias("v"))
-    whole = packed.agg(F.array_sort(F.collect_list(F.struct(order, "v"))).alias("a")).first()["a"]
+    """Packed 16-bit little-endian vectors in their order, one binary file.
+
+    Tasks sort and pack; the file is one stream, so its chunks pass through the driver one after another.
+    """
+
+    def chunks(batches):
+        held, size = [], 0
+        for frame in batches:
+            for v in frame["v"]:
+                held.append(v)
+                size += len(v)
+                if size >= CHUNK:
+                    yield pd.DataFrame({"chunk": [b"".join(held)]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"chunk": [b"".join(held)]})
+
+    packed = rows.orderBy(order).select(pack_f16(vector).alias("v")).mapInPandas(chunks, "chunk binary")
     conf = rows.sparkSession._jsc.hadoopConfiguration()
     at = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(conf).create(at, False)
     try:
-        out.write(bytearray(b"".join(bytes(r["v"]) for r in whole)))
+        for r in packed.toLocalIterator(prefetchPartitions=True):
+            out.write(bytearray(r["chunk"]))
     finally:
         out.close()
 

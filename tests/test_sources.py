@@ -1,9 +1,11 @@
+import hashlib
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recordlens.functions import hashing
 from recordlens.sources import files
 from recordlens.streaming import order
 
@@ -20,6 +22,49 @@ def test_jsonl_lines(spark, tmp_path):
         files.jsonl_objects(spark, str(p), "id string", "id")
 
 
+def test_line_numbers_over_splits(spark, tmp_path):
+    """One split or fifty: every line has the number it has in its file."""
+    for name, n in (("a", 700), ("b", 300)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join("" if i % 7 == 0 else json.dumps({"file": name, "line": i, "x": "é" * (i % 50)}) for i in range(1, n + 1)))
+    want = sorted((name, i) for name, n in (("a", 700), ("b", 300)) for i in range(1, n + 1) if i % 7)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "1000b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = files.read_jsonl(spark, str(tmp_path))
+            assert lines.rdd.getNumPartitions() >= 1 and lines.select("is_object").distinct().count() == 1
+            rows = lines.select("line", F.get_json_object("value", "$.file").alias("f"), F.get_json_object("value", "$.line").cast("long").alias("l")).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert all(r["line"] == r["l"] for r in rows) and sorted((r["f"], r["l"]) for r in rows) == want
+
+
+def test_packed_vectors_of_many_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "CHUNK", 4000)
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(5000, 4)).astype("<f2").astype(float)
+    rows = spark.createDataFrame([(int(i), m[i].tolist()) for i in rng.permutation(5000)], "vector_index int, embedding array<double>").repartition(7)
+    files.write_vectors(rows, str(tmp_path / "v.f16"))
+    assert (tmp_path / "v.f16").read_bytes() == m.astype("<f2").tobytes()
+    back = files.read_vectors(spark, str(tmp_path / "v.f16"), 4, 2001)
+    assert back.rdd.getNumPartitions() == 20
+    assert [list(r["embedding"]) for r in back.orderBy("vector_index").collect()] == m.tolist()
+    with pytest.raises(files.SourceInvalid, match="whole vectors"):
+        files.read_vectors(spark, str(tmp_path / "v.f16"), 3)
+
+
+def test_ordered_digests_are_streams(spark):
+    rows = [(i % 5 if i % 5 else None, (i * 37) % 101, None if i % 11 == 0 else f"line {i % 3} é\n") for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, k int, t string").repartition(6)
+    place = lambda r: (r[1], r[2] is not None, r[2] or "")
+    digest = lambda some: hashlib.sha256("".join(r[2] or "" for r in sorted(some, key=place)).encode()).hexdigest()
+    assert hashing.ordered_hash(df, ["k"], F.col("t")).first()["digest"] == digest(rows)
+    got = {r["g"]: r["d"] for r in hashing.ordered_hash(df, ["k"], F.col("t"), ["g"], "d").collect()}
+    assert got == {g: digest([r for r in rows if r[0] == g]) for g in (None, 1, 2, 3, 4)}
+    assert hashing.ordered_hash(df.limit(0), ["k"], F.col("t")).first()["digest"] == hashlib.sha256().hexdigest()
+    assert hashing.ordered_hash(df.limit(0), ["k"], F.col("t"), ["g"]).collect() == []
+
+
 def test_json_documents(spark, tmp_path):
     p = tmp_path / "a.json"
     p.write_text(json.dumps({"records": [{"id": "a"}, {"id": "b"}], "more": [{"id": "c"}]}))
