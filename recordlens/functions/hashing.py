@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordlens.functions.parallel import spread
 from recordlens.functions.text import JOINED, normal_text
 
 DIMENSION = 256
@@ -141,7 +142,7 @@ def _sparse(rows: DataFrame, key: str, text: str, normed: bool) -> DataFrame:
                 columns = [b.column(0).take(pa.array(np.concatenate(nth))), pa.array(np.concatenate(dims), pa.int32()), pa.array(np.concatenate(values))]
                 yield pa.RecordBatch.from_arrays(columns, [key, "dim", "val"])
 
-    return rows.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, dim int, val double")
+    return spread(rows.select(key, F.col(text).cast("string"))).mapInArrow(run, f"{key} {kind}, dim int, val double")
 
 
 def feature_sums(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlens.functions.hashing import DIMENSION, Buckets, embedding
+from recordlens.functions.parallel import spread
 
 #: Token budgets that retrieved contexts are compared with.
 BUDGETS = {"MICRO": 8192, "STANDARD": 24576, "FULL": 131072}
@@ -33,7 +34,7 @@ def text_topk(rows: DataFrame, key: str, text: str, query: str, k: int = 5) -> D
             scores = (vectors.astype("<f2").astype(np.float64) * asked).sum(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], [key, "score"])
 
-    scored = rows.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, score double")
+    scored = spread(rows.select(key, F.col(text).cast("string"))).mapInArrow(run, f"{key} {kind}, score double")
     return scored.orderBy(F.desc("score"), key).limit(k).select(key, F.round("score", 6).alias("score"))
 
 
