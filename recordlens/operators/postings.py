@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from recordlens.functions.parallel import spread
 from recordlens.functions.text import LOOKUP_TOKENS
 from recordlens.operators.graph import written
 
@@ -42,7 +43,7 @@ class LexicalIndex:
         whole = _tokens(F.col("phrase"))
         inner = F.size(F.array_distinct(F.filter(F.slice(whole, 2, F.greatest(F.size(whole) - 2, F.lit(0))), lambda x: F.length(x) > 2)))
         self.asked = written(asked.select("query_id", "phrase", long.alias("tokens"), F.size(long).alias("size"), inner.alias("inner")))
-        self.texts = records.where("record_id is not null").select("record_id", text("body").alias("low"))
+        self.texts = spread(records.where("record_id is not null").select("record_id", text("body").alias("low")))
         terms = self.asked.select("query_id", F.explode("tokens").alias("token"))
         vocabulary = terms.select("token").distinct()
         held = self.texts.select("record_id", F.explode(F.array_distinct(_tokens(F.col("low")))).alias("token"))
@@ -55,12 +56,15 @@ class LexicalIndex:
     def exact(self, pairs: DataFrame) -> DataFrame:
         """(query_id, record_id, score) of (query_id, record_id). A phrase is looked for only where all its inner tokens are."""
         shared = F.size(F.array_intersect("tokens", F.coalesce("held", F.array().cast("array<string>"))))
-        both = pairs.select("query_id", "record_id").join(self.asked, "query_id").join(self.held, "record_id", "left")
-        counted = written(both.select("query_id", "record_id", "phrase", shared.alias("n"), (shared >= F.col("inner")).alias("whole")))
-        hits = counted.where("whole").select("query_id", "record_id", "phrase").join(self.texts, "record_id").where(F.contains("low", "phrase"))
-        hits = hits.select("query_id", "record_id", F.lit(1).alias("hit")).distinct()
-        score = (2 * F.col("n") + F.coalesce("hit", F.lit(0))).cast("long")
-        return counted.join(hits, ["query_id", "record_id"], "left").select("query_id", "record_id", score.alias("score"))
+        # A pair costs time rather than bytes, so adaptive execution is not to merge the tasks.
+        tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = pairs.select("query_id", "record_id").repartition(tasks, "record_id")
+        both = dealt.join(self.asked, "query_id").join(self.held, "record_id", "left")
+        counted = both.select("query_id", "record_id", "phrase", shared.alias("n"), (shared >= F.col("inner")).alias("whole"))
+        texts = self.texts.select(F.col("record_id").alias("held_id"), "low")
+        found = counted.join(texts, (F.col("record_id") == F.col("held_id")) & F.col("whole") & F.contains("low", "phrase"), "left")
+        score = (2 * F.max("n") + F.max(F.col("held_id").isNotNull().cast("int"))).cast("long")
+        return found.groupBy("query_id", "record_id").agg(score.alias("score"))
 
     def least(self, k: int) -> DataFrame:
         """(query_id, least): a score that k records are known to reach, for queries with so many.
@@ -79,7 +83,7 @@ class LexicalIndex:
         least one of all but the m - 1 most frequent ones; postings of the m - 1 are not read. What the read ones
         count, with the unread ones for granted, is a record's upper bound.
         """
-        known = self.terms.groupBy("query_id").agg(F.count("*").alias("terms")).join(self.least(k), "query_id", "left")
+        known = self.terms.groupBy("query_id").agg(F.count("*").alias("terms")).join(written(self.least(k)), "query_id", "left")
         need = F.greatest(F.ceil((F.coalesce("least", F.lit(0)) - 1) / 2), F.lit(1))
         bounds = known.select("query_id", (F.col("terms") - need + 1).alias("read"), (need - 1).alias("unread"), F.coalesce("least", F.lit(0)).alias("least"))
         terms = self.terms.join(bounds, "query_id").where(F.col("nth") <= F.col("read"))
