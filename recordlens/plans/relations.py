@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions.hashing import sha256
 from recordlens.functions.text import collapse
-from recordlens.operators import budget, bundle, graph, relations
+from recordlens.operators import budget, bundle, graph, reach, relations
 from recordlens.plans.catalogue import Catalogue
 
 QUERIES = Catalogue()
@@ -335,3 +335,23 @@ def select_dependencies(t):
     heads = wrappers.select(F.col("wrapper_id").alias("item_id"), F.lit("wrapper").alias("kind"), F.lit(0).alias("priority"), "source_path", F.lit(50).alias("cost"))
     every = items.select(*columns).unionByName(heads)
     return budget.select_with_dependencies(every, edges, {"MICRO": 8192, "STANDARD": 24576, "FULL": 1 << 40})
+
+
+_RING = (
+    _GEO
+    + """
+  UNION ALL SELECT 'nation:' || a.n_nationkey, 'nation:' || b.n_nationkey FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 5) % 25"""
+)
+
+
+@QUERIES.add(
+    "reachable_sets",
+    f"""WITH RECURSIVE e AS ({_RING}), c AS (SELECT 'customer:' || c_custkey AS seed, 'customer:' || c_custkey AS id FROM customer UNION SELECT seed, dst FROM c JOIN e ON id = src)
+SELECT seed, id FROM c""",
+)
+def reachable_sets(t):
+    """What every customer leads to, where nations lead on to others in rings."""
+    nations = t("nation")
+    following = nations.select(((F.col("n_nationkey") + 20) % 25).alias("before"), F.col("n_nationkey").alias("after"))
+    ring = nations.join(following, F.col("n_nationkey") == F.col("before")).select(_id("nation", "n_nationkey").alias("src"), _id("nation", "after").alias("dst"))
+    return reach.Reach(_geo_edges(t).unionByName(ring)).of_seeds(t("customer").select(_id("customer", "c_custkey").alias("id")))
