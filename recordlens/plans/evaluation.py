@@ -129,7 +129,6 @@ def _signals(t):
     )
 
 
-_LEVELS = "[" + ", ".join(f"'{x}'" for x in policy.MATURITY) + "]"
 _SIGNALS = f"""
 g AS (
   SELECT o_orderkey, o_orderkey AS k, o_orderkey % 9 AS req, o_custkey % 9 AS ent,
@@ -179,11 +178,10 @@ def mode_score(t):
 
 @QUERIES.add(
     "policy_grid",
-    f"""WITH l AS (SELECT unnest({_LEVELS}) AS level, unnest(range(9)) AS n)
-SELECT a.level AS requested_maturity, b.level AS evidence_entitlement, a.n > b.n AS violates FROM l a, l b""",
+    "SELECT a.r_name AS requested_maturity, b.r_name AS evidence_entitlement, a.r_regionkey > b.r_regionkey AS violates FROM region a, region b",
 )
 def policy_grid(t):
-    return policy.maturity_grid(t("region").sparkSession)
+    return policy.maturity_grid(t("region").select(F.col("r_name").alias("level"), F.col("r_regionkey").alias("place")))
 
 
 @QUERIES.add(

@@ -367,9 +367,14 @@ def integrity_contracts(t):
 
 @QUERIES.add(
     "payload_set",
-    """SELECT * FROM (VALUES (1, 'payload files don''t agree; missing=[''sources/index.json''], unknown=[''x'']'), (2, 'payload files are repeated'), (3, NULL)) AS v(case_id, problem)""",
+    """WITH f AS (SELECT n_nationkey, chr(39) || 'places/' || n_name || '.json' || chr(39) AS path FROM nation WHERE n_nationkey < 6)
+SELECT r_regionkey AS case_id, 'payload files don' || chr(39) || 't agree; missing=[' || string_agg(path, ', ' ORDER BY path) || '], unknown=[]' AS problem
+FROM region JOIN f ON (n_nationkey + r_regionkey) % 6 = 0 GROUP BY r_regionkey""",
 )
 def payload_set(t):
-    known = list(integrity.REGISTRIES)
-    cases = [(1, [*known[1:], "x"]), (2, [*known, known[0]]), (3, known)]
-    return t("region").sparkSession.createDataFrame([(i, integrity.file_set_problem(x)) for i, x in cases], "case_id int, problem string")
+    """The files that each region declares against those that are expected."""
+    files = t("nation").where("n_nationkey < 6").select("n_nationkey", F.concat(F.lit("places/"), "n_name", F.lit(".json")).alias("path"))
+    expected = [r["path"] for r in files.collect()]
+    declared = t("region").join(files, (F.col("n_nationkey") + F.col("r_regionkey")) % 6 > 0).groupBy("r_regionkey").agg(F.collect_list("path").alias("paths"))
+    cases = [(r["r_regionkey"], integrity.file_set_problem(r["paths"], expected)) for r in declared.collect()]
+    return files.sparkSession.createDataFrame(cases, "case_id int, problem string")

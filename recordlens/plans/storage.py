@@ -30,12 +30,17 @@ def jsonl_roundtrip(t):
     return files.jsonl_objects(rows.sparkSession, at, "k long, name string", "k").select(F.col("line").cast("long").alias("line"), "k", "name")
 
 
-@QUERIES.add("jsonl_lines", "SELECT * FROM (VALUES (1, true), (3, false), (4, true)) AS v(line, is_object)")
+@QUERIES.add(
+    "jsonl_lines",
+    "SELECT line, is_object FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS line, o_orderkey % 3 = 1 AS is_object, o_orderkey % 3 AS kind FROM orders) WHERE kind > 0",
+)
 def jsonl_lines(t):
-    rows = t("region").limit(1).select(F.lit('{"a": 1}\n\n[2]\n{"b": "x"}\n  ').alias("value"))
-    at = _place(rows)
-    rows.coalesce(1).write.text(at)
-    return files.read_jsonl(rows.sparkSession, at).select(F.col("line").cast("int").alias("line"), "is_object")
+    """A line for every order: blank, an object or a list."""
+    k = F.col("o_orderkey")
+    line = F.when(k % 3 == 0, F.lit("  ")).when(k % 3 == 1, F.format_string('{"order": %d}', k)).otherwise(F.format_string("[%d]", k))
+    at = _place(t("orders"))
+    files.write_text(t("orders"), at, ["o_orderkey"], line)
+    return files.read_jsonl(t("orders").sparkSession, at).select("line", "is_object")
 
 
 @QUERIES.add("json_document", "SELECT n_nationkey AS ordinal, 'records' AS collection, n_name AS name FROM nation UNION ALL SELECT r_regionkey, 'nodes', r_name FROM region")

@@ -9,8 +9,19 @@ from recordlens.operators.graph import shared_folder
 from recordlens.sources import files
 
 
+# A case in which nothing is amiss.
+CALM = {
+    **dict.fromkeys(["binding_claim", "declared_bridge", "doi_only", "freshness_required", "register_loss", "scenario_to_actual_promotion", "terminology_required", "unresolved_primary_conflict"], False),
+    **dict.fromkeys(["freshness_verified", "jurisdiction_resolved", "source_scope_matches", "terminology_resolved"], True),
+    **dict.fromkeys(["evidentiary_strength", "provenance_completeness", "source_authority"], 1.0),
+    **dict.fromkeys(["cross_domain_dependence", "jurisdiction_specific", "safety_criticality", "uncertainty"], 0.0),
+    **dict.fromkeys(["requested_maturity", "evidence_entitlement"], "SUPPORTED"),
+    **dict.fromkeys(["claim_scope", "publication_state", "source_authority_class"], "other"),
+}
+
+
 def signals(spark, **change):
-    case = policy.CALM | {"primary_mode": "SCIENCE", "secondary_modes": []} | change
+    case = CALM | {"primary_mode": "SCIENCE", "secondary_modes": []} | change
     kinds = {bool: "boolean", str: "string", float: "double", list: "array<string>", type(None): "string"}
     return spark.createDataFrame([case], ", ".join(f"{k} {kinds[type(v)]}" for k, v in case.items()))
 
