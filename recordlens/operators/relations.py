@@ -122,14 +122,25 @@ def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.subtract(right).withColumn("side", F.lit("left")).unionByName(right.subtract(left).withColumn("side", F.lit("right")))
 
 
-def order_violations(rows: DataFrame, by: list[str], order: str, instant: str) -> DataFrame:
+def order_violations(rows: DataFrame, by: list[str], order: str, instant: str, ranges: int | None = None) -> DataFrame:
     """Rows earlier than the last row before them with an instant; rows without one are passed over.
 
-    ``by``: keys of independent streams. A stream is one window; give finer keys for very long ones.
+    ``by``: keys of independent streams; equal places of ``order`` come in any order. Streams are cut into ``ranges``, so a long one is many
+    windows: each gives its last instant, which is carried on to the first rows of the next range. What is brought together for a
+    stream is a row a range.
     """
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.withColumn("previous", F.last(instant, ignorenulls=True).over(before))
-    return marked.where(F.col(instant).isNotNull() & (F.col(instant) < F.col("previous")))
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(n, *by, order).withColumn("__range", F.spark_partition_id()))
+    last = F.max_by(instant, F.when(F.col(instant).isNotNull(), F.struct(order, instant)))
+    ends = ranged.groupBy("__range", *by).agg(last.alias("__last"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("__range", *by, F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    before = Window.partitionBy("__range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    marked = ranged.withColumn("__own", F.last(instant, ignorenulls=True).over(before)).where(F.col(instant).isNotNull())
+    same = [marked[c].eqNullSafe(carried[c]) for c in ("__range", *by)]
+    joined = marked.join(carried.where("__carried is not null"), reduce(Column.__and__, same), "left")
+    found = joined.select(*(marked[c] for c in rows.columns), F.coalesce("__own", "__carried").alias("previous"))
+    return found.where(F.col(instant) < F.col("previous"))
 
 
 def adjacent_to(rows: DataFrame, by: str, flag: Column) -> DataFrame:

@@ -61,6 +61,20 @@ def test_filesets_sets_and_order(spark):
     assert rows(relations.zero_filled(flags.select(F.col("p")), "p", ["p", "x"])) == [("p", 3), ("x", 0)]
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 50])
+def test_order_of_one_long_stream(spark, ranges):
+    rng = random.Random(ranges)
+    events = [(None if i % 9 == 0 else "s", i, rng.choice([None, i + rng.randrange(30), i])) for i in range(600)]
+    df = spark.createDataFrame(events, "s string, o int, at int").repartition(5)
+    want, last = [], {}
+    for s, o, at in events:
+        if at is not None:
+            if at < last.get(s, at):
+                want.append((s, o, at, last[s]))
+            last[s] = at
+    assert sorted(map(tuple, relations.order_violations(df, ["s"], "o", "at", ranges).collect()), key=str) == sorted(want, key=str)
+
+
 def test_dense_index(spark):
     got = relations.indexed(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")), ["k"], "i").collect()
     assert all(r["k"] == r["i"] for r in got) and len(got) == 1000
