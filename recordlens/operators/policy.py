@@ -286,14 +286,18 @@ class PolicyTables:
 
 
 def policy_findings(p: PolicyTables) -> DataFrame:
-    """(code, path, message): references between the policy registries that lead nowhere or to the wrong thing."""
+    """(code, path, message): references between the policy registries that lead nowhere or to the wrong thing, repeats, and empty registries.
+
+    Of a repeated term or specialty, what it has twice is found: the registries give a row for each of its senses or resolvers.
+    """
 
     def lost(code: str, child: DataFrame, key: str, parent: DataFrame, parent_key: str, path: str) -> DataFrame:
         return findings(dangling(child, key, parent, parent_key), code, F.col(path), F.concat(F.lit("unknown: "), F.col(key).cast("string")))
 
     met = p.jurisdiction_resolvers.join(p.resolvers.select(F.col("id").alias("resolver"), "domain", F.col("jurisdiction").alias("__own")), "resolver")
     wrong = met.where(~(F.col("domain").eqNullSafe(F.lit("LEGAL")) & F.col("__own").eqNullSafe(F.col("jurisdiction"))))
-    twice = lambda code, rows, key: findings(rows.groupBy(key).count().where("count > 1"), code, F.col(key), F.lit("repeated"))
+    twice = lambda code, rows, *keys: findings(rows.groupBy(*keys).count().where("count > 1"), code, F.col(keys[0]), F.lit("repeated"))
+    empty = lambda name, rows: findings(rows.agg(F.count("*").alias("n")).where("n = 0"), "policy.empty", F.lit(name), F.lit("a registry without rows"))
     unsafe = p.resources.where(~F.coalesce(safe_path(F.col("path")), F.lit(False)))
     return all_findings([
         lost("policy.resolver_mode", p.resolvers, "domain", p.modes, "id", "id"),
@@ -310,6 +314,10 @@ def policy_findings(p: PolicyTables) -> DataFrame:
         findings(unsafe, "policy.resource_path", F.col("name"), F.lit("path is not safe")),
         twice("policy.resolver_repeated", p.resolvers, "id"),
         twice("policy.jurisdiction_repeated", p.jurisdictions, "id"),
+        twice("policy.jurisdiction_resolver_repeated", p.jurisdiction_resolvers, "jurisdiction", "resolver"),
+        twice("policy.specialty_repeated", p.specialty_resolvers, "specialty", "resolver"),
+        twice("policy.term_repeated", p.senses, "term", "mode"),
+        *(empty(name, getattr(p, name)) for name in ("modes", "classes", "freshness_classes", "guards")),
     ])
 
 

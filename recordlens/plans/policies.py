@@ -118,7 +118,9 @@ UNION ALL SELECT 'policy.jurisdiction_match', c_nationkey::VARCHAR FROM customer
 UNION ALL SELECT 'policy.specialty_resolver', p_brand FROM part WHERE p_partkey % 130 NOT IN (SELECT s_suppkey FROM supplier)
 UNION ALL SELECT 'policy.profile_mode', (n_nationkey % 7)::VARCHAR FROM nation WHERE n_nationkey % 7 >= 5 UNION ALL SELECT 'policy.profile_class', (n_nationkey % 7)::VARCHAR FROM nation WHERE n_nationkey % 4 = 3
 UNION ALL SELECT 'policy.sense_mode', n_name FROM nation WHERE n_regionkey >= 5 UNION ALL SELECT 'policy.guard_mode', (r_regionkey + 3)::VARCHAR FROM region WHERE r_regionkey + 3 >= 5
-UNION ALL SELECT 'policy.resource_file', n_name FROM nation WHERE n_nationkey % 6 = 0 OR n_nationkey % 10 = 0 UNION ALL SELECT 'policy.resource_path', n_name FROM nation WHERE n_nationkey % 6 = 0""",
+UNION ALL SELECT 'policy.resource_file', n_name FROM nation WHERE n_nationkey % 6 = 0 OR n_nationkey % 10 = 0 UNION ALL SELECT 'policy.resource_path', n_name FROM nation WHERE n_nationkey % 6 = 0
+UNION ALL SELECT 'policy.specialty_repeated', p_brand FROM part GROUP BY p_brand, p_partkey % 130 HAVING count(*) > 1
+UNION ALL SELECT 'policy.jurisdiction_resolver_repeated', c_nationkey::VARCHAR FROM customer GROUP BY c_nationkey, c_custkey % 150 HAVING count(*) > 1""",
 )
 def policy_references(t):
     spark = t("region").sparkSession

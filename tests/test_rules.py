@@ -121,3 +121,14 @@ def test_intermediate_tables_need_a_shared_folder(spark):
     with pytest.raises(ValueError, match="share"):
         shared_folder(Elsewhere)
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_empty_policy_registries_and_repeated_terms_are_found(spark):
+    shapes = {
+        "modes": "id string", "classes": "id string", "jurisdictions": "id string", "resolvers": "id string, domain string, authority_class string, jurisdiction string",
+        "jurisdiction_resolvers": "jurisdiction string, resolver string", "specialty_resolvers": "specialty string, resolver string", "freshness_classes": "id string",
+        "profiles": "mode string, field string, class string", "senses": "term string, mode string", "guards": "mode string", "resources": "name string, path string", "files": "path string",
+    }
+    rows = {"modes": [("M",)], "senses": [("t", "M"), ("t", "M"), ("u", "M")], "guards": [("M",)]}
+    found = policy.policy_findings(policy.PolicyTables(**{n: spark.createDataFrame(rows.get(n, []), shape) for n, shape in shapes.items()}))
+    assert sorted((r["code"], r["path"]) for r in found.collect()) == [("policy.empty", "classes"), ("policy.empty", "freshness_classes"), ("policy.term_repeated", "t")]
