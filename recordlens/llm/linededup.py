@@ -1,16 +1,15 @@
 """Line deduplication by a log-template tree (operator 3).
 
 The tree has a fixed depth: a line goes to a node by its number of tokens and from there by its leading
-tokens to a leaf. Tokens with a digit are variable fields. In a leaf a line joins the template that it
-is most like, if at least ``similarity`` of the tokens agree, and tokens that differ become variable
-fields of the template; else it starts a template. A template in ``min_docs`` or more documents recurs:
-its lines are dropped from all of them but the one with the smallest doc_id, so nothing is lost from the
-corpus as a whole.
+tokens to a leaf. Tokens with a digit are variable fields. In a leaf a line joins the first template whose first
+line it is like, if at least ``similarity`` of the tokens agree, and tokens that differ are variable fields of the
+template; else it starts a template. The most frequent lines come first. A template in ``min_docs`` or more documents
+recurs: its lines are dropped from all of them but the first, so nothing is lost from the corpus as a whole. The first
+is the one with the smallest doc_id; rows without one come after all others, and texts of one doc_id in the order of their hash.
 
 Equal lines are one row in a leaf, however often they occur, and a line alone in its leaf is its own template,
-so its tokens are not moved. The lines of a leaf are read in order, the most frequent first; a leaf of more than
-CHUNK_LINES different lines is parsed in chunks by their hash, each by a task of its own, and the templates of the
-chunks are then parsed as lines of one leaf. A task holds the templates that it has found, not the lines, and
+so its tokens are not moved. A leaf of more than CHUNK_LINES different lines is parsed in rounds, with the same result
+as in one piece (``_templates``). A task holds the templates that it has found, not the lines, and
 compares a line only with templates that agree with it in one of so many parts that one must agree.
 """
 
@@ -21,14 +20,14 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlens.llm.common import cut, drop_cuts, made_so_far
 from recordlens.llm.quality import rewritten
 
 LEADING = 3
-#: Different lines of a leaf that one task parses; lines that a task remembers to have sent the tokens of.
+#: Different lines of a leaf that one task parses in a round; lines that a task remembers to have sent the tokens of.
 CHUNK_LINES, SENT_LINES = 100_000, 1_000_000
 _DIGIT = re.compile(rb"[0-9]")
 _FIELD = b"<*>"
@@ -86,10 +85,10 @@ _LINES_SCHEMA = "doc long, key long, place int, leaf long, lh long, tokens binar
 
 
 class Leaf:
-    """The templates of a leaf, as rows of token numbers; 0 is a variable field.
+    """The templates of a leaf in order, as rows of token numbers, and which of their tokens are variable fields.
 
     Of ``allowed`` + 1 parts of a line, apart from the ``leading`` tokens that all lines share, a line that may
-    join a template agrees with it in one. So templates are listed by the contents of their parts.
+    join a template agrees with its first line in one. So templates are listed by the contents of their parts.
     """
 
     #: Templates from which on the lists are used; fewer are all compared.
@@ -97,115 +96,137 @@ class Leaf:
 
     def __init__(self, n: int, allowed: int, leading: int):
         self.n, self.allowed, self.size = n, allowed, 0
-        self.rows, self.numbers = np.zeros((4, n), np.int32), {_FIELD: 0}
+        self.rows, self.fields, self.numbers = np.zeros((4, n), np.int32), np.zeros((4, n), bool), {_FIELD: 0}
         free = np.arange(min(leading, n), n)
         self.parts = [(p[0], p[-1] + 1) for p in np.array_split(free, allowed + 1)] if len(free) > allowed else None
         self.lists: dict[tuple[int, bytes], list[int]] | None = None
 
-    def _list(self, nth: int, parts) -> None:
-        for i, (a, b) in parts:
+    def _list(self, nth: int) -> None:
+        for i, (a, b) in enumerate(self.parts):
             self.lists.setdefault((i, self.rows[nth, a:b].tobytes()), []).append(nth)
 
-    def join(self, tokens: list[bytes]) -> int:
-        """The number of the template that a line joins or starts."""
-        numbers = self.numbers
-        line = np.array([numbers.setdefault(t, len(numbers)) for t in tokens], np.int32)
+    def _numbered(self, tokens: list[bytes]):
+        return np.array([self.numbers.setdefault(t, len(self.numbers)) for t in tokens], np.int32)
+
+    def find(self, tokens: list[bytes], line=None) -> int | None:
+        """The number of the first template that a line is like enough; its tokens that differ become variable fields."""
+        line = self._numbered(tokens) if line is None else line
         if self.lists is None:
             some, rows = None, self.rows[: self.size]
         else:
             some = sorted({t for i, (a, b) in enumerate(self.parts) for t in self.lists.get((i, line[a:b].tobytes()), ())})
             rows = self.rows[some]
-        if len(rows):
-            differ = (rows != line).sum(axis=1)
-            best = int(differ.argmin())
-            if differ[best] <= self.allowed:
-                nth = best if some is None else some[best]
-                if differ[best]:
-                    off = self.rows[nth] != line
-                    new = off & (self.rows[nth] != 0)
-                    self.rows[nth][off] = 0
-                    if self.lists is not None and new.any():
-                        self._list(nth, [(i, (a, b)) for i, (a, b) in enumerate(self.parts) if new[a:b].any()])
-                return nth
+        near = np.flatnonzero((rows != line).sum(axis=1) <= self.allowed) if len(rows) else ()
+        if not len(near):
+            return None
+        nth = int(near[0]) if some is None else some[near[0]]
+        self.fields[nth] |= self.rows[nth] != line
+        return nth
+
+    def start(self, tokens: list[bytes], line=None) -> int:
+        """The number of a new template with this line as its first."""
         if self.size == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.size] = line
+            self.rows, self.fields = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.fields))
+        self.rows[self.size] = self._numbered(tokens) if line is None else line
         self.size += 1
         if self.lists is not None:
-            self._list(self.size - 1, enumerate(self.parts))
+            self._list(self.size - 1)
         elif self.size > self.FEW and self.parts:
             self.lists = {}
             for nth in range(self.size):
-                self._list(nth, enumerate(self.parts))
+                self._list(nth)
         return self.size - 1
 
+    def join(self, tokens: list[bytes]) -> int:
+        """The number of the template that a line joins or starts."""
+        line = self._numbered(tokens)
+        nth = self.find(tokens, line)
+        return self.start(tokens, line) if nth is None else nth
+
     def templates(self) -> list[bytes]:
+        """The templates' first lines with their variable fields."""
         names = list(self.numbers)
-        return [b" ".join(names[x] for x in row) for row in self.rows[: self.size].tolist()]
+        return [b" ".join(_FIELD if f else names[x] for x, f in zip(r, fs, strict=True)) for r, fs in zip(self.rows[: self.size].tolist(), self.fields.tolist(), strict=False)]
 
 
-def _parse(similarity: float, leading: int):
-    """From rows (leaf, chunk, lh, in_chunks, tokens) in order: the template of each line, named after its first line.
+_ROWS_SCHEMA = "leaf long, part int, parts int, block long, class int, lh long, tokens binary"
 
-    For leaves in chunks the templates follow, with their tokens and without a line.
-    """
+
+def _parse(similarity: float, leading: int):
+    """From (a row's columns, given) in order: the rows that are not given, with the template of each, named after its first line."""
 
     def run(batches):
-        at, leaf, first, chunked = None, None, [], False
+        at, leaf, first = None, None, []
         for b in batches:
-            out = [[], [], [], []]
-
-            def put(*row, out=out):
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-
-            def close(out=out, put=put):
-                if chunked:
-                    for name, tokens in zip(first, leaf.templates(), strict=True):
-                        put(at[0], None, name, tokens)
-
-            for leaf_id, chunk, lh, in_chunks, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tokens = tokens.split(b" ")
-                if (leaf_id, chunk) != at:
-                    close()
-                    at, first, chunked = (leaf_id, chunk), [], in_chunks
-                    leaf = Leaf(len(tokens), allowed_changes(len(tokens), similarity), leading)
-                nth = leaf.join(tokens)
+            keep, names = [], []
+            leaves, parts, lines, tokens, givens, starts = (b.column(i).to_pylist() for i in map(b.schema.names.index, ("leaf", "part", "lh", "tokens", "given", "starts")))
+            for i, (leaf_id, part, lh, text, given, may_start) in enumerate(zip(leaves, parts, lines, tokens, givens, starts, strict=True)):
+                words = text.split(b" ")
+                if (leaf_id, part) != at:
+                    at, first = (leaf_id, part), []
+                    leaf = Leaf(len(words), allowed_changes(len(words), similarity), leading)
+                if given:
+                    leaf.start(words)
+                    first.append(lh)
+                    continue
+                nth = leaf.join(words) if may_start else leaf.find(words)
                 if nth == len(first):
                     first.append(lh)
-                put(leaf_id, lh, first[nth], None)
-            yield _parsed_batch(out)
-        if at and chunked:
-            names, tokens = first, leaf.templates()
-            yield _parsed_batch([[at[0]] * len(names), [None] * len(names), names, tokens])
+                keep.append(i)
+                names.append(None if nth is None else first[nth])
+            out = b.select(_ROW_NAMES).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(names, pa.int64())], [*_ROW_NAMES, "template"])
 
     return run
 
 
-def _parsed_batch(columns) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["leaf", "lh", "template", "tokens"])
+_ROW_NAMES = [c.split()[0] for c in _ROWS_SCHEMA.split(", ")]
 
 
-_PARSED_SCHEMA = "leaf long, lh long, template long, tokens binary"
+def _parsed(rows: DataFrame, similarity: float, leading: int) -> DataFrame:
+    """``rows`` with their templates; given ones first, then the most frequent, each part of a leaf by one task."""
+    ordered = rows.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("given"), F.desc("class"), "lh")
+    return ordered.mapInArrow(_parse(similarity, leading), f"{_ROWS_SCHEMA}, template long")
 
 
 def _templates(lines: DataFrame, counts: DataFrame, similarity: float, leading: int, chunk_lines: int) -> DataFrame:
-    """(leaf, lh, template) of the lines that share their leaf with others."""
+    """(leaf, lh, template) of the lines that share their leaf with others.
+
+    Lines are in the order of their class (the power of two of the documents that hold them, most first) and hash.
+    A line joins the first template whose first line it is like enough. A leaf of more than ``chunk_lines`` lines
+    comes in blocks of about so many consecutive ones: a round parses what is undecided of a block, and compares all
+    undecided lines behind it, in parts of as many, with the templates that the block started. So blocks
+    decide what runs when and never what comes out, and no task has more than a block of templates and a part of lines.
+    """
     crowds = counts.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = lines.where("tokens is not null").select("leaf", "lh", "tokens").join(counts.join(crowds, "leaf"), ["leaf", "lh"])
-    distinct = met.groupBy("leaf", "lh", "n", "size").agg(F.first("tokens").alias("tokens"))
-    chunk = F.pmod("lh", F.ceil(F.col("size") / chunk_lines))
-    rows = distinct.select("leaf", chunk.alias("chunk"), "lh", (F.col("size") > chunk_lines).alias("in_chunks"), "tokens", "n")
-    ordered = rows.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", F.desc("n"), "lh").drop("n")
-    parsed = cut(ordered.mapInArrow(_parse(similarity, leading), _PARSED_SCHEMA))
-    heads = parsed.where("lh is null").select("leaf", F.lit(0).alias("chunk"), F.col("template").alias("lh"), F.lit(False).alias("in_chunks"), "tokens")
-    parsed = parsed.where("lh is not null").drop("tokens")
-    if heads.isEmpty():
-        return parsed
-    merged = heads.repartition("leaf").sortWithinPartitions("leaf", "lh").mapInArrow(_parse(similarity, leading), _PARSED_SCHEMA)
-    merged = cut(merged.select("leaf", F.col("lh").alias("template"), F.col("template").alias("whole")))
-    return parsed.join(merged, ["leaf", "template"], "left").select("leaf", "lh", F.coalesce("whole", "template").alias("template"))
+    distinct = met.groupBy("leaf", "lh", "n", "size").agg(F.first("tokens").alias("tokens")).withColumn("class", F.floor(F.log2("n")).cast("int"))
+    whole = distinct.where(F.col("size") <= chunk_lines).select("leaf", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.lit(0).cast("long").alias("block"), "class", "lh", "tokens")
+    done = _parsed(whole.withColumn("given", F.lit(False)).withColumn("starts", F.lit(True)), similarity, leading).select("leaf", "lh", "template")
+    if crowds.where(F.col("size") > chunk_lines).isEmpty():
+        return done
+    large = distinct.where(F.col("size") > chunk_lines)
+    classes = large.groupBy("leaf", "class").agg(F.count(F.lit(1)).alias("lines"))
+    above = Window.partitionBy("leaf").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.withColumn("before", F.coalesce(F.sum("lines").over(above), F.lit(0)))
+    along = F.col("lh") / 2.0**64 + 0.5
+    block = F.floor((F.col("before") + along * F.col("lines")) / chunk_lines)
+    parts = F.ceil(F.col("size") / chunk_lines).cast("int")
+    left = large.join(classes, ["leaf", "class"]).select(
+        "leaf", F.pmod(F.xxhash64("lh"), parts).cast("int").alias("part"), parts.alias("parts"), block.alias("block"), "class", "lh", "tokens"
+    )
+    left = cut(left)
+    while (now := left.agg(F.min("block")).first()[0]) is not None:
+        at = F.col("block") == now
+        first = left.where(at).withColumn("part", F.lit(0)).withColumn("given", F.lit(False)).withColumn("starts", F.lit(True))
+        first = cut(_parsed(first, similarity, leading))
+        done = done.unionByName(first.select("leaf", "lh", "template"))
+        heads = first.where("lh = template").drop("template").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rest = heads.withColumn("given", F.lit(True)).unionByName(left.where(~at).withColumn("given", F.lit(False))).withColumn("starts", F.lit(False))
+        rest = cut(_parsed(rest, similarity, leading))
+        done = done.unionByName(rest.where("template is not null").select("leaf", "lh", "template"))
+        left = rest.where("template is null").drop("template")
+    return done
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8, leading: int = LEADING, chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -221,14 +242,15 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, similarity: float = 0.8,
     of_line = named.drop("n").join(hopeful, ["leaf", "template"])
     met = cut(lines.select("doc", "key", "place", "leaf", "lh").join(of_line, ["leaf", "lh"]).select("doc", "key", "place", "leaf", "template"))
     held = met.groupBy("leaf", "template", "doc", "key").agg(F.lit(1).alias("one"))
-    often = held.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("stays"))
+    place = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "key")
+    often = held.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n_docs"), F.min(place).alias("stays"))
     # Written, so that both sides of the join below come straight from a shuffle and a template with a
     # large part of all lines can be split between tasks.
     often = cut(often.where(F.col("n_docs") >= min_docs))
     drop_cuts(docs.sparkSession, since, last=2)
     return (
         met.join(often, ["leaf", "template"])
-        .where(~F.col("doc").eqNullSafe(F.col("stays")))
+        .where(~(F.col("doc").eqNullSafe(F.col("stays.doc")) & (F.col("key") == F.col("stays.key"))))
         .select(F.col("doc").alias("doc_id"), "key", "place", F.xxhash64("leaf", "template").alias("template"), "n_docs")
     )
 
@@ -254,9 +276,8 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
     Returns doc_id, n_lines (with a token), n_dropped, kept (false if lines were dropped and none with a
     token is left) and text. A null text has no lines, is kept and comes back empty. Rows that repeat are
-    documents of their own in the counts if their doc_id or text differ. Rows with a null doc_id lose
-    their recurring lines to any row with a doc_id. No rows give no rows. Options: min_docs, similarity,
-    leading.
+    documents of their own if their doc_id or text differ. Of rows with a null doc_id one keeps a recurring line
+    that no row with a doc_id holds. No rows give no rows. Options: min_docs, similarity, leading, chunk_lines.
     """
     lines = F.filter("lines", lambda x: x.rlike(_HAS_TOKEN))
     dropped = F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long")
