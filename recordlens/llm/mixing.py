@@ -4,14 +4,15 @@ A naive Bayes classifier over hashed words and word shapes is trained on the lab
 each document a posterior over the domains. Only features that a domain has significantly more or less
 often than the labelled documents as a whole take part, if domains differ in it by EFFECT at least, so rare and weak words add no noise; and
 the evidence of n of them, above EVIDENCE, grows as the root of n, since words that come together say the same
-several times. Posteriors are given in steps of 1 / GRID. Rates r >= 0 for all documents are then fitted by projected gradient steps on
-the squared distance of the expected token totals of the domains, sum of r * tokens * posterior, from
-the targets. The steps are scaled by the tokens and by the inverse of the domains' moment matrix (of rows above 0), so a
-rate moves by its posterior times one number per domain: only these few numbers pass between the tasks
-and the driver, and a document's rate is their fold over its posterior. Documents of one posterior move alike,
-so the steps run over the tokens of each posterior that occurs. Every step is searched for its best length;
-the fit ends when the targets are met. When it hardly comes nearer they are out of reach, which is told; then only
-steps are taken that are worth the tokens they move, as the last bit of the distance would cost most documents.
+several times. Posteriors are given in steps of 1 / GRID. Rates r >= 0 for all documents are then fitted by projected
+gradient steps on the squared distance of the expected token totals of the domains, sum of r * tokens * posterior, from
+the targets. The steps are lazy: the gradients' numbers, one per domain, add up in l, and the projection is of the
+start and their sum, r = max(0, 1 - posterior . l), so a document's rate needs these few numbers only, which are all that passes
+between the tasks and the driver. A step is scaled by the inverse of the domains' moment matrix (of rows above 0)
+and searched for its best length. Of all least-squares solutions the steps lead to the one that is nearest to
+rates of 1: each stage adds ``stay`` * total / 2 * (sum of tokens * (r - 1) ** 2) to the square, with an ever smaller ``stay``, and a
+bound on the distance to the solution comes with the result. Documents of one posterior move alike, so the steps run over
+the tokens of each posterior that occurs.
 """
 
 from __future__ import annotations
@@ -38,12 +39,12 @@ EFFECT = 1.8
 EVIDENCE = 5
 #: Posteriors are multiples of 1 / GRID; sums of them are exact.
 GRID = 1024
-#: Targets are met within this part of the total. They count as out of reach when so many steps together
-#: take less than half off the distance to them. LENGTHS of a step are tried.
-CLOSE, PATIENCE = 1e-7, 5
-#: Towards targets out of reach, a step has to take this part of the tokens that it moves off the distance.
-WORTH = 0.2
-LENGTHS = [2.0**-h for h in (0, 1, 2, 3, 4, 6, 8, 10, 12)]
+#: Targets are met within this part of the total.
+CLOSE = 1e-7
+#: ``stay`` of the stages of a fit; the last one leaves targets that can be met by about itself.
+STAGES = [1e-4, 1e-6, 1e-8]
+#: Steps of a stage at most (they end by themselves before), and the lengths of a step that are tried.
+STEPS, LENGTHS = 100, [2.0**-h for h in (0, 1, 2, 3, 4, 6, 8, 10, 12)]
 #: A feature of every row: it counts how often a row is repeated.
 ROW = -1
 
@@ -127,36 +128,32 @@ def _numbers(values: list[float]) -> str:
     return "array(" + ", ".join(f"{x!r}D" for x in values) + ")"
 
 
-def _rate(moves: list[list[float]], k: int) -> Column:
-    """The rate that starts at 1 and takes the steps so far, each projected to 0 or more."""
-    if not moves:
-        return F.lit(1.0)
-    off = " + ".join(f"p[{i}] * m[{i}]" for i in range(k))
-    return F.expr(f"aggregate(array({', '.join(map(_numbers, moves))}), 1D, (r, m) -> greatest(0D, r - ({off})))")
+def _dot(numbers: list[float]) -> str:
+    """A posterior times a number per domain. The numbers stand in arrays, so the code of a plan is the same for all of them and compiled once."""
+    return f"aggregate(zip_with(p, {_numbers(numbers)}, (x, y) -> x * y), 0D, (a, x) -> a + x)"
 
 
-def fit(rows: DataFrame, weights: list[float], total: float | None = None) -> tuple[Column, dict]:
+def fit(rows: DataFrame, weights: list[float], total: float | None = None, stay: float = 0.0) -> tuple[Column, dict]:
     """The rates for ``rows`` (tokens, p) as a column, and figures of the fit.
 
     ``total``: expected tokens of the mixture; by default the domain of the largest weight is used once,
-    and the others as often as their weights ask for beside it. Targets that rates of 0 or more cannot meet
-    are approached by steps that are worth it; ``met`` tells.
+    and the others as often as their weights ask for beside it. ``stay``: 0 for least squares; above, rates leave
+    1 only for what is worth it: a document goes when its posterior times the domains' excess, in parts of
+    the total, is ``stay``. ``met`` tells whether the targets are met, ``bound`` is a number of tokens that the totals are
+    at most away from the least-squares ones: with the excess g at the totals y, the root of
+    g . y + |targets| * sqrt(domains) * max(0, -min(p . g)), which is 0 at the solution only.
     """
     k = len(weights)
     share = [w / sum(weights) for w in weights]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     cells = cut(rows.groupBy("p").agg(F.sum("tokens").alias("tokens")))
 
-    def state(moves: list[list[float]], step: list[float], lengths: list[float]) -> list[tuple[list[float], list[list[float]], float]]:
-        """After each length of a step: the domains' tokens, the moments of the rows whose rate is over 0, and the tokens moved.
-
-        The numbers of a step stand in arrays, so the plan's code is the same for every step and compiled once.
-        """
-        along = f"aggregate(zip_with(p, {_numbers(step)}, (x, y) -> x * y), 0D, (a, x) -> a + x)"
-        tried = f"posexplode(transform({_numbers(lengths)}, h -> greatest(0D, was - h * {along}))) AS (h, r)"
-        at = cells.withColumn("was", _rate(moves, k)).selectExpr("tokens", "p", "was", tried)
-        names = {f"m{i}": f"tokens * r * p[{i}]" for i in range(k)} | {f"q{i}_{j}": f"CASE WHEN r > 0 THEN tokens * p[{i}] * p[{j}] END" for i, j in pairs} | {"moved": "tokens * abs(r - was)"}
-        got = {row["h"]: row for row in at.groupBy("h").agg(*(F.expr(f"sum({x}) AS {n}") for n, x in names.items())).collect()}
+    def state(at: list[float], step: list[float], lengths: list[float]) -> list[tuple[list[float], list[list[float]], float]]:
+        """After each length of a step: the domains' tokens, the moments of the rows whose rate is over 0, and half the tokens by squared rate."""
+        tried = f"posexplode(transform({_numbers(lengths)}, h -> greatest(0D, 1D - here + h * along))) AS (h, r)"
+        moved = cells.selectExpr("tokens", "p", f"{_dot(at)} AS here", f"{_dot(step)} AS along").selectExpr("tokens", "p", tried)
+        names = {f"m{i}": f"tokens * r * p[{i}]" for i in range(k)} | {f"q{i}_{j}": f"CASE WHEN r > 0 THEN tokens * p[{i}] * p[{j}] END" for i, j in pairs} | {"half": "tokens * r * r / 2"}
+        got = {row["h"]: row for row in moved.groupBy("h").agg(*(F.expr(f"sum({x}) AS {n}") for n, x in names.items())).collect()}
         out = []
         for h in range(len(lengths)):
             own = [float((got[h][n] if h in got else None) or 0.0) for n in names]
@@ -166,40 +163,38 @@ def fit(rows: DataFrame, weights: list[float], total: float | None = None) -> tu
             out.append((own[:k], matrix, own[-1]))
         return out
 
-    ((have, whole, _),) = state([], [0.0] * k, [0.0])
+    l = [0.0] * k  # noqa: E741
+    (now,) = state(l, l, [0.0])
+    have = now[0]
     if total is None:
         largest = max(range(k), key=lambda i: share[i])
         total = have[largest] / share[largest]
     targets = [s * total for s in share]
-    close = CLOSE * max(total, 1.0)
-
-    def descend(worth: float) -> tuple[list[list[float]], list[float]]:
-        """The steps taken and the domains' tokens after them; a step takes ``worth`` of the tokens it moves off the distance."""
-        moves: list[list[float]] = []
-        now, matrix = have, whole
-        history = [math.dist(now, targets)]
-        while history[-1] > close:
-            if not worth and len(history) > PATIENCE and history[-1] > 0.5 * history[-1 - PATIENCE]:
+    size, steps, bound = max(total, 1.0), 0, 0.0
+    for stiff in [stay] if stay else STAGES:
+        ease = stiff * size
+        # What the steps make smallest; its gradient is 0 where the rates are those of the stage.
+        value = lambda at, half, ease=ease: ease / 2 * sum(x * x for x in at) + sum(x * t for x, t in zip(at, targets, strict=True)) + half
+        for _ in range(STEPS):
+            gradient = [ease * x + t - n for x, t, n in zip(l, targets, now[0], strict=True)]
+            if math.hypot(*gradient) <= 1e-9 * size:
                 break
-            # Rows at 0 do not answer a step, so it is scaled by the others.
-            step = _solve(matrix, [n - t for n, t in zip(now, targets, strict=True)])
-            tried = state(moves, step, LENGTHS)
-            gain = [history[-1] - math.dist(t[0], targets) for t in tried]
-            fine = [h for h, t in enumerate(tried) if gain[h] > 0 and gain[h] >= worth * t[2]]
-            if not fine:
+            step = _solve([[x + ease * (i == j) for j, x in enumerate(row)] for i, row in enumerate(now[1])], gradient)
+            tried = state(l, step, LENGTHS)
+            places = [[x - h * y for x, y in zip(l, step, strict=True)] for h in LENGTHS]
+            values = [value(at, t[2]) for at, t in zip(places, tried, strict=True)]
+            best = min(range(len(LENGTHS)), key=values.__getitem__)
+            if values[best] >= value(l, now[2]):
                 break
-            best = max(fine, key=gain.__getitem__)
-            moves.append([x * LENGTHS[best] for x in step])
-            now, matrix, _ = tried[best]
-            history.append(math.dist(now, targets))
-        return moves, now
-
-    moves, now = descend(0.0)
-    if math.dist(now, targets) > close:
-        moves, now = descend(WORTH)
-    met = math.dist(now, targets) <= close
-    figures = {"have": have, "targets": targets, "reached": now, "steps": len(moves), "met": met}
-    return _rate(moves, k), figures
+            l, now, steps = places[best], tried[best], steps + 1  # noqa: E741
+        excess = [n - t for n, t in zip(now[0], targets, strict=True)]
+        least = cells.where("tokens > 0").agg(F.expr(f"min({_dot(excess)})")).first()[0] or 0.0
+        bound = math.sqrt(max(0.0, sum(g * n for g, n in zip(excess, now[0], strict=True)) + math.hypot(*targets) * math.sqrt(k) * max(0.0, -least)))
+        distance = math.hypot(*excess)
+        if distance <= CLOSE * size:
+            break
+    figures = {"have": have, "targets": targets, "reached": now[0], "steps": steps, "met": distance <= CLOSE * size, "bound": bound}
+    return F.greatest(F.lit(0.0), 1.0 - F.expr(_dot(l))), figures
 
 
 def _tell_miss(domains: list[str], figures: dict) -> None:
@@ -210,39 +205,42 @@ def _tell_miss(domains: list[str], figures: dict) -> None:
 
 
 def rates(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, max_labelled: int = MAX_LABELLED
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, max_labelled: int = MAX_LABELLED, stay: float = 0.0
 ) -> DataFrame:
     """The rate of every row of ``docs`` (doc_id, text; others are ignored) in the mixture.
 
     ``labelled``: (doc_id, domain); rows without either, or of other domains, are ignored. ``weights``:
     the wanted share of the expected tokens of each domain. Returns doc_id, tokens (words), p_<domain>,
     rate, copies (the rate rounded up or down by a hash of the row, so that copies average to it) and, alike in
-    all rows, target_<domain> and reached_<domain> (the expected tokens wanted and got) and targets_met. A null
+    all rows, target_<domain> and reached_<domain> (the expected tokens wanted and got), targets_met and fit_bound (how
+    many tokens the totals are at most away from the least-squares ones; see ``fit`` for it and for ``stay``). A null
     or empty text has no tokens and the posterior of the priors. Rows come back as often as they come in,
     null doc_ids too. Without labels all domains are equally likely. No rows give no rows. Targets that are
     out of reach are also told as a warning.
     """
-    return _rates(docs, labelled, weights, total, max_labelled).drop("th")
+    return _rates(docs, labelled, weights, total, max_labelled, stay).drop("th")
 
 
-def _rates(docs, labelled, weights, total, max_labelled):
+def _rates(docs, labelled, weights, total, max_labelled, stay):
     domains = list(weights)
     model, priors = train(docs, labelled, domains, max_labelled)
     rows = cut(posteriors(docs, model, priors))
-    rate, figures = fit(rows, list(weights.values()), total)
+    rate, figures = fit(rows, list(weights.values()), total, stay)
     _tell_miss(domains, figures)
     chance = F.pmod(F.xxhash64("doc_id", "th", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     return rows.withColumn("rate", rate).select(
         "doc_id", "th", "tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), "rate",
         F.floor(F.col("rate") + chance).cast("int").alias("copies"),
         *(F.lit(x).alias(f"{name}_{d}") for name, figure in (("target", "targets"), ("reached", "reached")) for d, x in zip(domains, figures[figure], strict=True)),
-        F.lit(figures["met"]).alias("targets_met"),
+        F.lit(figures["met"]).alias("targets_met"), F.lit(figures["bound"]).alias("fit_bound"),
     )
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def mix(
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, max_labelled: int = MAX_LABELLED, stay: float = 0.0
+) -> DataFrame:
     """``docs`` with each row as often as its copies say, 0 times included; all columns of ``docs`` and no others."""
-    some = _rates(docs, labelled, weights, total, max_labelled)
+    some = _rates(docs, labelled, weights, total, max_labelled, stay)
     some = some.groupBy("doc_id", "th").agg(F.first("copies").alias("__copies")).where("__copies > 0")
     some = some.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "__copies")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -254,6 +252,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
 
 #: The registered mixture: domains by the labelled table, and their shares of the tokens.
 WEIGHTS = {"good": 0.97, "plain": 0.03, "toxic": 0.0}
+#: ``stay`` of the pipeline: no document goes for an excess below the smallest share that is wanted at all. Least squares
+#: would repeat the few documents without any toxic posterior and drop most of the rest, clean ones with them.
+STAY = min(w for w in WEIGHTS.values() if w)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

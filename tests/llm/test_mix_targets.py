@@ -91,17 +91,55 @@ def test_posteriors_and_rates_match_plain_python(spark):
     want = model_posteriors(features, labelled, domains)
     for i, p in want.items():
         assert all(abs(got[i][f"p_{d}"] - x) <= 1 / mixing.GRID for d, x in zip(domains, p, strict=True))
-    # The same projected steps from the posteriors that were returned.
+    # The least-squares solution nearest to rates of 1 from the posteriors that were returned: met, in the form of its conditions.
     p = np.array([[got[i][f"p_{d}"] for d in domains] for i in sorted(got)])
     tokens = np.array([got[i]["tokens"] for i in sorted(got)], float)
     share = np.array(list(weights.values()))
     target = share * (p.T @ tokens)[0] / share[0]
-    r = np.ones(len(p))
-    while np.linalg.norm(p.T @ (tokens * r) - target) > mixing.CLOSE * target.sum():
-        free = r > 0
-        step = np.linalg.solve((p[free] * tokens[free, None]).T @ p[free], p.T @ (tokens * r) - target)
-        r = min((np.maximum(0, r - (p @ step) * h) for h in mixing.LENGTHS), key=lambda x: np.linalg.norm(p.T @ (tokens * x) - target))
-    assert np.allclose(r, [got[i]["rate"] for i in sorted(got)], atol=1e-6)
+    r = np.array([got[i]["rate"] for i in sorted(got)])
+    assert np.linalg.norm(p.T @ (tokens * r) - target) <= mixing.CLOSE * target.sum()
+    free = r > 1e-9
+    l = np.linalg.lstsq(p[free], 1 - r[free], rcond=None)[0]  # noqa: E741
+    assert np.allclose(r, np.maximum(0, 1 - p @ l), atol=1e-6)
+
+
+def plain_solution(p, tokens, target, steps=200_000):
+    """The totals of least squares by accelerated projected gradient steps on the rates themselves."""
+    import numpy as np
+
+    a = (p * tokens[:, None]).T
+    r = v = np.ones(len(p))
+    bound, t = np.linalg.norm(a, 2) ** 2, 1.0
+    for _ in range(steps):
+        new = np.maximum(0, v - a.T @ (a @ v - target) / bound)
+        if (v - new) @ (new - r) > 0:
+            t = 1.0
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        r, v, t = new, new + (t - 1) / after * (new - r), after
+    return a @ r
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fit_is_least_squares(spark, seed):
+    """Targets in and out of reach: the totals are as near as a plain solver's, and no further from it than the bound says."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    p = np.round(rng.dirichlet([2.0, 1.0, 0.7], 60) * mixing.GRID) / mixing.GRID
+    p[:, 0] = 1 - p[:, 1] - p[:, 2]
+    tokens = rng.integers(1, 500, 60).astype(float)
+    rows = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    for weights in ([0.97, 0.03, 0.0], [0.05, 0.05, 0.9], [0.5, 0.3, 0.2]):
+        rate, figures = mixing.fit(rows, weights)
+        got = rows.select("tokens", "p", rate.alias("r")).collect()
+        totals = sum(np.array(x["p"]) * x["tokens"] * x["r"] for x in got)
+        assert np.allclose(totals, figures["reached"]) and min(x["r"] for x in got) >= 0
+        target = np.array(figures["targets"])
+        best = plain_solution(p, tokens, target, 20_000)
+        assert np.linalg.norm(totals - target) <= np.linalg.norm(best - target) + 1e-3 * target.sum()
+        assert np.linalg.norm(totals - best) <= figures["bound"] + 1e-3 * target.sum()
+        loose = mixing.fit(rows, weights, stay=0.03)[1]
+        assert np.linalg.norm(np.array(loose["reached"]) - target) >= np.linalg.norm(best - target) - 1e-3 * target.sum()
 
 
 def test_long_texts_and_clashing_names(corpus, spark):

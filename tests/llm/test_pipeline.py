@@ -67,7 +67,7 @@ def test_stages_match_plain_python(spark, sf_dir):
     before = docs.collect()
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        some = mixing.rates(docs, mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), mixing.WEIGHTS).collect()
+        some = mixing.rates(docs, mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), mixing.WEIGHTS, stay=mixing.STAY).collect()
         docs = cut(corpus_pipeline.target_mix(spark, docs, sf_dir))
     times = defaultdict(int)
     for r in docs.collect():
