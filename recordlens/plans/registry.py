@@ -242,9 +242,10 @@ def integrity_publications(t):
 
 
 def _edges(t) -> DataFrame:
-    k = F.col("ps")
-    rows = t("part").select(F.col("p_partkey").alias("ps")).unionByName(t("part").where("p_partkey % 9 = 0").select((F.col("p_partkey") + 1_000_000).alias("ps")))
-    pub = k % 1_000_000
+    k, pub = F.col("k"), F.col("pub")
+    # The publication travels beside the key: it can't be had back from a key where parts are numbered beyond a million.
+    rows = t("part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").alias("pub"))
+    rows = rows.unionByName(t("part").where("p_partkey % 9 = 0").select((F.col("p_partkey") + 1_000_000).alias("k"), F.col("p_partkey").alias("pub")))
     source = F.when(pub % 33 == 0, _text("topic:", pub % 5)).when(pub % 21 == 0, "project:none").otherwise(_text("project:", pub % 25))
     verb = F.when(pub % 28 == 0, "likes").when(pub % 6 == 0, "studies").otherwise("publishes")
     return _records(rows, "relationships/graph.json", "edges", k, "relationship", id=_text("rel:", k), source=source, relationship=verb, target=F.when(pub % 35 == 0, "publication:none").otherwise(_text("publication:", pub)), source_refs=_refs(F.lit("src:1")))

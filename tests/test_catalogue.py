@@ -43,3 +43,16 @@ def test_query_matches_its_sql(spark, con, name):
 
 def test_every_query_has_its_sql():
     assert set(RUN) == set(SQL)
+
+
+def test_graph_of_parts_numbered_beyond_a_million(spark, tmp_path):
+    """A part's key beyond a million is not taken for the repeat of a smaller one."""
+    held = duckdb.connect()
+    for name, sql in {
+        "nation": "SELECT i::INT AS n_nationkey FROM range(25) r(i)", "region": "SELECT i::INT AS r_regionkey FROM range(5) r(i)", "supplier": "SELECT i + 1 AS s_suppkey FROM range(20) r(i)",
+        "part": "SELECT i + 1 AS p_partkey FROM range(40) r(i) UNION ALL SELECT i + 1000001 FROM range(80) r(i)",
+    }.items():
+        held.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        held.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = sorted((r["code"], r["path"]) for r in RUN["integrity_graph"](spark, str(tmp_path)).collect())
+    assert got == sorted(held.execute(f"SELECT code, path FROM ({SQL['integrity_graph']})").fetchall())
