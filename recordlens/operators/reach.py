@@ -106,7 +106,7 @@ class Reach:
     """What every node of ``edges`` (src, dst) leads to, written once and shared by all seeds that are asked for.
 
     As large as the components' sets, at a bit a component and bucket of BITS, compressed where they are written; nodes of
-    one cycle have one set.
+    one cycle have one set. Components that nothing leads to have none: theirs are their successors' sets, and no other set needs them.
     """
 
     def __init__(self, edges: DataFrame):
@@ -115,12 +115,18 @@ class Reach:
         of = self.nodes.join(self.numbers, "component").select("id", "n")
         ends = edges.select("src", "dst").join(of.select(F.col("id").alias("src"), F.col("n").alias("s")), "src").join(of.select(F.col("id").alias("dst"), F.col("n").alias("d")), "dst")
         links = written(ends.where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct())
-        self.of, self.sets = written(of), _bitmaps(links, self.numbers.select("n"))
+        led = links.select(F.col("dst").alias("n")).distinct()
+        self.of, self.links = written(of), links
+        self.sets = _bitmaps(links.join(led, F.col("src") == F.col("n"), "left_semi"), led)
 
     def of_seeds(self, seeds: DataFrame) -> DataFrame:
         """(seed, id): each seed of ``seeds`` (id) with all that it leads to; a seed without edges has itself."""
         asked = seeds.where("id is not null").select(F.col("id").alias("seed")).distinct()
         placed = asked.join(self.of.withColumnRenamed("id", "seed"), "seed")
-        held = self.sets.join(placed.select("n").distinct(), "n", "left_semi").mapInArrow(_members, "n long, held long")
-        reached = placed.join(held, "n").select("seed", F.col("held").alias("n")).join(self.of, "n").select("seed", "id")
+        # Seeds by the set that they have, or those of their successors, and by their own component.
+        roots = placed.join(self.sets.select("n").distinct(), "n", "left_anti")
+        sets = placed.join(roots, ["seed", "n"], "left_anti").unionByName(roots.join(self.links, F.col("n") == F.col("src")).select("seed", F.col("dst").alias("n")))
+        held = self.sets.join(sets.select("n").distinct(), "n", "left_semi").mapInArrow(_members, "n long, held long")
+        reached = sets.join(held, "n").select("seed", F.col("held").alias("n")).unionByName(roots.select("seed", "n"))
+        reached = reached.join(self.of, "n").select("seed", "id")
         return reached.unionByName(asked.select("seed", F.col("seed").alias("id"))).distinct()

@@ -38,3 +38,12 @@ def test_no_edges_and_texts(spark):
     assert reach.Reach(none).of_seeds(spark.createDataFrame([("a",)], "id string")).collect() == [("a", "a")]
     some = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
     assert sorted(map(tuple, reach.Reach(some).of_seeds(spark.createDataFrame([("a",)], "id string")).collect())) == [("a", "a"), ("a", "b"), ("a", "c")]
+
+
+def test_nodes_that_nothing_leads_to_have_no_set(spark):
+    """Many leaves above a few shared nodes: the shared ones alone are bitmaps, and the leaves reach the same."""
+    edges = [(f"c{i}", f"n{i % 3}") for i in range(60)] + [("n0", "r"), ("n1", "n2"), ("n2", "n1")]
+    of = reach.Reach(spark.createDataFrame(edges, "src string, dst string"))
+    assert of.sets.select("n").distinct().count() == 3  # n0, r and the cycle
+    got = sorted(map(tuple, of.of_seeds(spark.createDataFrame([("c0",), ("c1",), ("n0",), ("x",)], "id string")).collect()))
+    assert got == [("c0", "c0"), ("c0", "n0"), ("c0", "r"), ("c1", "c1"), ("c1", "n1"), ("c1", "n2"), ("n0", "n0"), ("n0", "r"), ("x", "x")]
