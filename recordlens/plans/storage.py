@@ -26,8 +26,8 @@ def _place(rows: DataFrame) -> str:
 def jsonl_roundtrip(t):
     rows = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     at = _place(rows)
-    files.write_jsonl(rows, at, ["k"])
-    return files.jsonl_objects(rows.sparkSession, at, "k long, name string", "k").select(F.col("line").cast("long").alias("line"), "k", "name")
+    files.write_jsonl(rows, at, ["k"], parts=True)
+    return files.jsonl_objects(rows.sparkSession, at, "k long, name string", "k", parts=True).select(F.col("line").cast("long").alias("line"), "k", "name")
 
 
 @QUERIES.add(
@@ -39,8 +39,8 @@ def jsonl_lines(t):
     k = F.col("o_orderkey")
     line = F.when(k % 3 == 0, F.lit("  ")).when(k % 3 == 1, F.format_string('{"order": %d}', k)).otherwise(F.format_string("[%d]", k))
     at = _place(t("orders"))
-    files.write_text(t("orders"), at, ["o_orderkey"], line)
-    return files.read_jsonl(t("orders").sparkSession, at).select("line", "is_object")
+    files.write_parts(t("orders"), at, ["o_orderkey"], line)
+    return files.read_jsonl(t("orders").sparkSession, at, parts=True).select("line", "is_object")
 
 
 @QUERIES.add("json_document", "SELECT n_nationkey AS ordinal, 'records' AS collection, n_name AS name FROM nation UNION ALL SELECT r_regionkey, 'nodes', r_name FROM region")

@@ -33,16 +33,18 @@ def read_document(spark: SparkSession, path: str):
         raise SourceInvalid(f"{path}: {e}") from e
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """(line, value, is_object): lines of each file by number, blank ones left out; is_object is false for anything but an object.
 
     Files are read in splits. A line's number is its place in the split and how many lines the splits before it have,
-    so only a count a split is brought together.
+    so only a count a split is brought together. With ``parts``, the files are the parts of one text, as ``write_parts`` leaves them,
+    and the numbers run on over them.
     """
     placed = F.monotonically_increasing_id().alias("place")
     rows = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), placed)
     splits = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    by = Window.orderBy(F.length("file"), "file", "start") if parts else Window.partitionBy("file").orderBy("start")
+    earlier = by.rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
     value = F.trim("value")
     parsed = F.try_parse_json(value)
@@ -50,9 +52,9 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.col("place") + F.col("shift")).alias("line"), value.alias("value"), (parsed.isNotNull() & value.startswith("{")).alias("is_object"))
 
 
-def jsonl_objects(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
+def jsonl_objects(spark: SparkSession, path: str, schema: str, key: str | None = None, parts: bool = False) -> DataFrame:
     """The objects of a JSONL file by a schema; refuses other lines and, if a key is named, repeated ones."""
-    lines = read_jsonl(spark, path)
+    lines = read_jsonl(spark, path, parts)
     bad = lines.where("not is_object").agg(F.min("line")).first()[0]
     if bad is not None:
         raise SourceInvalid(f"{path}: line {bad} is not an object")
@@ -166,11 +168,19 @@ def write_text(rows: DataFrame, path: str, order: list[str], line: Column) -> No
     rows.orderBy(*order).select(line.alias("value")).coalesce(1).write.mode("errorifexists").text(path)
 
 
-def write_jsonl(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """Canonical JSON lines; in one ordered file only if an order is asked for."""
+def write_parts(rows: DataFrame, path: str, order: list[str], line: Column) -> None:
+    """The lines in order as one text in many files, whose names are in the order of their parts.
+
+    Each task sorts and writes a range of its own, so no task holds or sees the whole.
+    """
+    rows.select(*(F.col(c).alias(f"at{i}") for i, c in enumerate(order)), line.alias("value")).orderBy(*(f"at{i}" for i in range(len(order)))).select("value").write.mode("errorifexists").text(path)
+
+
+def write_jsonl(rows: DataFrame, path: str, order: list[str] | None = None, parts: bool = False) -> None:
+    """Canonical JSON lines; in one ordered file only if an order is asked for, or in ordered ``parts``."""
     value = canonical_json(F.to_json(F.struct(*rows.columns))).alias("value")
     if order:
-        write_text(rows, path, order, value)
+        (write_parts if parts else write_text)(rows, path, order, value)
     else:
         rows.select(value).write.mode("errorifexists").text(path)
 

@@ -122,3 +122,19 @@ def test_streaming(spark, tmp_path):
     assert [(r["kind"], r["n"]) for r in spark.table("counts").collect()] == [("a", 3)]
     run(order.distinct_events(order.read_events(spark, str(tmp_path / "in"), schema), "ts", "id"), "once")
     assert sorted(r["id"] for r in spark.table("once").collect()) == [1, 2, 3]
+
+
+def test_lines_in_ordered_parts(spark, tmp_path):
+    """Tasks write ranges of their own, and numbers run on over the parts; one file stays one file."""
+    rows = spark.range(5000).select(((F.col("id") * 37) % 5000).alias("k")).repartition(6)
+    line = F.when(F.col("k") % 5 == 0, " ").otherwise(F.format_string('{"k": %d}', "k"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_parts(rows, str(tmp_path / "parts"), ["k"], line)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(list((tmp_path / "parts").glob("part-*"))) == 4
+    got = files.read_jsonl(spark, str(tmp_path / "parts"), parts=True).collect()
+    assert sorted((r["line"], r["value"]) for r in got) == sorted((k + 1, f'{{"k": {k}}}') for k in range(5000) if k % 5)
+    assert files.jsonl_objects(spark, str(tmp_path / "parts"), "k long", "k", parts=True).where("line = k + 1").count() == 4000
