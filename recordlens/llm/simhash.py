@@ -211,6 +211,12 @@ def _grouped(docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, Da
     return marked, rooted.select("fp", "root", "fp_rows").join(names, "root")
 
 
+def linked(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, hash, root): each row's id, the hash of its text and the fingerprint that names its component."""
+    marked, named = _grouped(docs, width, threshold)
+    return marked.join(named, "fp").select("doc_id", F.col("th").alias("hash"), "root").distinct()
+
+
 def simhash_components(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text; other columns are ignored).
 
