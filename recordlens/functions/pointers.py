@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlens.functions.hashing import canonical
+from recordlens.functions.parallel import slices
 
 _FOUND = "value string, error string"
 
@@ -137,27 +139,47 @@ def sort_by_pointer(rows: DataFrame, payload: str, pointer: str, ordinal: str) -
     return keyed.orderBy(F.col("__k.number"), F.col("__k.text"), ordinal).drop("__k")
 
 
-def leaves(payload: Column | str) -> Column:
-    """(path, text, is_key) of every key and every text in a JSON text; paths name places but not the keys below them."""
+def _walk(value, at: str):
+    if isinstance(value, dict):
+        for i, (k, v) in enumerate(value.items()):
+            yield f"{at}/@{i}", k, True
+            yield from _walk(v, f"{at}/@{i}")
+    elif isinstance(value, list):
+        for i, x in enumerate(value):
+            yield from _walk(x, f"{at}/{i}")
+    elif isinstance(value, str):
+        yield at, value, False
 
-    def walk(value, at: str, out: list) -> None:
-        if isinstance(value, dict):
-            for i, (k, v) in enumerate(value.items()):
-                out.append((f"{at}/@{i}", k, True))
-                walk(v, f"{at}/@{i}", out)
-        elif isinstance(value, list):
-            for i, x in enumerate(value):
-                walk(x, f"{at}/{i}", out)
-        elif isinstance(value, str):
-            out.append((at, value, False))
 
-    def one(s):
-        out: list = []
-        if s is not None:
-            walk(json.loads(s), "", out)
-        return [{"path": p, "text": t, "is_key": k} for p, t, k in out]
+#: Characters of leaves that are put out at a time; a single text may be longer.
+LEAVES = 4 << 20
+
+
+def _leaves(batches):
+    names = ["key", "path", "text", "is_key"]
+    for b in slices(batches, 64):
+        nth, found, size = [], [], 0
+        for i, s in enumerate(b.column(1)):
+            for leaf in _walk(json.loads(s.as_py()), "") if s.is_valid else ():
+                nth.append(i)
+                found.append(leaf)
+                size += len(leaf[0]) + len(leaf[1])
+                if size > LEAVES:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(nth)), *_columns(found)], names)
+                    nth, found, size = [], [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(nth)), *_columns(found)], names)
+
+
+def _columns(found: list) -> list[pa.Array]:
+    path, text, is_key = zip(*found, strict=True)
+    return [pa.array(path, pa.string()), pa.array(text, pa.string()), pa.array(is_key, pa.bool_())]
+
 
-    def run(payload: pd.Series) -> pd.Series:
-        return payload.map(one)
+def leaves(rows: DataFrame, key: str, payload: Column) -> DataFrame:
+    """(key, path, text, is_key) of every key and every text in a JSON text; paths name places but not the keys below them.
 
-    return F.pandas_udf(run, "array<struct<path:string,text:string,is_key:boolean>>")(payload)
+    A Python worker holds a few texts' leaves at a time, however many rows Spark hands it at once.
+    """
+    picked = rows.select(F.col(key).alias("key"), payload.alias("payload"))
+    return picked.mapInArrow(_leaves, f"key {picked.schema['key'].dataType.simpleString()}, path string, text string, is_key boolean")

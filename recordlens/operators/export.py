@@ -131,15 +131,14 @@ def scan_payload(rows: DataFrame, key: str, payload: Column, policy: DenyPolicy,
 
     kind: secret, private_reference (only if ``private``) or forbidden_field. What matches is not returned, nor are the keys.
     """
-    found = rows.select(F.col(key).alias("__key"), F.explode(leaves(payload)).alias("x"))
-    text = F.col("x.text")
+    found, text = leaves(rows, key, payload), F.col("text")
     hit = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("detector"))
-    hits = [F.when(F.col("x.is_key") & F.lower(text).isin(*policy.field_names), hit("forbidden_field", "forbidden_field_names"))]
+    hits = [F.when(F.col("is_key") & F.lower(text).isin(*policy.field_names), hit("forbidden_field", "forbidden_field_names"))]
     hits += [F.when(text.rlike(p), hit("secret", n)) for n, p in policy.secrets.items()]
     if private:
         hits += [F.when(text.rlike(p), hit("private_reference", n)) for n, p in policy.private_references.items()]
-    held = found.select("__key", "x.path", F.explode(F.array_compact(F.array(*hits))).alias("h"))
-    return held.select(F.col("__key").alias(key), "path", "h.kind", "h.detector")
+    held = found.select("key", "path", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+    return held.select(F.col("key").alias(key), "path", "h.kind", "h.detector")
 
 
 def forbidden_path(path: Column, policy: DenyPolicy) -> Column:
