@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.functions.parallel import spread
+from recordlens.functions.parallel import slices, spread
 from recordlens.functions.text import JOINED, normal_text
 
 DIMENSION = 256
@@ -85,39 +85,26 @@ def ratio(part: Column, whole: Column, places: int = 6) -> Column:
     return F.when(whole != 0, F.bround(part.cast("double") / whole, places))
 
 
-class Buckets(dict):
-    """The signed place of a feature, from 1 on: the digest of a unigram (a token) or a bigram (two tokens)."""
-
-    #: Features that a worker remembers; all are forgotten when there are more.
-    LIMIT = 1_000_000
-
-    def __missing__(self, feature) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        text = f"u\0{feature}" if isinstance(feature, str) else f"b\0{feature[0]}\0{feature[1]}"
-        digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
-        place = int.from_bytes(digest[:4], "little") % DIMENSION + 1
-        value = self[feature] = place if digest[4] & 1 else -place
-        return value
-
-
-def feature_counts(text: str, known: Buckets) -> tuple[np.ndarray, np.ndarray]:
+def feature_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The sums of a text's signed weights by bucket (a unigram weighs one, a bigram a half), and which were touched.
 
-    Equal features are counted before they are hashed.
+    Equal features are counted before they are hashed. No feature is remembered from text to text: most bigrams never come
+    again, and a memory of them costs more than their digests.
     """
     tokens = JOINED.findall(normal_text(text))
-    held = Counter(tokens)
-    held.update(zip(tokens, tokens[1:], strict=False))
-    places = np.fromiter(map(known.__getitem__, held), np.int64, len(held))
-    weights = np.fromiter((n if isinstance(f, str) else n / 2 for f, n in held.items()), np.float64, len(held))
-    at = np.abs(places) - 1
-    return np.bincount(at, np.sign(places) * weights, DIMENSION), np.bincount(at, minlength=DIMENSION) > 0
+    words, pairs, sha = Counter(tokens), Counter(zip(tokens, tokens[1:], strict=False)), hashlib.sha256
+    data = {w: w.encode("utf-8", "surrogatepass") for w in words}
+    digests = [sha(b"u\0" + d).digest()[:5] for d in data.values()]
+    digests += [sha(b"b\0" + data[a] + b"\0" + data[b]).digest()[:5] for a, b in pairs]
+    held = np.frombuffer(b"".join(digests), np.dtype([("place", "<u4"), ("sign", "u1")]))
+    at = (held["place"] % DIMENSION).astype(np.int64)
+    weights = np.concatenate([np.fromiter(words.values(), np.float64, len(words)), np.fromiter(pairs.values(), np.float64, len(pairs)) / 2])
+    return np.bincount(at, np.where(held["sign"] & 1, weights, -weights), DIMENSION), np.bincount(at, minlength=DIMENSION) > 0
 
 
-def embedding(text: str, known: Buckets) -> np.ndarray:
+def embedding(text: str) -> np.ndarray:
     """The embedding of a text, of length one, or zero for a text without tokens."""
-    sums, _ = feature_counts(text, known)
+    sums, _ = feature_counts(text)
     norm = math.sqrt(float(sums @ sums))
     return sums / norm if norm else sums
 
@@ -126,11 +113,10 @@ def _sparse(rows: DataFrame, key: str, text: str, normed: bool) -> DataFrame:
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
-        known = Buckets()
-        for b in batches:
+        for b in slices(batches):
             nth, dims, values = [], [], []
             for i, t in enumerate(b.column(1)):
-                sums, touched = feature_counts(t.as_py() or "", known)
+                sums, touched = feature_counts(t.as_py() or "")
                 norm = math.sqrt(float(sums @ sums))
                 if normed and not norm:
                     continue

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.functions.hashing import DIMENSION, Buckets, embedding
-from recordlens.functions.parallel import spread
+from recordlens.functions.hashing import DIMENSION, embedding
+from recordlens.functions.parallel import slices, spread
 
 #: Token budgets that retrieved contexts are compared with.
 BUDGETS = {"MICRO": 8192, "STANDARD": 24576, "FULL": 131072}
@@ -22,15 +22,14 @@ def text_topk(rows: DataFrame, key: str, text: str, query: str, k: int = 5) -> D
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    asked = embedding(query, Buckets())
+    asked = embedding(query)
     if not asked.any():
         raise ValueError("the query has no tokens")
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
-        known = Buckets()
-        for b in batches:
-            vectors = np.array([embedding(t.as_py() or "", known) for t in b.column(1)]).reshape(-1, DIMENSION)
+        for b in slices(batches):
+            vectors = np.array([embedding(t.as_py() or "") for t in b.column(1)]).reshape(-1, DIMENSION)
             scores = (vectors.astype("<f2").astype(np.float64) * asked).sum(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores)], [key, "score"])
 

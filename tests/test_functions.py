@@ -128,3 +128,35 @@ def test_ordered_hash_ignores_the_order_of_rows(spark):
     for some in (rows, rows[::-1]):
         df = spark.createDataFrame(some, "k string, v string")
         assert hashing.ordered_hash(df, ["k"], F.concat("k", F.lit("="), "v", F.lit(";"))).first()[0] == want
+
+
+def test_features_of_many_texts_are_not_remembered():
+    """What a worker holds does not grow with the texts it has seen."""
+    import tracemalloc
+
+    from recordlens.functions.hashing import feature_counts
+
+    tracemalloc.start()
+    for i in range(200):
+        feature_counts(" ".join(f"w{i}x{j}" for j in range(300)))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 2 << 20
+
+
+def test_leaves_come_in_bounded_batches(monkeypatch):
+    """One batch of Spark with many texts is many small ones: the leaves are all there and in order."""
+    import json
+
+    import pyarrow as pa
+
+    from recordlens.functions import pointers
+
+    monkeypatch.setattr(pointers, "LEAVES", 100)
+    payloads = [json.dumps({"a": "x" * 20, "b": [i, "y", {"c": "z"}]}) for i in range(300)] + [None, '"t"']
+    batch = pa.RecordBatch.from_arrays([pa.array(range(302)), pa.array(payloads)], ["key", "payload"])
+    out = list(pointers._leaves([batch]))
+    assert max(b.num_rows for b in out) < 30
+    one = [("/@0", "a", True), ("/@0", "x" * 20, False), ("/@1", "b", True), ("/@1/1", "y", False), ("/@1/2/@0", "c", True), ("/@1/2/@0", "z", False)]
+    got = [(r["key"], r["path"], r["text"], r["is_key"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, *leaf) for i in range(300) for leaf in one] + [(301, "", "t", False)]
