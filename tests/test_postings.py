@@ -71,3 +71,25 @@ def test_few_records_are_scored(spark):
     (row,) = postings.scored_report(q, r, 5).collect()
     assert row.sharing == 405 and row.scored == 5
     assert [x.record_id for x in postings.lexical_topk(q, r, 5).orderBy("rank").collect()] == [1000 + i for i in range(5)]
+
+
+def test_bound_does_not_depend_on_the_smallest_ids(spark):
+    """Records that share most come late and have no rare words: the bound still finds them, so few of the others are scored."""
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(10)]
+    records = [(i, " ".join(rng.sample(words, 3))) for i in range(3000)] + [(5000 + i, " ".join(words[::-1])) for i in range(200)]
+    query = " ".join(words)
+    q, r = spark.createDataFrame([(1, query)], "query_id int, query string"), spark.createDataFrame(records, "record_id int, body string")
+    (row,) = postings.scored_report(q, r, 5).collect()
+    assert row.sharing == 3200 and 200 <= row.scored < 1600
+    assert found(spark, [(1, query)], records, 5) == model([(1, query)], records, 5)
+
+
+def test_phrases_decide_between_equal_counts(spark):
+    """Texts are read only for pairs that tie with the k-th; short tokens and ids that repeat are in the middle of it."""
+    records = [(i, "gamma beta of alpha") for i in range(20)] + [(30 + i, "x alpha of beta gamma y") for i in range(3)] + [(40, "alpha of"), (40, "beta gamma"), (41, "alpha beta")]
+    queries = [(1, "Alpha of beta gamma"), (2, "alpha of"), (3, "of"), (4, "beta gamma y"), (5, "of beta")]
+    q, r = spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(records, "record_id int, body string")
+    got = {(x.query_id, x["rank"]): (x.record_id, x.score) for x in postings.lexical_topk(q, r, 4).collect()}
+    merged = [x for x in records if x[0] != 40] + [(40, "alpha of\nbeta gamma")]
+    assert got == {(a, b): (c, d) for a, b, c, d in model(queries, merged, 4)}
